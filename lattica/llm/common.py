@@ -87,6 +87,26 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table], schema: s
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool] | np.ndarray], text_col: str) -> DataFrame:
+    """Rows of ``df``, with all columns, for which ``keep`` says so of bounded pieces; no exchange."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, at):
+                yield piece.filter(pa.array(keep(piece), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def only_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all columns, whose (doc_id, rid) is chosen; of rows that repeat id and text one."""
+    keyed = docs.withColumn("rid", row_key(id_col, text_col))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"))
+    found = keyed.join(chosen, keyed[id_col].eqNullSafe(chosen["_id"]) & (keyed["rid"] == chosen["_rid"]), "left_semi")
+    return found.dropDuplicates([id_col, "rid"]).select(*[found[c] for c in docs.columns])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, row_key, utf8
+from lattica.llm.common import arrow_filter, arrow_map, row_key, utf8
 from lattica.llm.words import LOWER, mix, sliding_min, spans, word_hashes
 
 SPAN, K, W = 10, 5, 6
@@ -149,6 +149,31 @@ def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], id_type: str) ->
     return arrow_map(docs, run, f"doc_id {id_type}, rid long, n_words long, runs array<int>, items array<string>")
 
 
+def item_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items, a stated query set, in blocks of about ``block`` bytes; at least one block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = -(-size // block) or 1
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for b in range(n):
+        yield [tuple(r) for r in items.where(part == b).collect()]
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows, with all columns, in which no window of the benchmark occurs. One narrow pass for each block of items."""
+    at = docs.columns.index(text_col)
+    for rows in item_blocks(benchmark, block):
+        sent = docs.sparkSession.sparkContext.broadcast(Items(rows))
+
+        def clean(piece: pa.RecordBatch, sent=sent) -> np.ndarray:  # noqa: ANN001
+            keep = np.ones(piece.num_rows, bool)
+            keep[list(scan(utf8(piece.column(at)), sent.value)[1])] = False
+            return keep
+
+        docs = arrow_filter(docs, clean, text_col)
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, runs, items: one row per document; runs are hit word ranges [lo, hi, ...], items the sorted item ids.
 
@@ -156,14 +181,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item at all, nothing is hit. Rows that repeat id and text get the same answer. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-size // block) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    # A block is bounded by ``block``; it is a stated query set, read in as many passes as it has blocks.
-    passes = [_pass(docs, [tuple(r) for r in items.where(part == b).collect()], id_type) for b in range(n)]
-    if n == 1:
+    passes = [_pass(docs, rows, id_type) for rows in item_blocks(benchmark, block)]
+    if len(passes) == 1:
         return passes[0].drop("rid")
     all_rows = reduce(DataFrame.unionByName, passes)
     merged = all_rows.groupBy("doc_id", "rid").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, n_partitions
+from lattica.llm.common import materialize, n_partitions, only_rows, row_key
 
 FAN_IN = 8
 
@@ -26,8 +26,8 @@ def normalised(text: Column) -> Column:
 def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, row number, run number, digest and its check."""
     text = normalised(F.col(text_col))
-    return docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), text.alias("t")).select(
-        "doc_id", "row_no", F.spark_partition_id().alias("run"), F.sha2("t", 256).alias("text_sha256"), F.struct(F.xxhash64("t").alias("x"), F.octet_length("t").alias("n")).alias("check")
+    return docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), row_key(id_col, text_col).alias("rid"), text.alias("t")).select(
+        "doc_id", "row_no", "rid", F.spark_partition_id().alias("run"), F.sha2("t", 256).alias("text_sha256"), F.struct(F.xxhash64("t").alias("x"), F.octet_length("t").alias("n")).alias("check")
     )
 
 
@@ -37,24 +37,35 @@ def merge_round(runs: DataFrame, partitions: int) -> DataFrame:
     return dealt.groupBy("shard", "run", "text_sha256", "check").agg(F.min("least").alias("least"), F.sum("group_size").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
-
-    Null text counts as empty; texts are equal when identical after each white-space run became one space. Of equal
-    texts the row with the smallest id stays (a null id is larger than any; of repeated rows with that id one stays).
-    An empty table gives an empty result; other columns are ignored.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Digest rows, and one row per digest: the row that stays and the group's size."""
     spark = docs.sparkSession
     rows = materialize(digest_rows(docs, id_col, text_col), "digests")
     source_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     n = n_partitions(spark)
     shard = F.pmod(F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
-    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no", "rid")
     # Level 0: each scan partition reduces its own rows before anything is exchanged.
     runs = rows.groupBy(shard.alias("shard"), "run", "text_sha256", "check").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("group_size"))
     for _ in range(max(1, math.ceil(math.log(source_runs, FAN_IN) - 1e-9))):
         runs = merge_round(runs, n)
-    merged = runs.select("text_sha256", "check", "least", "group_size")
+    return rows, runs.select("text_sha256", "check", "least", "group_size")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all columns."""
+    _, merged = _groups(docs, id_col, text_col)
+    return only_rows(docs, merged.select("least.doc_id", "least.rid"), id_col, text_col)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
+
+    Null text counts as empty; texts are equal when identical after each white-space run became one space. Of equal
+    texts the row with the smallest id stays (a null id is larger than any; of repeated rows with that id one stays).
+    An empty table gives an empty result; other columns are ignored.
+    """
+    rows, merged = _groups(docs, id_col, text_col)
     return rows.join(merged, ["text_sha256", "check"]).select("doc_id", F.col("least.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("least.row_no")).alias("kept"), "text_sha256")
 
 

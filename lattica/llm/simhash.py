@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, drop_scratch, materialize, utf8
+from lattica.llm.common import arrow_map, drop_scratch, materialize, only_rows, row_key, utf8
 from lattica.llm.words import LOWER
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -46,14 +46,14 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long), one row per input row. Null text has no words."""
+    """doc_id, rid, fp (the 64 bits as a long), one row per input row. Null text has no words."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         fps = np.array([fingerprint(t, k) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-        return pa.table({"doc_id": batch.column(0), "fp": pa.array(fps)})
+        return pa.table({"doc_id": batch.column(0), "rid": batch.column(2), "fp": pa.array(fps)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid")), run, f"doc_id {kind}, rid long, fp long")
 
 
 def _bits(x: Column, low: int, n: int) -> Column:
@@ -120,16 +120,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of rows; and of each fingerprint its component's first row (null ids last)."""
+    rows = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("least")
+    nodes = materialize(rows.groupBy("fp").agg(first), "nodes")
+    roots = components(links(nodes.select("fp")))
+    grouped = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    firsts = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    return rows, grouped.join(firsts, "root").select("fp", "first")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per input row; component_id is the smallest doc_id that links reach.
 
     Null, empty and blank texts have fingerprint 0, linked like any other. Rows that repeat an id are rows of their
     own. A null id is never the smallest. An empty table gives an empty result; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    grouped = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    firsts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = grouped.join(firsts, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, F.lit("0")).alias("fingerprint"), "component_id")
+    rows, of = _grouped(docs, id_col, text_col, k)
+    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, F.lit("0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """One row of each component, with all columns: that of the smallest id."""
+    _, of = _grouped(docs, id_col, text_col, k)
+    return only_rows(docs, of.select("first.doc_id", "first.rid").distinct(), id_col, text_col)
