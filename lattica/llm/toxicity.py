@@ -19,7 +19,7 @@ from lattica.llm.samples import labelled_sample
 
 SIZE, STRIDE = 32, 16
 SAMPLE = 1500
-EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 600, 256, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 200, 256, 0.01
 #: Windows of a toxic text that count as toxic at most, and windows of clean texts in an epoch.
 POSITIVE, NEGATIVE = 4, 9000
 THRESHOLD = 0.7
@@ -157,7 +157,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS
         mixed = rng.permutation(len(chosen))
         for i in range(0, len(mixed), BATCH):
             part = mixed[i : i + BATCH]
-            _learn(model.net, opt, words, at[chosen[part]], length[chosen[part]], labels[text[chosen[part]]], weight[part])
+            _learn(model.net, opt, words, at[chosen[part]], length[chosen[part]], labels[text[chosen[part]]], weight[part], rng)
             steps += 1
         epoch += 1
         if epoch >= 2:
@@ -170,7 +170,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS
     return model
 
 
-def _learn(net: Network, opt: Adam, words: Words, at: np.ndarray, length: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+def _learn(net: Network, opt: Adam, words: Words, at: np.ndarray, length: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
     """One step on a batch of windows, whose words are taken out of the block."""
     n = int(length.sum())
     index = np.repeat(at - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(n)
@@ -179,12 +179,15 @@ def _learn(net: Network, opt: Adam, words: Words, at: np.ndarray, length: np.nda
     gram_index = np.repeat(words.at[index] - gram_at[:-1], grams) + np.arange(int(gram_at[-1]))
     own = Words(words.word[index], words.gram[gram_index], gram_at, np.zeros(1, np.int64))
     first = np.concatenate([[0], np.cumsum(length)[:-1]])
+    # Half of the words are known by their characters alone, so that unseen forms of a stem are learned too.
+    hidden = rng.random(n) < 0.5
     x, keep = net.inputs(own), {}
+    x[hidden] -= net.p["Ew"][own.word[hidden]]
     logit = net.logits(x, first, length, SIZE, keep)
     d_logit = ((sigmoid(logit) - y) * weight / len(y)).astype(np.float32)
     grads, d_x = net.gradient(x, first, length, SIZE, keep, d_logit)
     d_word, d_gram = np.zeros_like(net.p["Ew"]), np.zeros_like(net.p["Ec"])
-    np.add.at(d_word, own.word, d_x)
+    np.add.at(d_word, own.word[~hidden], d_x[~hidden])
     np.add.at(d_gram, own.gram, np.repeat(d_x, grams, axis=0))
     opt.step(grads | {"Ew": d_word, "Ec": d_gram})
 
