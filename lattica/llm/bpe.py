@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import arrow_map
 
-#: Words whose tokens a worker keeps; the table is emptied when it is full. Speed only.
-CACHE = 1 << 17
+#: Words in each of the two generations of a worker's table of recent words. A full young generation becomes the old
+#: one; a word found there is young again, so frequent words stay. Speed only.
+CACHE = 1 << 18
 
 
 def byte_alphabet() -> list[str]:
@@ -40,18 +41,21 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
-        self.strings = {i: s for s, i in self.vocab.items()}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
+        self.of_byte = [self.vocab[c] for c in byte_alphabet()]
+        self.of_last = [self.vocab[c + self.suffix] for c in byte_alphabet()]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings |= {i: s for s, i in added.items()}
+        by_id = {i: s for s, i in (self.vocab | added).items()}
+        self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.added = {s: pack("<I", i) for s, i in added.items()}
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.space = regex.compile(r"\s+").sub
-        self.alphabet = byte_alphabet()
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def from_text(cls, text: str) -> WordBpe:
@@ -59,32 +63,37 @@ class WordBpe:
 
     def merge(self, word: str) -> list[int]:
         """Token ids of one word."""
-        symbols: list[str | None] = [self.alphabet[b] for b in word.encode()]
-        symbols[-1] += self.suffix
+        data = word.encode()
+        symbols = [self.of_byte[b] for b in data]
+        symbols[-1] = self.of_last[data[-1]]
         n = len(symbols)
+        if n == 1:
+            return symbols
+        rank_of, merged = self.ranks.get, self.merged
+        # An entry is a rank and a place; it is stale if the pair at its place has another rank by now.
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 20 | symbols[i + 1], -1)) >= 0]
+        if not queue:
+            return symbols
+        heapq.heapify(queue)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, str, str]] = []
-        ranks = self.ranks
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (rank := ranks.get((symbols[i], symbols[j]))) is not None:
-                heapq.heappush(queue, (rank, i, symbols[i], symbols[j]))
-
-        for i in range(n - 1):
-            offer(i)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            if symbols[i] != a or (j := after[i]) < 0 or symbols[j] != b:
-                continue  # stale
-            symbols[i], symbols[j] = a + b, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return [self.vocab[s] for s in symbols if s is not None and s in self.vocab]
+            entry = heapq.heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            j = after[i]
+            if j < 0 or rank_of(symbols[i] << 20 | symbols[j]) != rank:
+                continue
+            new = symbols[i] = merged[rank]
+            symbols[j] = -1
+            k = after[i] = after[j]
+            after[j] = -1
+            if k >= 0:
+                before[k] = i
+                if (r := rank_of(new << 20 | symbols[k], -1)) >= 0:
+                    heapq.heappush(queue, r << 32 | i)
+            k = before[i]
+            if k >= 0 and (r := rank_of(symbols[k] << 20 | new, -1)) >= 0:
+                heapq.heappush(queue, r << 32 | k)
+        return [s for s in symbols if s >= 0]
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers, one after the other."""
@@ -104,25 +113,32 @@ class WordBpe:
         text = self.space(" ", unicodedata.normalize("NFC", text))
         # Lower case goes by code point: no rule that looks at neighbours (final sigma) may apply.
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-        cache = self.cache
+        recent = self.young.get
         for w in self.words(text):
-            got = cache.get(w)
+            got = recent(w)
             if got is None:
-                ids = self.merge(w)
-                got = pack(f"<{len(ids)}I", *ids)
-                if len(w) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = got
+                got = self._fetch(w)
+                recent = self.young.get
             out.append(got)
 
+    def _fetch(self, word: str) -> bytes:
+        """Packed ids of a word that is not young."""
+        got = self.old.get(word)
+        if got is None:
+            ids = self.merge(word)
+            got = pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[word] = got
+        return got
+
     def encode(self, text: str | None) -> list[int]:
         return memoryview(self.packed(text or "")).cast("I").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary's strings, joined as the file's decoder says: this one has none, so by single spaces."""
-        strings = self.strings
-        return " ".join([strings[i] for i in ids if i in strings])
+        return " ".join(map(self.strings.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
