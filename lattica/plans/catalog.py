@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.plans import graph  # noqa: F401  (registers its queries)
+from lattica.plans import graph, scoring  # noqa: F401  (they register their queries)
 from lattica.plans.registry import ORACLES, QUERIES, Query
 
 
