@@ -41,6 +41,41 @@ class Words:
         return cls(word, gram.astype(np.int32), at, bound)
 
 
+    def part(self, a: int, b: int) -> Words:
+        """The words of texts a to b."""
+        lo, hi = int(self.bound[a]), int(self.bound[b])
+        g = int(self.at[lo])
+        return Words(self.word[lo:hi], self.gram[g : int(self.at[hi])], self.at[lo : hi + 1] - g, self.bound[a : b + 1] - lo)
+
+    def parts(self, words: int) -> list[tuple[int, int]]:
+        """Ranges of texts of about so many words; a longer text is a range of its own."""
+        out, a, n = [], 0, len(self.bound) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(self.bound, self.bound[a] + words, "right")) - 1)
+            out.append((a, b))
+            a = b
+        return out
+
+    @classmethod
+    def of_many(cls, texts: list[bytes], size: int = 1 << 18) -> Words:
+        """As ``of``, in blocks of about ``size`` bytes, so that only the result grows with the texts."""
+        done, a = [], 0
+        while a < len(texts):
+            b, held = a, 0
+            while b < len(texts) and (b == a or held + len(texts[b]) <= size):
+                held += len(texts[b])
+                b += 1
+            done.append(cls.of(texts[a:b]))
+            a = b
+        if not done:
+            return cls.of([])
+        n_words, n_grams = np.cumsum([0, *(len(w.word) for w in done)]), np.cumsum([0, *(len(w.gram) for w in done)])
+        return cls(
+            np.concatenate([w.word for w in done]), np.concatenate([w.gram for w in done]),
+            np.concatenate([[0], *(w.at[1:] + n for w, n in zip(done, n_grams, strict=False))]), np.concatenate([[0], *(w.bound[1:] + n for w, n in zip(done, n_words, strict=False))]),
+        )
+
+
 def windows(n: int, size: int, stride: int) -> np.ndarray:
     """First words of all overlapping windows of n words; the last one ends with the text."""
     if n <= size:

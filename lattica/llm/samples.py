@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text of each label that a sample holds at most.
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 6 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, out_of: int, sample: int) -> tuple[list[bytes], np.ndarray]:

@@ -43,6 +43,15 @@ def parts(text: bytes) -> list[bytes]:
         at = back if back > 0 else end - OVERLAP
 
 
+def all_windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and length of each window."""
+    sizes = np.diff(words.bound)
+    first = [windows(int(n), SIZE, STRIDE) for n in sizes]
+    text = np.repeat(np.arange(len(sizes)), [len(f) for f in first])
+    at = np.concatenate([f + b for f, b in zip(first, words.bound, strict=False)]) if len(text) else np.zeros(0, np.int64)
+    return text, at, np.minimum(sizes[text], SIZE)
+
+
 class Model:
     """The network and the calibration of a text's largest logit."""
 
@@ -51,16 +60,16 @@ class Model:
 
     def window_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and logit of each window."""
-        sizes = np.diff(words.bound)
-        first = [windows(int(n), SIZE, STRIDE) for n in sizes]
-        text = np.repeat(np.arange(len(sizes)), [len(f) for f in first])
-        at = np.concatenate([f + b for f, b in zip(first, words.bound, strict=False)]) if len(text) else np.zeros(0, np.int64)
+        done = [self._logits(words.part(a, b), a, int(words.bound[a])) for a, b in words.parts(1 << 16)]
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+    def _logits(self, words: Words, text_base: int, word_base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text, at, length = all_windows(words)
         if not len(at):
             return text, at, np.zeros(0, np.float32)
         x = self.net.inputs(words)
-        length = np.minimum(sizes[text], SIZE)
-        logits = np.concatenate([self.net.logits(x, at[i : i + 8192], length[i : i + 8192], SIZE) for i in range(0, len(at), 8192)])
-        return text, at, logits
+        logits = np.concatenate([self.net.logits(x, at[i : i + 4096], length[i : i + 4096], SIZE) for i in range(0, len(at), 4096)])
+        return text + text_base, at + word_base, logits
 
     def largest(self, texts: list[bytes]) -> np.ndarray:
         """The largest window logit of each text; -inf without words."""
@@ -105,14 +114,18 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float = 0.02) -> tuple[float,
     return max(0.1, float(w[0] / scale)), float(w[1])
 
 
-def _log_odds(hashed: np.ndarray, text: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Log odds of each hashed feature to occur in a toxic text."""
-    once = np.unique(text.astype(np.int64) * size + hashed)
-    toxic = y[once // size] == 1
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    c1 = np.bincount(once[toxic] % size, minlength=size)
-    c0 = np.bincount(once[~toxic] % size, minlength=size)
-    return (np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))).astype(np.float32)
+def _log_odds(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of each hashed word and gram to occur in a toxic text; a part of the texts at a time."""
+    n = np.maximum(1, np.bincount(y, minlength=2)[:2])
+    counts = [np.zeros((2, 1 << bits)) for bits in (WORD_BITS, GRAM_BITS)]
+    for a, b in words.parts(1 << 16):
+        own = words.part(a, b)
+        text = np.repeat(np.arange(a, b), np.diff(own.bound))
+        for hashed, of, count in ((own.word, text, counts[0]), (own.gram, np.repeat(text, np.diff(own.at)), counts[1])):
+            once = np.unique(of.astype(np.int64) * count.shape[1] + hashed)
+            np.add.at(count, (y[once // count.shape[1]], once % count.shape[1]), 1)
+    odds = [np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)) for c in counts]
+    return odds[0].astype(np.float32), odds[1].astype(np.float32)
 
 
 def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
@@ -126,20 +139,14 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
     learn = np.flatnonzero(~held)
-    words, labels = Words.of([texts[i] for i in learn]), y[learn]
-    text_of = np.repeat(np.arange(len(learn)), np.diff(words.bound))
-    word_of = np.repeat(np.arange(len(words.word)), np.diff(words.at))
+    words, labels = Words.of_many([texts[i] for i in learn]), y[learn]
     if not len(words.word):
         return model
-    word_odds = _log_odds(words.word, text_of, labels, 1 << WORD_BITS)[words.word]
-    gram_odds = np.maximum.reduceat(_log_odds(words.gram, text_of[word_of], labels, 1 << GRAM_BITS)[words.gram], words.at[:-1])
-    sign = word_odds + gram_odds
+    word_odds, gram_odds = _log_odds(words, labels)
+    sign = np.concatenate([word_odds[p.word] + np.maximum.reduceat(gram_odds[p.gram], p.at[:-1]) for p in (words.part(a, b) for a, b in words.parts(1 << 16)) if len(p.word)])
     opt = Adam(model.net.p, RATE)
     sizes = np.diff(words.bound)
-    first = [windows(int(n), SIZE, STRIDE) + b for n, b in zip(sizes, words.bound, strict=False)]
-    text = np.repeat(np.arange(len(sizes)), [len(f) for f in first])
-    at = np.concatenate(first)
-    length = np.minimum(sizes[text], SIZE)
+    text, at, length = all_windows(words)
     value = np.array([sign[a : a + n].max() for a, n in zip(at.tolist(), length.tolist(), strict=True)])
     negative = np.flatnonzero(labels[text] == 0)
     hard = negative[:0]
