@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -171,27 +171,28 @@ def entropy(counts: DataFrame, group: str, count: str) -> DataFrame:
 
 
 def covariance(vecs: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, mean and covariance (n - 1) of vectors: every partition sums its own, the driver adds matrices of fixed size."""
+    """n, mean and covariance (n - 1) of vectors: partitions sum their own outer products, entries meet by place with partial sums, the driver gets one matrix of fixed size."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, ss = 0, None, None
+        total = None
         for b in batches:
             if len(b):
                 m = np.stack(b[column].to_list()).astype(np.float64)
-                n, s, ss = n + len(m), m.sum(axis=0) if s is None else s + m.sum(axis=0), m.T @ m if ss is None else ss + m.T @ m
-        if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
+                m = np.concatenate([np.ones((len(m), 1)), m], axis=1)
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"width": len(total), "place": np.arange(total.size), "x": total.ravel()})
 
-    rows = vecs.select(column).mapInPandas(sums, "n long, s array<double>, ss array<double>").groupBy().agg(F.sum("n").alias("n"), *[_array_sum(c) for c in ("s", "ss")]).first()
-    if not rows["n"]:
+    entries = vecs.select(column).mapInPandas(sums, "width int, place int, x double").groupBy("width", "place").agg(F.sum("x").alias("x")).collect()
+    if not entries:
         raise ValueError("no vectors")
-    n, s = rows["n"], np.array(rows["s"])
-    ss = np.array(rows["ss"]).reshape(len(s), len(s))
-    return n, s / n, (ss - np.outer(s, s) / n) / max(1, n - 1)
-
-
-def _array_sum(column: str) -> Column:
-    return F.reduce(F.collect_list(column), F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q))).alias(column)
+    width = entries[0]["width"]
+    total = np.zeros(width * width)
+    for e in entries:
+        total[e["place"]] = e["x"]
+    total = total.reshape(width, width)
+    n, s = total[0, 0], total[0, 1:]
+    return int(n), s / n, (total[1:, 1:] - np.outer(s, s) / n) / max(1, n - 1)
 
 
 def principal_components(vecs: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
