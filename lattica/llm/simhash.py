@@ -93,7 +93,8 @@ def links(fps: DataFrame) -> DataFrame:
     rest = F.when(F.col("seg") == 0, _bits(F.col("fp"), 32, 32)).otherwise(_bits(F.col("fp"), 0, 32))
     quarter = lambda q: _bits(rest, 16 * q, 16)
     finer = filed.where("hot").select("seg", "key", "fp", F.inline(F.array(*[F.struct(F.lit(q).alias("q"), quarter(q).alias("sub")) for q in (0, 1)])))
-    finer_asked = asked.where("hot").select("seg", "key", "fp", F.inline(F.concat(*[F.transform(_full_ball(quarter(q), 16), lambda v, q=q: F.struct(F.lit(q).alias("q"), v.alias("sub"))) for q in (0, 1)])))
+    tagged = lambda q: F.transform(_full_ball(quarter(q), 16), lambda v: F.struct(F.lit(q).alias("q"), v.alias("sub")))
+    finer_asked = asked.where("hot").select("seg", "key", "fp", F.inline(F.concat(tagged(0), tagged(1))))
     return cold.unionByName(met(finer_asked, finer, ["seg", "key", "q", "sub"])).distinct()
 
 
