@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,7 +45,8 @@ def fit_alpha(points: DataFrame, context: str, base: str, target: str, low: floa
     spread = (high - low) / 2
     centre = stats.select(*keys, F.lit((low + high) / 2).alias("mid"))
     for _ in range(rounds):
-        near = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i, s=spread: F.col("mid") - s + i * (2 * s / (steps - 1)))
+        start, step = F.col("mid") - spread, 2 * spread / (steps - 1)
+        near = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), _line(start, step))
         inside = F.array_distinct(F.transform(near, lambda a: F.greatest(F.lit(low), F.least(F.lit(high), a))))
         wide = (p.join(centre, keys) if keys else p.crossJoin(F.broadcast(centre))).select(*keys, "c", "b", "y", F.explode(inside).alias("alpha"))
         err = F.col("y") - F.col("b") * F.pow("c", "alpha")
@@ -55,6 +56,10 @@ def fit_alpha(points: DataFrame, context: str, base: str, target: str, low: floa
     return out.select(*keys, "n", F.col("mid").alias("alpha"), "mse", F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"))
 
 
+def _line(start: Column, step: float) -> Callable[[Column], Column]:
+    return lambda i: start + i * step
+
+
 def bootstrap_alpha(edges: DataFrame, original: str, amplified: str, rounds: int = 200, seed: int = 42) -> DataFrame:
     """low, alpha, high: 2.5, 50 and 97.5 percentiles of the mean log ratio over Poisson resamples; weights come from hashes, so runs agree."""
     ok = edges.where((F.col(original) > 0.1) & (F.col(amplified) > 0) & (F.col(original) != 1)).select("src", "dst", (F.ln(amplified) / F.ln(original)).alias("r"))

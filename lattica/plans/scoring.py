@@ -227,7 +227,7 @@ def conveyance_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.table(spark, sf_dir, "documents").select("doc_id", sc.grounding(F.col("text")).alias("grounding"), r6(sc.context_from_text(F.col("text")), "context"))
 
 
-@query(f"WITH {PAPERS} SELECT paper_id, round(0.15 * 0.8 * contains(body, '$')::INTEGER + 0.20 * 0.8 * (length(body) > 1000)::INTEGER + 0.25 * 0.9 * (len(categories) > 1)::INTEGER, 6) AS score, round(least(1.0::DOUBLE, 0.5 * pow(0.15 * 0.8 * contains(body, '$')::INTEGER + 0.20 * 0.8 * (length(body) > 1000)::INTEGER + 0.25 * 0.9 * (len(categories) > 1)::INTEGER, 1.5)), 6) AS conveyed FROM papers")
+@query(f"WITH {PAPERS} SELECT paper_id, round(0.15::DOUBLE * 0.8 * contains(body, '$')::INTEGER + 0.20 * 0.8 * (length(body) > 1000)::INTEGER + 0.25 * 0.9 * (len(categories) > 1)::INTEGER, 6) AS score, round(least(1.0::DOUBLE, 0.5 * pow(0.15::DOUBLE * 0.8 * contains(body, '$')::INTEGER + 0.20 * 0.8 * (length(body) > 1000)::INTEGER + 0.25 * 0.9 * (len(categories) > 1)::INTEGER, 1.5)), 6) AS conveyed FROM papers")
 def element_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tb.papers(spark, sf_dir)
     s = sc.context_from_elements({"mathematical_formulas": F.col("body").contains("$"), "examples": F.length("body") > 1000, "pseudocode": F.size("categories") > 1}, {"pseudocode": F.lit(0.9)})
