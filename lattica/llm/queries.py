@@ -37,7 +37,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents")).drop("row_no")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,26 +55,27 @@ def _split(rows: DataFrame, h: str, limit: int) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, stuck)
 
 
-def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, oversized: one row per input row.
+def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """doc_id, row_no, n_bytes, shard, depth, shard_bytes, shard_docs, oversized: one row per input row.
 
     ``shard`` spells the bits ('' is the whole table); bits of row numbers follow a '/'. Null text has 0 bytes, a null
     id hashes as ''. An empty table gives an empty result; other columns are ignored.
     """
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(id_col)).alias("h"), hash_bits(F.monotonically_increasing_id()).alias("h2"), F.lit("").alias("outer")), "hashed")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(id_col)).alias("h"), (F.monotonically_increasing_id() if row is None else row).alias("row_no")).select("*", hash_bits(F.col("row_no")).alias("h2"), F.lit("").alias("outer")), "hashed")
     spelled = lambda: F.when(F.col("s.depth") == 0, "").otherwise(F.lpad(F.bin("s.prefix"), F.col("s.depth"), F.lit("0")))
     done, stuck = _split(rows, "h", limit)
     first = done.withColumn("shard", spelled())
     if not stuck.isEmpty():
         again, _ = _split(stuck.withColumn("outer", F.concat(spelled(), F.lit("/"))).drop("s"), "h2", limit)
         first = first.unionByName(again.withColumn("shard", F.concat("outer", spelled())))
-    return first.select("doc_id", "n_bytes", "shard", F.length(F.regexp_replace("shard", "/", "")).alias("depth"), F.col("s.shard_bytes").alias("shard_bytes"), F.col("s.shard_docs").alias("shard_docs"), (F.col("s.shard_bytes") > limit).alias("oversized"))
+    return first.select("doc_id", "row_no", "n_bytes", "shard", F.length(F.regexp_replace("shard", "/", "")).alias("depth"), F.col("s.shard_bytes").alias("shard_bytes"), F.col("s.shard_docs").alias("shard_docs"), (F.col("s.shard_bytes") > limit).alias("oversized"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes the documents, one folder per shard. Each shard is at most ``limit`` bytes of text, so one task can hold it."""
-    plan = shard(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes the documents, one folder per shard; 'b' before the bits keeps readers from taking them as numbers. Each shard is at most ``limit`` bytes of text, so one task can hold it."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    plan = shard(numbered, limit, row=F.col("_row")).select(F.col("row_no").alias("_row"), F.concat(F.lit("b"), "shard").alias("shard"))
+    numbered.join(plan, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 ORACLE_SQL = f"""
