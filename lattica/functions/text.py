@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -65,6 +66,11 @@ THEORY_WORDS = ["theory", "framework", "model", "analysis"]
 PRACTICE_WORDS = ["implementation", "application", "case", "study"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once; within a lambda, an expression of the row would be worked out for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_of(text: Column, signs: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in signs])
 
@@ -104,9 +110,12 @@ def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
     """Windows of ``size`` words, each ``size - overlap`` words after the one before; the last may be short or lie within the one before."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    def windows(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    return let(words(text), windows)
 
 
 def has_math(text: Column) -> Column:
@@ -125,9 +134,12 @@ def has_tables(text: Column) -> Column:
     return any_of(text, TABLE_SIGNS)
 
 
-def chunk_type(text: Column) -> Column:
-    """equation, code, figure_caption, table, mixed or text; earlier kinds win. Overlapping math signs count each."""
-    math, code, figure, tab = has_math(text), has_code(text), has_figures(text), has_tables(text)
+def chunk_type(text: Column, flags: tuple[Column, Column, Column, Column] | None = None) -> Column:
+    """equation, code, figure_caption, table, mixed or text; earlier kinds win. Overlapping math signs count each.
+
+    ``flags`` are those of math, code, figures and tables, where a frame has them as columns already.
+    """
+    math, code, figure, tab = flags or (has_math(text), has_code(text), has_figures(text), has_tables(text))
     kinds = math.cast("int") + code.cast("int") + figure.cast("int") + tab.cast("int")
     return (
         F.when(math & (total_of(text, MATH_SIGNS) / F.length(text) > 0.1), "equation")

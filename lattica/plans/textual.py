@@ -48,7 +48,8 @@ ty AS (SELECT *, CASE WHEN m AND {_sum("text", tx.MATH_SIGNS)} / length(text) >
 @query(f"WITH {TYPED} SELECT chunk_type, count(*) AS n, count(*) FILTER (m) AS math, count(*) FILTER (c) AS code, count(*) FILTER (f) AS figures, count(*) FILTER (b) AS tables FROM ty GROUP BY 1")
 def chunk_type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    c = tb.chunks(spark, sf_dir).select(tx.chunk_type(t).alias("chunk_type"), tx.has_math(t).alias("m"), tx.has_code(t).alias("c"), tx.has_figures(t).alias("f"), tx.has_tables(t).alias("b"))
+    c = tb.chunks(spark, sf_dir).select("text", tx.has_math(t).alias("m"), tx.has_code(t).alias("c"), tx.has_figures(t).alias("f"), tx.has_tables(t).alias("b"))
+    c = c.select(tx.chunk_type(t, tuple(map(F.col, "mcfb"))).alias("chunk_type"), "m", "c", "f", "b")
     return c.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("m").alias("math"), F.count_if("c").alias("code"), F.count_if("f").alias("figures"), F.count_if("b").alias("tables"))
 
 
