@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -88,27 +89,32 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("n", rows).withColumn("t", F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))))
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or 1e-300)
+    out = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + num * d) or 1e-300)
+            c = (1 + num / c) or 1e-300
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return out * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
+
 def two_sided_p(t: float, df: float) -> float:
-    """Two-sided probability of Student's t, by the incomplete beta function (continued fraction)."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if t == 0:
-        return 1.0
+    """Two-sided probability of Student's t."""
+    return beta_share(df / (df + t * t), df / 2, 0.5)
 
-    def fraction(x: float, a: float, b: float) -> float:
-        c, d = 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d or 1e-300)
-        out = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 / ((1 + num * d) or 1e-300)
-                c = (1 + num / c) or 1e-300
-                out *= c * d
-            if abs(c * d - 1) < 1e-14:
-                break
-        return out
 
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+def f_upper_p(f: float, df1: float, df2: float) -> float:
+    """Upper probability of F."""
+    return beta_share(df2 / (df2 + df1 * f), df2 / 2, df1 / 2)
 
 
 def chi_square_p(x: float, df: int) -> float:
@@ -232,3 +238,48 @@ def density(points: DataFrame, x: str, y: str, side: int = 50) -> DataFrame:
     dy = F.lit(s["y0"]) + F.col("gy") * ((s["y1"] - s["y0"]) / (side - 1)) - F.col(y)
     q = (dx * dx * vy - 2 * dx * dy * vxy + dy * dy * vx) / det
     return at.groupBy("gx", "gy").agg((F.sum(F.exp(-q / 2)) / (s["n"] * 2 * math.pi * math.sqrt(det))).alias("density"))
+
+
+def anova(df: DataFrame, group: str, value: str) -> DataFrame:
+    """f, df_between, df_within of one-way analysis of variance, from the groups' sums."""
+    by = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    s = by.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("squares"))
+    between = F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")
+    df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
+    return s.select(F.when((df1 > 0) & (df2 > 0) & (F.col("within") > 0), between / df1 / (F.col("within") / df2)).alias("f"), df1.alias("df_between"), df2.alias("df_within"))
+
+
+def ab_test(df: DataFrame, arm: str, flag: str) -> DataFrame:
+    """a, b, rate_a, rate_b, z of each pair of arms: difference of rates over its pooled error."""
+    by = df.groupBy(F.col(arm).alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("int")).alias("p"))
+    a, b = by.alias("a"), by.alias("b")
+    x = a.join(b, F.col("a.arm") < F.col("b.arm")).select(F.col("a.arm").alias("a"), F.col("b.arm").alias("b"), F.col("a.p").alias("rate_a"), F.col("b.p").alias("rate_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    pooled = (F.col("rate_a") * F.col("na") + F.col("rate_b") * F.col("nb")) / (F.col("na") + F.col("nb"))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("na") + 1 / F.col("nb")))
+    return x.select("a", "b", "rate_a", "rate_b", F.when(error > 0, (F.col("rate_b") - F.col("rate_a")) / error).alias("z"))
+
+
+def logistic_fit(df: DataFrame, features: list[str], flag: str) -> dict[str, float]:
+    """log_likelihood, aic and n of an unpenalised logistic fit; the likelihood is summed by the cluster."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = VectorAssembler(inputCols=features, outputCol="x").transform(df.withColumn("y", F.col(flag).cast("double")).dropna(subset=[*features, "y"])).select("x", "y")
+    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.0, maxIter=200, tol=1e-9).fit(x)
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), vector_to_array("probability")[1]))
+    one = model.transform(x).agg(F.sum(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p)).alias("l"), F.count(F.lit(1)).alias("n")).first()
+    return {"log_likelihood": one["l"], "aic": 2 * (len(features) + 1) - 2 * one["l"], "n": one["n"]}
+
+
+def compare_models(df: DataFrame, features: list[str], product: str, flag: str) -> dict[str, float]:
+    """AIC of separate features and of their one product, and the likelihood ratio with its probability."""
+    a, m = logistic_fit(df, features, flag), logistic_fit(df, [product], flag)
+    ratio = 2 * (a["log_likelihood"] - m["log_likelihood"])
+    return {"additive_aic": a["aic"], "multiplicative_aic": m["aic"], "likelihood_ratio": ratio, "p": chi_square_p(max(0.0, ratio), len(features) - 1)}
+
+
+def size_for_effect(effect: float = 0.3, alpha: float = 0.05, power: float = 0.8, rate: float = 1.0) -> int:
+    """Rows of each of two samples with which a two-sided z test finds the effect, over the expected rate."""
+    z = NormalDist().inv_cdf
+    return math.ceil(2 * ((z(1 - alpha / 2) + z(power)) / effect) ** 2 / rate)

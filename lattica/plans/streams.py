@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.plans.registry import query
+from lattica.sources.scratch import shared_folder
 from lattica.streaming import ingest
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the session's checkpoints go; a temporary one where it names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lattica-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
 
 def run_to_end(df: DataFrame, name: str) -> DataFrame:
     """Runs an aggregating stream over all files there are and returns its final rows. Complete mode has them all; they are few by their grouping."""

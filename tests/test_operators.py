@@ -170,3 +170,70 @@ def test_encoder(spark):
     assert np.linalg.norm(got[1]) == pytest.approx(1)
     assert np.linalg.norm(got[3]) == 0
     assert np.allclose(encode.mean_pool(np.ones((1, 2, 3)), np.array([[1.0, 0.0]])), 1)
+
+
+def test_overlapping_finds_all_pairs(spark):
+    import random
+
+    from lattica.operators import paths
+
+    rng = random.Random(2)
+    sets = [(i, rng.sample("abcdefghijklmnop", rng.randint(0, 12))) for i in range(60)]
+    for x in (0.2, 0.5, 0.8):
+        got = {(r["a"], r["b"]): r["jaccard"] for r in paths.overlapping(spark.createDataFrame(sets, "id long, tokens array<string>"), x).collect()}
+        want = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in sets for j, b in sets if i < j and a and b}
+        assert got == pytest.approx({k: v for k, v in want.items() if v > x})
+
+
+def test_shortest_paths(spark):
+    from lattica.operators import paths
+
+    nodes = spark.createDataFrame([(1, "theory", "aa"), (2, "algorithm", "bbb"), (3, "reference", "c"), (4, "implementation", "d")], "node long, kind string, content string")
+    edges = spark.createDataFrame([(1, 2, "theory", "algorithm", 0.1), (2, 3, "algorithm", "reference", 0.1), (3, 4, "reference", "implementation", 0.1), (1, 4, "theory", "implementation", 0.5)], "src long, dst long, from_kind string, to_kind string, weight double")
+    got = {r["start"]: r["path"] for r in paths.shortest(edges, nodes.where("node < 4"), nodes.where("node = 4")).collect()}
+    assert got == {1: [1, 2, 3, 4], 2: [2, 3, 4], 3: [3, 4]}
+    q = {r["start"]: r for r in paths.qualities(paths.shortest(edges, nodes.where("node = 1"), nodes.where("node = 4")), nodes, edges).collect()}
+    assert q[1]["length"] == 4
+    assert q[1]["completeness"] == pytest.approx(0.8)
+    assert q[1]["quality"] == pytest.approx(0.3 * 0.8 + 0.3 * 0.1 + 0.2 * 7 / 1000 + 0.2 * np.exp(-0.6))
+    many = spark.createDataFrame([(["theory", "algorithm"], i % 2 == 0) for i in range(6)] + [(["theory", "reference"], True)], "kinds array<string>, ok boolean")
+    assert [tuple(r) for r in paths.critical_transitions(many, "ok").collect()] == [("theory", "algorithm", 6, 0.5)]
+    assert paths.sequences(many, 1).first()["n"] == 6
+
+
+def test_matches_by_title(spark):
+    from lattica.operators import paths
+
+    p = spark.createDataFrame([(1, "The Deep Graph Model"), (2, "Graphs"), (3, "Absent Words Here Now"), (4, None)], "paper_id long, title string")
+    i = spark.createDataFrame([(10, [3], "x"), (11, None, "code of the deep graph models"), (12, [], "on graphs and more"), (13, [9], None)], "impl_id long, references array<long>, description string")
+    assert sorted(map(tuple, paths.matches(p, i).collect())) == [(1, 11), (2, 12), (3, 10)]
+
+
+def test_model_statistics(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.random(400), rng.random(400)
+    y = rng.random(400) < 1 / (1 + np.exp(-(6 * a * b - 1.5)))
+    df = spark.createDataFrame([(float(p), float(q), float(p * q), bool(r)) for p, q, r in zip(a, b, y, strict=True)], "a double, b double, ab double, y boolean")
+    got = stats.compare_models(df, ["a", "b"], "ab", "y")
+    assert got["multiplicative_aic"] < 400 * 2 * np.log(2) + 4
+    assert 0 <= got["p"] <= 1
+    assert stats.f_upper_p(4.0, 2, 27) == pytest.approx(0.0300, abs=2e-4)
+    assert stats.size_for_effect(0.3) == 175
+    flat = spark.createDataFrame([("x", 1.0), ("x", 1.0)], "g string, v double")
+    assert stats.anova(flat, "g", "v").first()["f"] is None
+
+
+def test_runs(spark, tmp_path):
+    from lattica.sources import runs
+
+    path = str(tmp_path / "log")
+    runs.log_run(spark, path, "r1", "load", "ok", 5, {"a": 1})
+    runs.log_run(spark, path, "r1", "pairs", "failed")
+    assert tuple(runs.run_summary(spark.read.schema(runs.LOG_SCHEMA).parquet(path)).first())[:4] == ("r1", 2, 1, 5)
+    bad = runs.guarded(spark.range(3), {"small": "id < 2", "even": "id % 2 = 0"})
+    assert [r["errors"] for r in bad.orderBy("id").collect()] == [[], ["even"], ["small"]]
+    v = runs.synthetic_vectors(spark, 50, 4, 2)
+    assert v.count() == 50
+    assert runs.synthetic_counts(spark, 100).agg(F.min("n")).first()[0] >= 1
+    f = stats.fit_alpha(runs.synthetic_alpha_points(spark, 500), "context", "base", "amplified").first()
+    assert f["alpha"] == pytest.approx(1.5, abs=0.05)
