@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import materialize
 
-STEP, BITS = 12, 60
+STEP, BITS = 8, 60
 LIMIT = 64 << 20
 
 
@@ -35,7 +35,7 @@ def _split(rows: DataFrame, h: str, limit: int) -> tuple[DataFrame, DataFrame]:
     base = ["outer"]
     stuck = []
     while low < BITS:
-        high = low + STEP
+        high = min(BITS, low + STEP)
         cells = left.groupBy(*base, _prefix(F.col(h), high).alias("cell")).agg(
             F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"))
         depths = F.sequence(F.lit(low if low == 0 else low + 1), F.lit(high))
