@@ -101,10 +101,12 @@ def arrow_filter(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool] | np
 
 def only_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, with all columns, whose (doc_id, rid) is chosen; of rows that repeat id and text one."""
-    keyed = docs.withColumn("rid", row_key(id_col, text_col))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"))
-    found = keyed.join(chosen, keyed[id_col].eqNullSafe(chosen["_id"]) & (keyed["rid"] == chosen["_rid"]), "left_semi")
-    return found.dropDuplicates([id_col, "rid"]).select(*[found[c] for c in docs.columns])
+    # Join and duplicate removal have one set of keys, so the texts are exchanged once.
+    of = lambda c, rid: {"_no_id": c.isNull(), "_id": F.coalesce(c, F.lit(0)), "_rid": rid}
+    keyed = docs.withColumns(of(F.col(id_col), row_key(id_col, text_col)))
+    wanted = chosen.select(*[c.alias(n) for n, c in of(F.col("doc_id"), F.col("rid")).items()])
+    keys = ["_no_id", "_id", "_rid"]
+    return keyed.join(wanted, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def utf8(column: pa.Array) -> list[bytes]:
