@@ -101,7 +101,7 @@ def bridges(edges: DataFrame, theory: Column, practice: Column, papers: DataFram
 def document_similarity(chunk_pairs: DataFrame, k: int = 5, weight: str | None = None) -> DataFrame:
     """from_paper < to_paper, num_chunk_pairs and similarity by maximum, mean, weighted mean and mean of the k highest.
 
-    The k highest are kept by a bounded partial aggregate per pair of documents, not by a sort of all pairs.
+    The list behind the k highest is one of a single pair of documents, at most the product of their numbers of chunks.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     p = chunk_pairs.select(F.least("from_paper", "to_paper").alias("from_paper"), F.greatest("from_paper", "to_paper").alias("to_paper"), "sim", w.alias("w"))

@@ -8,9 +8,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.ordered import ranked, running_sum, with_previous
+
 
 def log_ratio_alpha(edges: DataFrame, original: str, amplified: str) -> DataFrame:
     """n, mean, sd of ln(amplified) / ln(original) where original > 0.1, amplified > 0 and the ratio is within 0.5 and 2."""
@@ -155,22 +157,21 @@ def auc(df: DataFrame, score: str, flag: str) -> DataFrame:
     Scores are counted first; the running count then goes over distinct scores, not rows.
     """
     by = df.groupBy(score).agg(F.count_if(F.col(flag)).alias("p"), F.count_if(~F.col(flag)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = by.withColumn("below", below)
+    x = running_sum(by, [F.col(score)], "q", "below")
     return x.agg(F.sum(F.col("p") + F.col("q")).alias("n"), F.sum("p").alias("positives"), (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def rank_fit(counts: DataFrame, count: str, key: str) -> DataFrame:
     """n, slope, intercept, r2 of ln(count) against ln(rank); ranks by falling count, then key."""
-    r = counts.where(F.col(count) > 0).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(count), key)))
+    r = ranked(counts.where(F.col(count) > 0).withColumn("_falling", -F.col(count)), [F.col("_falling"), F.col(key)])
     y, x = F.ln(count), F.ln("rank")
     return r.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
 def inversions(df: DataFrame, order: str, value: str) -> DataFrame:
     """n, drops: neighbours by ``order`` whose value falls."""
-    before = F.lag(value).over(Window.orderBy(order, value))
-    return df.select(F.col(value).alias("v"), before.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("b")).alias("drops"))
+    x = with_previous(df.select(F.col(order).alias("o"), F.col(value).alias("v")), [F.col("o"), F.col("v")], "v", "b")
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("b")).alias("drops"))
 
 
 def entropy(counts: DataFrame, group: str, count: str) -> DataFrame:

@@ -237,3 +237,16 @@ def test_runs(spark, tmp_path):
     assert runs.synthetic_counts(spark, 100).agg(F.min("n")).first()[0] >= 1
     f = stats.fit_alpha(runs.synthetic_alpha_points(spark, 500), "context", "base", "amplified").first()
     assert f["alpha"] == pytest.approx(1.5, abs=0.05)
+
+
+def test_ordered_against_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from lattica.operators import ordered
+
+    df = spark.range(500).select("id", F.pmod(F.xxhash64("id"), F.lit(40)).alias("o"), (F.col("id") % 7).alias("v"))
+    w = Window.orderBy("o", "id")
+    want = df.select("id", F.row_number().over(w).alias("r"), F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"), F.lag("v").over(w).alias("p"))
+    order = [F.col("o"), F.col("id")]
+    got = ordered.ranked(df, order, "r").select("id", "r").join(ordered.running_sum(df, order, "v", "s").select("id", "s"), "id").join(ordered.with_previous(df, order, "v", "p").select("id", "p"), "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
