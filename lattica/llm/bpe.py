@@ -153,14 +153,9 @@ def read_spec(path: str) -> str:
 
 
 def default_path() -> str:
-    import sys
-
-    if "/opt/tokenizers" not in sys.path:
-        sys.path.append("/opt/tokenizers")
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return "/opt/tokenizers/word_bpe_49k.json"
+    """Where the public tokenizers' package keeps the file."""
+    import public_tokenizers
+
     return public_tokenizers.path("word_bpe_49k.json")
 
 

@@ -5,7 +5,6 @@ import hashlib
 import json
 import random
 import re
-import sys
 
 import numpy as np
 import pytest
@@ -323,7 +322,6 @@ def test_write_shards(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    sys.path.append("/opt/tokenizers")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
