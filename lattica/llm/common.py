@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +64,16 @@ def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id") -> Colum
 
 #: Bytes of text, about, and rows that a kernel sees at once.
 PIECE_BYTES, PIECE_ROWS = 1 << 20, 1024
+#: Most rows and bytes of an Arrow batch. Texts are long, and batches lie outside the executor's heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch bounds to ``BATCH`` where they are higher or none."""
+    for key, most in BATCH.items():
+        digits = re.match(r"\d+", spark.conf.get(key))
+        if not digits or not 0 < int(digits[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def pieces(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[pa.RecordBatch]:
@@ -79,6 +90,8 @@ def pieces(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[pa.RecordBatch]:
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table], schema: str, text_at: int = 1) -> DataFrame:
     """``mapInArrow`` over record batches that are cut to bounded pieces of text before ``fn`` sees them."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, text_at):
@@ -90,6 +103,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table], schema: s
 def arrow_filter(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool] | np.ndarray], text_col: str) -> DataFrame:
     """Rows of ``df``, with all columns, for which ``keep`` says so of bounded pieces; no exchange."""
     at = df.columns.index(text_col)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, pieces, utf8
+from lattica.llm.common import arrow_map, bound_batches, pieces, utf8
 from lattica.llm.recurrent import Adam, sigmoid
 from lattica.llm.samples import labelled_sample
 from lattica.llm.words import mix, range_hashes, word_hashes
@@ -102,6 +102,7 @@ def corpus_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "run", "sums"])
 
+    bound_batches(docs.sparkSession)
     runs = docs.select(F.col(text_col).alias("text")).mapInArrow(count, SUMS)
     n = max(1, docs.select(text_col).rdd.getNumPartitions())
     for _ in range(max(1, math.ceil(math.log(n, FAN_IN) - 1e-9))):

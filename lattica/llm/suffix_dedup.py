@@ -166,7 +166,8 @@ def counted_repeats(strings: DataFrame, size: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, rid, spans: byte ranges [lo, hi, ...], in no order and overlapping, of repeated strings of ``size`` bytes. ``docs`` has doc_id, text, rid."""
     listed = materialize(document_anchors(docs, size, k), "anchors")
-    again = listed.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    # As a table of its own, so that the join's two sides are plain exchanges, of which Spark can split a hot hash.
+    again = materialize(listed.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "again")
     shared = materialize(listed.join(again, "h", "left_semi"), "shared")
     drop_scratch(listed)
     one = F.min(F.struct("doc_id", "rid", "at", "off", "n")).alias("one")
