@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lattica.functions import ids
 from lattica.functions import text as tx
 from lattica.functions.packers import packed_chunks
-from lattica.operators import cluster, encode, pairs
+from lattica.functions.vector import norm
+from lattica.operators import chunking, cluster, encode, pairs
 from lattica.plans.graph import r6
 from lattica.plans.registry import CHUNKS, PAPERS, query
 from lattica.sources import tables as tb
@@ -190,6 +191,20 @@ def packed_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_chunks(tb.table(spark, sf_dir, "documents"), by="chars").select("doc_id", "chunk_index", "start_char", "end_char")
 
 
+@query(f"""WITH {TYPED} SELECT paper_id || '_chunk_' || chunk_index AS chunk_id, paper_id AS doc_id, chunk_index, len(string_split(text, ' '))::INTEGER AS tokens, m AS has_equations, c AS has_code, f AS has_figures, b AS has_tables, chunk_type FROM ty""")
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = chunking.chunk_records(tb.table(spark, sf_dir, "documents"), size=64, overlap=16)
+    flags = [f"metadata.{c}" for c in ("has_equations", "has_code", "has_figures", "has_tables", "chunk_type")]
+    return r.select("chunk_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "tokens", *flags)
+
+
+@query()
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all chunks, by the stand-in encoder, as their norm and first entry."""
+    v = chunking.embedded_chunks(chunking.chunk_records(tb.table(spark, sf_dir, "documents")), encode.hashing_encoder(32))
+    return v.select("chunk_id", r6(norm(F.col("v")), "norm"), r6(F.col("v")[0], "first"))
+
+
 @query()
 def encoded_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoder and pair join together, over the benchmark items."""
