@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vector import dot, norm, unit
+from lattica.sources.scratch import settle
 
 #: Rows of a block.
 BLOCK = 4096
@@ -26,8 +27,9 @@ def _blocks(vecs: DataFrame, block: int, parts: int) -> tuple[DataFrame, DataFra
     """Unit vectors (id, u, b) with their block, and the blocks (b, lo, hi) with their range of angles to the pivot."""
     usable = vecs.where(norm(F.col("v")) > 0).select("id", unit(F.col("v")).alias("u"))
     # The pivot is the first axis: its cosine is the first entry, so no pass over the data is needed to choose it.
-    with_angle = usable.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("u")[0]))))
-    n = usable.count()
+    # The vectors may come from a join; as a table they are made once, and counts and quantiles read one column.
+    with_angle = settle(usable.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("u")[0])))), "unit-vectors")
+    n = with_angle.count()
     k = max(1, -(-n // block), min(parts, n // 256))
     cuts = with_angle.approxQuantile("angle", [i / k for i in range(1, k)], 0.01) if k > 1 else []
     b = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("angle"))) if cuts else F.lit(0)
