@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,6 +35,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+def for_ascii(pattern: str) -> str:
+    """The pattern with \\p{L}, \\p{N} and \\s, all inside sets, spelled out for lower-case ASCII text."""
+    return pattern.replace(r"\s", r" \t-\r").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+
+
 class WordBpe:
     """Encoder and decoder of a word-end BPE file: NFC, white space to one space, lower case; words by the file's pattern; byte-level symbols."""
 
@@ -50,10 +56,11 @@ class WordBpe:
         by_id = {i: s for s, i in (self.vocab | added).items()}
         self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.added = {s: pack("<I", i) for s, i in added.items()}
-        self.at_added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.at_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
-        self.space = regex.compile(r"\s+").sub
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern).findall
+        self.ascii_words = re.compile(for_ascii(pattern)).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -110,11 +117,15 @@ class WordBpe:
     def _plain(self, text: str, out: list[bytes]) -> None:
         if not text:
             return
-        text = self.space(" ", unicodedata.normalize("NFC", text))
-        # Lower case goes by code point: no rule that looks at neighbours (final sigma) may apply.
-        text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+        # White space is in no word, so how much of it there is makes no difference.
+        if text.isascii():
+            words = self.ascii_words(text.lower())
+        else:
+            text = unicodedata.normalize("NFC", text)
+            # Lower case goes by code point: no rule that looks at neighbours (final sigma) may apply.
+            words = self.words(text.lower() if "Σ" not in text else "".join(map(str.lower, text)))
         recent = self.young.get
-        for w in self.words(text):
+        for w in words:
             got = recent(w)
             if got is None:
                 got = self._fetch(w)
