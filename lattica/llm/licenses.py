@@ -4,6 +4,8 @@ Texts are split into sentences, sentences are normalised and mapped to identifie
 sequence of identifiers is matched against ordered license rules. A rule holds where its sentences follow one another
 in order with at most ``GAP`` unknown sentences between neighbours. Identifiers are single code points of a private
 area, so that a document is one short string and a rule one regular expression over it.
+
+Sentences of rules that are wrapped over lines, or that hold a sentence end themselves, are put on one line first.
 """
 
 from __future__ import annotations
@@ -67,11 +69,48 @@ def rule_patterns() -> list[tuple[str, str]]:
     return [(name, (UNKNOWN and r"\.{0,%d}" % GAP).join(SENTENCES[normal(x)] for x in xs)) for name, xs in RULES]
 
 
+#: How the published sentence goes on where a rule has its beginning only.
+REST: dict[str, str] = {RULES[2][1][0]: ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions"}
+
+
+def _spread(sentence: str) -> str:
+    """Expression of a rule's sentence in marked text: single line breaks may be between its words; where the splitter cuts the sentence itself, a sentence end is."""
+    cuts = [r"(?: | ?\n ?)".join(map(re.escape, normal(x).split())) for x in re.split(r"[.!?;:]+ ", sentence)]
+    return r"[ .]*\n\n[ .]*".join(cuts)
+
+
+def wrapped_patterns() -> list[tuple[str, str]]:
+    """Expression and normalised sentence, for each sentence of a rule; groups hold what stays before it."""
+    whole = dict.fromkeys(x for _, xs in RULES for x in xs)
+    return [(r"(?<![^\n])([ .]*)" + _spread(x) + (f"(?:{_join(REST[x])})?" if x in REST else "") + r"(?=[ .]*(?:\n|\z))", normal(x)) for x in whole]
+
+
+def _join(rest: str) -> str:
+    return r"(?: | ?\n ?)" + _spread(rest)
+
+
 def sentences(text: Column) -> Column:
-    """Sentences end at a line break, or at . ! ? ; : before white space. Lower-cased, other signs than [a-z0-9.+/-] become one space."""
+    """Sentences end at a line break, or at . ! ? ; : before white space. Lower-cased, other signs than [a-z0-9.+/-] become one space.
+
+    A rule's sentence is one sentence also where single line breaks wrap it, and where it holds such a sign before a blank.
+    """
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = F.regexp_replace(lower, r"[.!?;:]+[ \t]+", "\n")
-    return F.split(F.regexp_replace(marked, r"[^a-z0-9.+/\n-]+", " "), r"\n+")
+    # Two line breaks or more end a sentence for certain, one may wrap it.
+    marked = F.regexp_replace(F.regexp_replace(lower, r"[.!?;:]+[ \t]+", "\n\n"), r"([.!?;:]\r?)\n", "$1\n\n")
+    plain = F.regexp_replace(marked, r"[^a-z0-9.+/\n-]+", " ")
+    return F.split(F.when(plain.rlike(_some()), _unwrapped(plain)).otherwise(plain), r"\n+")
+
+
+def _some() -> str:
+    """Holds where a line begins as a sentence that is wrapped or cut may."""
+    starts = dict.fromkeys(r"(?: | ?\n ?|[ .]*\n\n[ .]*)".join(map(re.escape, s.split()[:3])) for s in SENTENCES)
+    return r"(?<![^\n])[ .]*(?:" + "|".join(starts) + ")"
+
+
+def _unwrapped(plain: Column) -> Column:
+    for pattern, sentence in wrapped_patterns():
+        plain = F.regexp_replace(plain, pattern, "$1" + sentence)
+    return plain
 
 
 def identifiers(text: Column) -> Column:

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -412,6 +413,31 @@ def test_license_scan(spark):
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_rules_on_published_texts(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.|This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    bsd = 'Copyright (c) 2020, A. Body|Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:|1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.|2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
+    published = [
+        ("MIT", 'Copyright (c) 2020 A. Body|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:|The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.|THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at|http://www.apache.org/licenses/LICENSE-2.0'),
+        ("GPL-3.0-or-later", gpl.format(":", ",", 3)), ("GPL-2.0-or-later", gpl.format(";", ";", 2)),
+        ("BSD-2-Clause,BSD-3-Clause", bsd + "|3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        ("BSD-2-Clause", bsd),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ]
+    published += [(name, xs[0].capitalize() + ".") for name, xs in licenses.RULES if len(xs) == 1 and name not in ("ISC", "MPL-2.0", "Unlicense")]
+    assert {n for n, _ in licenses.RULES} == {n for names, _ in published for n in names.split(",")}
+    wrap = lambda t, width, eol="\n", indent="": (eol * 2).join(eol.join(textwrap.wrap(x, width, subsequent_indent=indent, break_long_words=False)) for x in t.split("|"))
+    forms = [lambda t: wrap(t, 78), lambda t: wrap(t, 50, "\r\n"), lambda t: wrap(t, 30, indent="   "), lambda t: "# A title\n" + wrap(t, 78), lambda t: wrap(t, 10_000)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(frame(spark, [f(t) for f in forms for _, t in published])).collect()}
+    assert [got[i] for i in range(len(got))] == [name for _ in forms for name, _ in published]
+    apart = ["Released under\n\nthe MIT License", "Released under.\nthe MIT License", "We were released\nunder the MIT License", "Released under\nthe MIT License today", "Mozilla Public License, v. 2.0"]
+    assert collected(licenses.license_scan(frame(spark, apart)), "licenses", "n_known") == [("", 0)] * len(apart)
+    whole = licenses.license_scan(frame(spark, ["a\nReleased under\nthe MIT\nLicense.\nb"]))
+    assert collected(whole, "n_sentences", "n_known", "n_rules") == [(3, 1, 1)]
+
+
 def test_oracles_agree(spark, sf_dir):
     import duckdb
 
