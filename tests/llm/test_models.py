@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lattica.llm import common, quality, recurrent, toxicity
+from lattica.llm import common, quality, recurrent, samples, toxicity
 
 RUDE = ["stupid", "idiot", "grobian", "lowlife"]
 
@@ -124,6 +124,42 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert len(got[0][0]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
 
 
+def small_sample(spark, texts, y, monkeypatch, bound=1000, ids=None):
+    """Sample of rows outside the fold, in the order of their hashes."""
+    monkeypatch.setattr(samples, "SAMPLE_BYTES", bound)
+    docs = spark.createDataFrame(list(zip(ids or range(len(texts)), texts, strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame(sorted(set(zip(ids or range(len(texts)), y, strict=True))), "doc_id long, toxic int")
+    return samples.labelled_sample(docs, labels, "toxic", 2, 2, 100)
+
+
+@pytest.mark.parametrize("long", [2000, 400])
+def test_long_texts_do_not_empty_the_sample(spark, monkeypatch, long):
+    order = [r[0] for r in spark.range(40).selectExpr("id", "xxhash64(id) h").orderBy("h").collect()]
+    texts = [f"text {i}" for i in range(40)]
+    for i in order[:3]:
+        texts[i] = f"{i} " + "x" * long
+    got, y = small_sample(spark, texts, [i % 2 for i in range(40)], monkeypatch)
+    assert {t.decode() for t in got} >= {t for t in texts if len(t) < 20}
+    assert sorted(set(y.tolist())) == [0, 1]
+    assert all(sum(len(t) for t, v in zip(got, y, strict=True) if v == k) <= 1000 for k in (0, 1))
+    assert len(got) > 37 if long == 400 else len(got) == 37
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_repeated_rows_do_not_empty_the_sample(spark, monkeypatch, same):
+    first = spark.range(1, 20).selectExpr("id", "xxhash64(id) h").orderBy("h").first()[0]
+    ids = list(range(1, 20)) + [first] * 200
+    texts = [f"text {i}" for i in range(1, 20)] + ["again and again" if same else f"text {first} {k}" for k in range(200)]
+    got, _ = small_sample(spark, texts, [1] * len(ids), monkeypatch, ids=ids)
+    assert {t.decode().split()[1] for t in got} >= {str(i) for i in range(1, 20) if i != first}
+
+
+def test_a_label_without_sample_fails(spark, monkeypatch):
+    with pytest.raises(ValueError, match="toxic 1"):
+        small_sample(spark, ["a", "b", "x" * 1001], [0, 0, 1], monkeypatch)
+    assert small_sample(spark, ["a", "b"], [0, 0], monkeypatch)[1].tolist() == [0, 0]
+
+
 def test_context_sums_against_loops(spark):
     texts = [b"a b a c", b"", b"b!! a", b"x"]
     row, bound = quality.tokens(texts)
