@@ -51,8 +51,8 @@ def kept(grams: np.ndarray, w: int = W) -> np.ndarray:
 class Items:
     """Fingerprints of a block of items."""
 
-    def __init__(self, rows: list[tuple[str, str | None]]) -> None:
-        self.ids = [str(i) for i, _ in rows]
+    def __init__(self, rows: list[tuple[str | None, str | None]]) -> None:
+        self.ids = [None if i is None else str(i) for i, _ in rows]
         self.words: list[np.ndarray] = []
         marks: list[tuple[int, int, int]] = []
         self.short: dict[int, dict[int, list[int]]] = {}
@@ -134,7 +134,7 @@ def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], id_type: str) -> DataFrame:
+def _pass(docs: DataFrame, rows: list[tuple[str | None, str | None]], id_type: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
     def run(batch: pa.RecordBatch) -> pa.Table:
@@ -143,15 +143,15 @@ def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], id_type: str) ->
         merged = [[x for r in union(runs.get(d, [])) for x in r] for d in range(batch.num_rows)]
         return pa.table({
             "doc_id": batch.column(0), "rid": batch.column(2), "n_words": pa.array(n, pa.int64()), "runs": pa.array(merged, pa.list_(pa.int32())),
-            "items": pa.array([sorted(items.ids[k] for k in found.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string())),
+            "items": pa.array([sorted({items.ids[k] for k in found.get(d, ())}, key=lambda i: (i is None, i)) for d in range(batch.num_rows)], pa.list_(pa.string())),
         })
 
     return arrow_map(docs, run, f"doc_id {id_type}, rid long, n_words long, runs array<int>, items array<string>")
 
 
-def item_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, a stated query set, in blocks of about ``block`` bytes; at least one block."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL")
+def item_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items, a stated query set, in blocks of about ``block`` bytes; at least one block. Equal rows once."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // block) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
@@ -175,10 +175,10 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, runs, items: one row per document; runs are hit word ranges [lo, hi, ...], items the sorted item ids.
+    """doc_id, n_words, runs, items: one row per document; runs are hit word ranges [lo, hi, ...], items the sorted, distinct item ids.
 
-    Null and empty texts have no words. Items without words have no window; repeated items are each reported. With no
-    item at all, nothing is hit. Rows that repeat id and text get the same answer. Other columns are ignored.
+    Null and empty texts have no words. Items without words have no window. Items with a null id are hit like others; all
+    of them are one null at the end of the items, which counts in ``n_items`` and is left out of the digest. With no item at all, nothing is hit. Rows that repeat id and text get the same answer. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
