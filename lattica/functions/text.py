@@ -152,23 +152,23 @@ def chunk_type(text: Column, flags: tuple[Column, Column, Column, Column] | None
     )
 
 
-def section_header(text: Column) -> Column:
+def section_header(text: Column, in_capitals: bool = True) -> Column:
     """The first of the first ten lines, at most 100 characters long, that is a header; null if none is.
 
-    Headers are marked with #, LaTeX commands, a leading number, or are several words in capitals (given in title case).
+    Headers are marked with #, LaTeX commands, a leading number, or are several words in capitals (given in title case; not with ``in_capitals`` off).
     """
 
     def header(line: Column) -> Column:
         latex = reduce(lambda a, b: a | b, [F.startswith(line, F.lit(c)) for c in LATEX_HEADERS])
         inside = F.regexp_extract(line, r"\{(.+)\}", 1)
         capitals = (F.upper(line) == line) & (F.lower(line) != line) & line.rlike(r"\S\s+\S") & ~line.rlike(r"\d")
-        return (
+        marked = (
             F.when((line == "") | (F.length(line) > 100), F.lit(None).cast("string"))
             .when(F.startswith(line, F.lit("#")), F.trim(F.regexp_replace(line, "^#+|#+$", "")))
             .when(latex & (inside != ""), inside)
             .when(line.rlike(r"^\d+\.?\d*\s+[A-Z][a-zA-Z\s]+$"), line)
-            .when(capitals, F.initcap(F.lower(line)))
         )
+        return marked.when(capitals, F.initcap(F.lower(line))) if in_capitals else marked
 
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 10), lambda s: header(F.regexp_replace(s, r"^\s+|\s+$", "")))
     return F.try_element_at(F.array_compact(lines), F.lit(1))

@@ -62,11 +62,10 @@ SELECT doc_id, list_filter(list_transform(ls, lambda l: CASE WHEN l = '' OR leng
   WHEN regexp_matches(l, '^\\(sub)?(sub)?(section|chapter|paragraph)\{{.+\}}') THEN regexp_extract(l, '\{{(.+)\}}', 1) WHEN regexp_matches(l, '^\d+\.?\d*\s+[A-Z][a-zA-Z\s]+$') THEN l END), lambda x: x IS NOT NULL)[1] AS header,
   len(ls)::INTEGER AS lines FROM li""")
 def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers that both engines can spell; those in capitals are tested apart, since cases of letters differ between engines."""
+    """Marked and numbered headers, as the SQL has them; those in capitals are tested apart, since cases of letters differ between engines."""
     d = tb.table(spark, sf_dir, "documents").select("doc_id", "text")
-    h = tx.section_header(F.col("text"))
     lines = F.size(F.slice(F.split("text", "\n"), 1, 10))
-    return d.select("doc_id", F.when(~h.rlike(r"^\d") & F.col("text").rlike(r"(?m)^[^a-z]*$"), F.lit(None).cast("string")).otherwise(h).alias("header"), lines.alias("lines"))
+    return d.select("doc_id", tx.section_header(F.col("text"), in_capitals=False).alias("header"), lines.alias("lines"))
 
 
 @query(rf"""SELECT page_id, len(regexp_extract_all(html, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1))::INTEGER AS sections, len(regexp_extract_all(html, '<img '))::INTEGER AS images, len(regexp_extract_all(html, '<table'))::INTEGER AS tables,

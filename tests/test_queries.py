@@ -45,6 +45,17 @@ def test_query(spark, sf_dir, con, name):
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
 
 
+def test_section_headers_of_texts_with_empty_lines(spark, tmp_path):
+    texts = [("# Introduction\n\nbody", "Introduction"), ("# TITLE", "TITLE"), ("\n\\section{Deep Water}\n\nbody", "Deep Water"), ("2.3 Methods\n\nx", "2.3 Methods"), ("plain\n\ntext", None), ("RELATED WORK\n# Next", "Next"), ("", None), (None, None)]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["section_headers"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["header"] for r in got] == [h for _, h in texts]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(f"SELECT header FROM ({catalog.oracle_sql()['section_headers']}) ORDER BY doc_id").fetchall()
+    assert [h for _, h in texts] == [h for h, in want]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
