@@ -214,11 +214,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def full_text(title: Column, categories: Column, abstract: Column, body: Column, references: Column, limit: int = 512_000) -> Column:
-    """Labelled parts with an empty line between; missing parts are left out; at most 20 references."""
+def full_text(title: Column, categories: Column, abstract: Column, body: Column, references: Column, limit: int | None = None) -> Column:
+    """Labelled parts with an empty line between; missing parts are left out; at most 20 references. ``limit``, in characters, is for encoders that take no more."""
     refs = F.when(F.coalesce(F.size(references), F.lit(0)) > 0, F.concat(F.lit("References: "), F.array_join(F.slice(references, 1, 20), "; ")))
     parts = F.concat_ws("\n\n", F.concat(F.lit("Title: "), title), F.concat(F.lit("Categories: "), F.array_join(categories, ", ")), F.concat(F.lit("Abstract: "), abstract), F.nullif(body, F.lit("")), refs)
-    return F.substring(parts, 1, limit)
+    return parts if limit is None else F.substring(parts, 1, limit)
 
 
 def mentions(text: Column, names: list[str]) -> Column:

@@ -33,6 +33,13 @@ def test_section_header(spark, text, header):
     assert one(spark, tx.section_header(F.col("t")), t=text) == header
 
 
+def test_full_text_is_whole(spark):
+    parts = [F.lit("T"), F.array(F.lit("c"), F.lit("d")), F.lit("a"), F.repeat(F.lit("word "), 120_000), F.array(F.lit("last"))]
+    want = "Title: T\n\nCategories: c, d\n\nAbstract: a\n\n" + "word " * 120_000 + "\n\nReferences: last"
+    assert one(spark, tx.full_text(*parts)) == want
+    assert one(spark, tx.full_text(*parts, limit=9)) == want[:9]
+
+
 def test_word_windows(spark):
     text = " ".join(f"w{i}" for i in range(10))
     got = one(spark, tx.word_windows(F.col("t"), 4, 1), t=text)
