@@ -40,6 +40,39 @@ def for_ascii(pattern: str) -> str:
     return pattern.replace(r"\s", r" \t-\r").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
 
 
+# Code points that Unicode 16 added as letters and as numbers.
+ADDED = {
+    "L": [
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+        (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ],
+    "N": [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)],
+}
+# Lower cases that Unicode 16 and 17 added.
+ADDED_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+ADDED_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+SOME_ADDED = re.compile(f"[{''.join(map(chr, ADDED_LOWER))}]").search
+
+
+@lru_cache(maxsize=2)
+def code_points(major: str) -> str:
+    """The code points of a general category in Unicode 16, which the library has, as ranges of a set: those of Unicode 15.1, which Python's tables have, and those added since. ``regex`` may have later ones, which call more code points letters."""
+    edges, inside = [], False
+    for c in range(0x110001):
+        now = c < 0x110000 and unicodedata.category(chr(c))[0] == major
+        if now != inside:
+            edges.append(c)
+            inside = now
+    ranges = [*((a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)), *ADDED[major]]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def for_unicode(pattern: str) -> str:
+    """The pattern with \\p{L} and \\p{N}, all inside sets, spelled out."""
+    return pattern.replace(r"\p{L}", code_points("L")).replace(r"\p{N}", code_points("N"))
+
+
 class WordBpe:
     """Encoder and decoder of a word-end BPE file: NFC, white space to one space, lower case; words by the file's pattern; byte-level symbols."""
 
@@ -59,7 +92,7 @@ class WordBpe:
         self.at_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
-        self.words = regex.compile(pattern).findall
+        self.words = regex.compile(for_unicode(pattern)).findall
         self.ascii_words = re.compile(for_ascii(pattern)).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -123,7 +156,8 @@ class WordBpe:
         else:
             text = unicodedata.normalize("NFC", text)
             # Lower case goes by code point: no rule that looks at neighbours (final sigma) may apply.
-            words = self.words(text.lower() if "Σ" not in text else "".join(map(str.lower, text)))
+            low = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+            words = self.words(low.translate(ADDED_LOWER) if SOME_ADDED(low) else low)
         recent = self.young.get
         for w in words:
             got = recent(w)

@@ -20,28 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors.
+    """The session's own folder, shared by driver and executors; Spark removes it when the driver ends.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset (tests, local mode) a temporary
-    folder is made once and kept in the same setting.
+    ``spark.checkpoint.dir`` names its parent. Where that is unset, a local master gets a temporary folder, made once;
+    on a cluster, where executors would each write to their own disk, that is an error.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        context.setCheckpointDir(base)
+    where = f"{base.rstrip('/')}/lattica-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return where
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, so lost executors recompute from files."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` to the session's shared folder and reads it back, so lost executors recompute from files."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(df: DataFrame) -> None:
-    """Deletes the files of a frame that ``materialize`` returned."""
+    """Deletes the files of a frame that ``materialize`` returned, once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -113,14 +121,41 @@ def arrow_filter(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool] | np
     return df.mapInArrow(run, df.schema)
 
 
-def only_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, with all columns, whose (doc_id, rid) is chosen; of rows that repeat id and text one."""
-    # Join and duplicate removal have one set of keys, so the texts are exchanged once.
-    of = lambda c, rid: {"_no_id": c.isNull(), "_id": F.coalesce(c, F.lit(0)), "_rid": rid}
-    keyed = docs.withColumns(of(F.col(id_col), row_key(id_col, text_col)))
-    wanted = chosen.select(*[c.alias(n) for n, c in of(F.col("doc_id"), F.col("rid")).items()])
-    keys = ["_no_id", "_id", "_rid"]
-    return keyed.join(wanted, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, with all columns, written with a number of their own; and the number's column, which clashes with none."""
+    number = fresh(docs, "row_no")
+    return materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+
+
+def of_numbers(rows: DataFrame, number: str, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``numbered`` whose number is (``left_anti``: is not) in the one column of ``chosen``, without the number.
+
+    Numbers are unique, so no key is hot; ids of any type, null ids and repeated rows make no difference.
+    """
+    wanted = chosen.toDF(number)
+    return rows.join(wanted, number, how).select(*[F.col(f"`{c}`") for c in rows.columns if c != number])
+
+
+def by_run(rows: DataFrame, told: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of ``rows``, which have a column ``run``, with ``told``, which has each key once.
+
+    ``told`` first meets the distinct keys of each run, then each run's rows: a key that very many rows have never
+    brings more than one run's rows together.
+    """
+    return rows.join(rows.select("run", *keys).distinct().join(told, keys, how), ["run", *keys])
+
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Adds ``run``, a number by hash of a column that is never hot."""
+    return rows.withColumn("run", F.pmod(F.xxhash64(by), F.lit(4 * n_partitions(rows.sparkSession))).cast("int"))
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm import bpe, chat, decontaminate, exact_dedup, licenses, quality, sharding, simhash, suffix_dedup, toxicity
 from lattica.llm.common import table
@@ -40,6 +41,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("row_no")
 
 
+#: A limit that splits small tables too.
+SMALL = 64 << 10
+
+
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op7_sharding`` with a limit that makes many shards of any table."""
+    return sharding.shard(table(spark, sf_dir, "documents"), SMALL).drop("row_no")
+
+
+def sharding_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by source, of which there are few and one is hot: such buckets go on by the bits of the row."""
+    cut = sharding.shard(table(spark, sf_dir, "documents"), SMALL, "source", row=F.col("doc_id"))
+    return cut.withColumnsRenamed({"doc_id": "source", "row_no": "doc_id"})
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -53,7 +69,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_decontaminate, op4_quality, op5_exact_dedup, op6_simhash, op7_sharding, op8_bpe, op9_chat, op10_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_decontaminate, op4_quality, op5_exact_dedup, op6_simhash, op7_sharding, sharding_small, sharding_hot_keys, op8_bpe, op9_chat, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -61,6 +77,8 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_sharding": sharding.ORACLE_SQL,
+        "sharding_small": sharding.oracle(SMALL),
+        "sharding_hot_keys": sharding.oracle(SMALL, "source", "doc_id"),
         "op9_chat": chat.ORACLE_SQL,
         "op10_licenses": licenses.ORACLE_SQL,
     }

@@ -3,9 +3,10 @@
 A fingerprint of 64 bits is two segments of 32. Of two fingerprints that differ in at most three bits, one segment
 differs in at most one: every fingerprint is filed under its segments, and looks up each segment's Hamming ball of
 radius one. Of two values one bit apart just one has that bit clear, so only clear bits are set on the way. Matches
-are verified by their whole distance. Equal fingerprints are one entry, whatever the number of documents. A filed
-value with more than ``HOT`` entries is filed by the halves of the other segment as well (one of which differs in at
-most one bit), so that no entry meets a whole hot group. Links make components by rounds of smallest-neighbour
+are verified by their whole distance. Equal fingerprints are one entry, whatever the number of documents, and the
+answer goes back to each run of rows by itself. A filed value with more than ``MEET`` entries is filed by the halves of
+the other segment as well (one of which differs in at most one bit), so that no entry meets a whole large group; one
+plan does both, and the links are the same for any ``MEET``. Links make components by rounds of smallest-neighbour
 stars over tables in the shared folder.
 """
 
@@ -17,11 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, drop_scratch, materialize, only_rows, row_key, utf8
+from lattica.llm.common import arrow_map, by_run, dealt, drop_scratch, materialize, numbered, of_numbers, utf8
 from lattica.llm.words import LOWER
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-HOT = 512
+#: Entries that meet under one segment value alone.
+MEET = 512
 
 
 def fingerprint(text: bytes, k: int = SHINGLE) -> int:
@@ -45,15 +47,16 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(cut), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, rid, fp (the 64 bits as a long), one row per input row. Null text has no words."""
+def fingerprints(docs: DataFrame, number: Column, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """doc_id, row_no, run, fp (the 64 bits as a long), one row per input row. Null text has no words."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         fps = np.array([fingerprint(t, k) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-        return pa.table({"doc_id": batch.column(0), "rid": batch.column(2), "fp": pa.array(fps)})
+        return pa.table({"doc_id": batch.column(0), "row_no": batch.column(2), "run": batch.column(3), "fp": pa.array(fps)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid")), run, f"doc_id {kind}, rid long, fp long")
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), number.alias("row_no"), F.spark_partition_id().alias("run"))
+    return arrow_map(read, run, f"doc_id {kind}, row_no long, run int, fp long")
 
 
 def _bits(x: Column, low: int, n: int) -> Column:
@@ -72,21 +75,21 @@ def _full_ball(x: Column, n: int) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """a < b: all pairs of distinct fingerprints (column fp, each once) that differ in at most three bits."""
+    """a < b: all pairs of distinct fingerprints (column fp, each once) that differ in at most three bits.
+
+    A fingerprint has at most 43,744 others within three bits, so pairs grow with fingerprints, not with their square.
+    """
     segment = lambda s: F.struct(F.lit(s).alias("seg"), _bits(F.col("fp"), 32 * s, 32).alias("key"))
     probe = lambda s: F.transform(_ball(_bits(F.col("fp"), 32 * s, 32), 32), lambda v: F.struct(F.lit(s).alias("seg"), v.alias("key")))
     filed = fps.select("fp", F.inline(F.array(segment(0), segment(1))))
     asked = fps.select("fp", F.inline(F.concat(probe(0), probe(1))))
-    hot = filed.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("seg", "key", F.lit(True).alias("hot"))
+    hot = filed.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEET).select("seg", "key", F.lit(True).alias("hot"))
     hot = materialize(hot, "hot")
-    some = not hot.isEmpty()
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS) & (F.col("fp") != F.col("other"))
 
     def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         return left.join(right.withColumnRenamed("fp", "other"), keys).where(near).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
-    if not some:
-        return met(asked, filed, ["seg", "key"]).distinct()
     mark = lambda x: x.join(hot, ["seg", "key"], "left")
     filed, asked = mark(filed), mark(asked)
     cold = met(asked.where("hot IS NULL").drop("hot"), filed.where("hot IS NULL").drop("hot"), ["seg", "key"])
@@ -110,39 +113,48 @@ def components(edges: DataFrame) -> DataFrame:
         heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
         told = labels.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
         # A label hears of the smaller labels its members have met (hooking), then labels are followed once (jumping).
-        hook = told.groupBy(F.col("was").alias("r")).agg(F.min("root").alias("to"))
-        hooked = told.join(hook, told["was"] == hook["r"]).select("node", "was", F.least("root", "to").alias("root"))
-        jump = hooked.select(F.col("node").alias("r2"), F.col("root").alias("far"))
-        after = hooked.join(jump, hooked["root"] == jump["r2"], "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
+        # Labels of large components are hot keys, so both joins go by runs.
+        hook = told.groupBy("was").agg(F.min("root").alias("to"))
+        hooked = by_run(dealt(told, "node"), hook, ["was"]).select("node", "was", "run", F.least("root", "to").alias("root"))
+        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        after = by_run(hooked, jump, ["root"], "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
         after = materialize(after, "labels")
         drop_scratch(labels)
         labels = after.select("node", "root")
         if after.where("root != was").isEmpty():
+            drop_scratch(both)
             return labels
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, number: Column) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of rows; and of each fingerprint its component's first row (null ids last)."""
-    rows = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("least")
+    rows = materialize(fingerprints(docs, number, id_col, text_col, k), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("least")
     nodes = materialize(rows.groupBy("fp").agg(first), "nodes")
     roots = components(links(nodes.select("fp")))
     grouped = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     firsts = grouped.groupBy("root").agg(F.min("least").alias("first"))
-    return rows, grouped.join(firsts, "root").select("fp", "first")
+    return rows, by_run(dealt(grouped, "fp"), firsts, ["root"]).select("fp", "first")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per input row; component_id is the smallest doc_id that links reach.
 
     Null, empty and blank texts have fingerprint 0, linked like any other. Rows that repeat an id are rows of their
-    own. A null id is never the smallest. An empty table gives an empty result; other columns are ignored.
+    own. A null id is never the smallest. A very long text is one row like others. An empty table gives an empty
+    result; other columns are ignored.
     """
-    rows, of = _grouped(docs, id_col, text_col, k)
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, F.lit("0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    rows, of = _grouped(docs, id_col, text_col, k, F.monotonically_increasing_id())
+    return by_run(rows, of, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, F.lit("0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """One row of each component, with all columns: that of the smallest id."""
-    _, of = _grouped(docs, id_col, text_col, k)
-    return only_rows(docs, of.select("first.doc_id", "first.rid").distinct(), id_col, text_col)
+    """One row of each component, with all columns: that of the smallest id (null ids last, of repeated ids one row).
+
+    Ids may be of any type that has an order; columns may have any names. An empty table gives an empty result.
+    """
+    rows, number = numbered(docs)
+    prints, of = _grouped(rows, id_col, text_col, k, F.col(number))
+    chosen = materialize(of.select("first.row_no").distinct(), "stay")
+    drop_scratch(prints)
+    return of_numbers(rows, number, chosen)

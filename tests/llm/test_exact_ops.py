@@ -268,7 +268,7 @@ def test_simhash(spark, texts):
 
 @pytest.mark.parametrize("hot", [512, 0, 3])
 def test_links_find_all_pairs(spark, monkeypatch, hot):
-    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "MEET", hot)
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(12)]
     values = set(base)
@@ -331,6 +331,23 @@ def test_sharding_splits_one_hot_key(spark):
     assert collected(sharding.shard(frame(spark, ["a"], ids=[None]), 10), "doc_id", "shard") == [(None, "")]
 
 
+def test_write_shards_keeps_clashing_columns(spark, tmp_path):
+    rows = [("a1", "x" * 90, 1, "s", 5), (None, None, 2, "t", 6), ("a1", "x" * 90, 1, "s", 5), ("é", "y" * 900, 3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _row long, shard string, row_no long")
+    name = sharding.write_shards(df, str(tmp_path / "s"), 100)
+    assert name == "_shard"
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(tuple, back.select(*df.columns).collect()), key=repr) == sorted(rows, key=repr)
+    assert back.groupBy(name).agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("k")).where("n > 100 AND k > 1").isEmpty()
+
+
+def test_sharding_of_alike_row_numbers(spark):
+    df = frame(spark, ["x" * 60] * 6, ids=[1] * 6)
+    rows = sharding.shard(df, 100, row=F.lit(7)).collect()
+    assert len(rows) == 6
+    assert all(r["oversized"] for r in rows)
+
+
 def test_write_shards(spark, tmp_path):
     df = frame(spark, ["x" * 100] * 50, ids=[*range(25), *[3] * 25]).select("doc_id", "text")
     sharding.write_shards(df, str(tmp_path / "s"), 1000)
@@ -369,6 +386,19 @@ def test_bpe_is_the_library(spark, texts, tokenizer):
     assert bpe.encode_decode(frame(spark, [])).count() == 0
 
 
+def test_bpe_of_every_kind_of_code_point(tokenizer):
+    """Every code point that is not assigned in Unicode 15.1 or stands at an edge of a category, and each 40th of the rest."""
+    import unicodedata
+
+    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    new = [c for c in range(0x110000) if kinds[c] == "Cn" and (0x300 < c < 0x20000 or 0x2A000 < c < 0x34000)]
+    some = [c for c in range(1, 0x110000) if kinds[c] not in ("Cs", "Co", "Cn") and (kinds[c] != kinds[c - 1] or c % 40 == 0)]
+    texts = ["".join(f"a{chr(c)}{chr(c)} {chr(c)}" for c in x[i : i + 8]) for x in (new, some) for i in range(0, len(x), 8)]
+    b = bpe.WordBpe(json.loads(bpe.read_spec(bpe.default_path())))
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, want, strict=True) if b.encode(t) != e.ids] == []
+
+
 def test_bpe_forgets_safely(monkeypatch, tokenizer):
     monkeypatch.setattr(bpe, "CACHE", 3)
     b = bpe.WordBpe(json.loads(bpe.read_spec(bpe.default_path())))
