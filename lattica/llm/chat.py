@@ -4,23 +4,32 @@ A conversation is a log of events with a sequence number. Events are partitioned
 and folded from left to right into final messages:
 
 =============  ==============================================================================
-``message``    appends a message of ``role`` with ``text``
+``message``    appends a message of ``role`` with ``text``; so do kinds not listed
 ``delta``      appends ``text`` to the last message, if that has the same role, else starts one
-``edit``       replaces the text of message ``target`` (0-based)
+``edit``       replaces the text of message ``target`` (0-based), of the last one if that is null
 ``regenerate`` drops the last message, if it is of ``role``, and starts it anew with ``text``
 =============  ==============================================================================
 
-Messages are then rendered into one string, with the spans (offset and length in code points) of the assistant texts
+The fold is linear and is not one task's work: events are dealt by range of conversation and sequence, and what a part
+must know of earlier ones (the last role, the number of messages) is a small table with a row for each part and
+conversation. An event then knows its message, and a message is what follows its last reset. Only finished messages
+meet as a conversation.
+
+Messages are rendered into one string, with the spans (offset and length in code points) of the assistant texts
 as the loss mask. Control strings within roles and texts are escaped so that reading the string back is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.text import let
+from lattica.llm.common import materialize, n_partitions, numbered
+
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
-MESSAGES = "array<struct<role:string,text:string>>"
+#: Lengths summed in one step of a running sum within a row.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -37,59 +46,77 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\o|"), F.lit("<|")), F.lit("\\e"), F.lit("\\"))
 
 
-def fold(events: Column) -> Column:
-    """Messages of a sorted array of event structs (kind, role, text, target)."""
+def placed(events: DataFrame) -> DataFrame:
+    """Adds ``at``, the message that an event (conv, seq, kind, role, text, target, row_no) is about, and ``reset``, whether the message's text begins anew with it.
 
-    def message(e: Column) -> Column:
-        return F.array(F.struct(e["role"].alias("role"), e["text"].alias("text")))
+    ``conv`` is a struct, so that a null id is a key like others.
 
-    def step(acc: Column, e: Column) -> Column:
-        n = F.size(acc)
-        last_is = (n > 0) & (F.element_at(acc, F.greatest(n, F.lit(1)) * 0 - 1)["role"] == e["role"])
-        head = F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0)))
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(head, F.array(F.struct(last["role"].alias("role"), F.concat(last["text"], e["text"]).alias("text"))))
-        edited = F.transform(acc, lambda m, i: F.when(i == e["target"], F.struct(m["role"].alias("role"), e["text"].alias("text"))).otherwise(m))
-        return (
-            F.when((e["kind"] == "delta") & last_is, joined)
-            .when(e["kind"] == "edit", edited)
-            .when((e["kind"] == "regenerate") & last_is, F.concat(head, message(e)))
-            .otherwise(F.concat(acc, message(e)))
-        )
-
-    return F.aggregate(events, F.array().cast(MESSAGES), step)
+    Edits of a message that is not there have no place and go.
+    """
+    order = ["seq", "kind", "role", "text", "target", "row_no"]
+    dealt = events.repartitionByRange(n_partitions(events.sparkSession), "conv", *order).withColumn("part", F.spark_partition_id())
+    moves = F.col("kind") != "edit"
+    e = materialize(dealt.withColumn("moved", F.when(moves, F.col("role"))), "events")
+    own = Window.partitionBy("conv", "part").orderBy(*order)
+    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # The last role before each part: one row for each part of a conversation.
+    roles = e.where("moved IS NOT NULL").groupBy("conv", "part").agg(F.max_by("moved", F.struct(*order)).alias("role_then"))
+    parts = e.select("conv", "part").distinct()
+    told = parts.join(roles, ["conv", "part"], "left").select("conv", "part", F.last("role_then", ignorenulls=True).over(earlier).alias("role_before"))
+    before = F.coalesce(F.last("moved", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("role_before"))
+    joins = F.col("kind").isin("delta", "regenerate") & F.coalesce(before == F.col("role"), F.lit(False))
+    e = e.join(told, ["conv", "part"]).withColumn("starts", (moves & ~joins).cast("long"))
+    counts = e.groupBy("conv", "part").agg(F.sum("starts").alias("n"))
+    base = counts.select("conv", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    e = e.join(base, ["conv", "part"])
+    last = F.col("base") + F.sum("starts").over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    at = F.when(moves, F.col("last")).when(F.col("last") >= 0, F.when(F.col("target").isNull(), F.col("last")).when(F.col("target").between(0, F.col("last")), F.col("target").cast("long")))
+    reset = (F.col("starts") == 1) | (F.col("kind") != "delta")
+    return e.withColumn("last", last).select("conv", *order, "starts", at.alias("at"), reset.alias("reset")).where("at IS NOT NULL")
 
 
 def reconstruct(events: DataFrame, conv: str = "conv_id", seq: str = "seq") -> DataFrame:
-    """conv, messages. ``events`` has conv, seq, kind, role, text and target.
+    """conv, messages. ``events`` has conv, seq (of any type that has an order), kind, role, text and target.
 
     A null role or text counts as empty, a null kind as ``message``. Events of one sequence number are taken by kind,
-    role and text, so the result doesn't hang on row order; a repeated row is an event of its own. A log that has only
-    messages is its own fold and skips the left-to-right pass. A null conversation id is one conversation. An empty log
-    gives an empty result; other columns are ignored.
+    role and text, so the result doesn't hang on row order; a repeated row is an event of its own. A null conversation
+    id is one conversation. A conversation whose events are all edits has no messages and no row. An empty log gives an
+    empty result; other columns are ignored. A finished conversation is one row and must fit a task.
     """
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    one = F.struct(F.col(seq).alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), text("role").alias("role"), text("text").alias("text"), F.col("target").cast("int").alias("target"))
-    logs = events.groupBy(conv).agg(F.sort_array(F.collect_list(one)).alias("log"))
-    plain = F.transform("log", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text")))
-    return logs.select(conv, F.when(F.forall("log", lambda e: e["kind"] == "message"), plain).otherwise(fold(F.col("log"))).alias("messages"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows, number = numbered(events.select(F.struct(F.col(conv).alias("id")).alias("conv"), F.col(seq).alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), text("role"), text("text"), F.col("target").cast("int").alias("target")))
+    e = placed(rows.withColumnRenamed(number, "row_no"))
+    place = F.struct("seq", "kind", "role", "text", "target", "row_no")
+    pieces = e.withColumn("place", place).groupBy("conv", "at").agg(
+        F.min_by("role", F.struct((1 - F.col("starts")).alias("later"), "place")).alias("role"), F.max(F.when(F.col("reset"), F.col("place"))).alias("since"), F.array_sort(F.collect_list("place")).alias("log"))
+    whole = F.array_join(F.transform(F.filter("log", lambda p: p >= F.col("since")), lambda p: p["text"]), "")
+    messages = pieces.select("conv", "at", "role", whole.alias("text")).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("m"))
+    return messages.select(F.col("conv.id").alias(conv), F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
+
+
+def sums_before(sizes: Column) -> Column:
+    """Of each entry, the sum of all before it; in blocks, so that long arrays are not copied for each entry."""
+
+    def running(xs: Column, start: Column) -> Column:
+        upto = F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.slice(upto, F.lit(1), F.size(xs))
+
+    def of(xs: Column) -> Column:
+        blocks = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array().cast("array<array<bigint>>"))
+        return let(blocks, lambda bs: let(F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x)), lambda totals: F.flatten(
+            F.transform(bs, lambda b, i: running(b, F.aggregate(F.slice(totals, F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x))))))
+
+    return let(sizes, of)
 
 
 def render(convs: DataFrame, conv: str = "conv_id") -> DataFrame:
     """conv, formatted, loss_spans: the string, and offset and length (code points) of each assistant text in it."""
-    parts = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), escape_role(m["role"]).alias("r"), escape(m["text"]).alias("t")))
-    framed = F.transform("parts", lambda m: F.struct(
-        m["role"].alias("role"),
-        F.concat(F.lit(START), m["r"], F.lit(MIDDLE), m["t"], F.lit(END)).alias("s"),
-        (F.length(m["r"]) + len(START) + len(MIDDLE)).alias("at"),
-        F.length(m["t"]).alias("n"),
-    ))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,n:int>>").alias("spans"))
-    spans = F.aggregate("framed", zero, lambda acc, m: F.struct(
-        (acc["pos"] + F.length(m["s"])).alias("pos"),
-        F.when(m["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["pos"] + m["at"]).alias("at"), m["n"].alias("n"))))).otherwise(acc["spans"]).alias("spans"),
-    ), lambda acc: acc["spans"])
-    return convs.withColumn("parts", parts).withColumn("framed", framed).select(conv, F.array_join(F.transform("framed", lambda m: m["s"]), "").alias("formatted"), spans.alias("loss_spans"))
+    framed = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), escape_role(m["role"]).alias("r"), escape(m["text"]).alias("t")))
+    spelled = F.transform("framed", lambda m: F.concat(F.lit(START), m["r"], F.lit(MIDDLE), m["t"], F.lit(END)))
+    sizes = F.transform("framed", lambda m: (F.length(m["r"]) + F.length(m["t"]) + len(START + MIDDLE + END)).cast("long"))
+    spans = F.zip_with("framed", sums_before(sizes), lambda m, at: F.struct(m["role"].alias("role"), (at + F.length(m["r"]) + len(START + MIDDLE)).cast("int").alias("at"), F.length(m["t"]).alias("n")))
+    of_assistant = F.transform(F.filter(spans, lambda s: s["role"] == "assistant"), lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n")))
+    return convs.withColumn("framed", framed).select(conv, F.array_join(spelled, "").alias("formatted"), of_assistant.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -125,12 +152,26 @@ def digests(chats: DataFrame) -> DataFrame:
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as the log of a streamed chat, to be folded back into them.
+
+    Each turn comes as a message with the first third of its text, a delta, an edit that spoils it, a regeneration and
+    the delta that completes it. Sequence numbers are structs: turn, role, text, row and step.
+    """
+    rows, number = numbered(turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]))
+    third = F.floor(F.length("text") / 3).cast("int")
+    first, second, rest = F.left("text", third), F.substring("text", third + 1, third), F.substring("text", third + 1, F.length("text"))
+    steps = [("message", first), ("delta", second), ("edit", F.concat(F.lit("no: "), F.col("text"))), ("regenerate", first), ("delta", rest)]
+    log = F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(k).alias("kind"), t.alias("piece")) for i, (k, t) in enumerate(steps)]))
+    return rows.select("conv_id", "turn", "role", "text", number, log).select(
+        "conv_id", F.struct("turn", "role", "text", number, "step").alias("seq"), "kind", "role", F.col("piece").alias("text"), F.lit(None).cast("int").alias("target"))
+
+
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """Turns as events, and conversation -1, whose texts are control strings."""
-    spark = conversations.sparkSession
-    as_events = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text", F.lit(None).cast("int").alias("target"))
-    probe = spark.sql("SELECT -1L AS conv_id, id AS seq, 'message' AS kind, IF(id = 0, 'user', 'assistant') AS role, :probe AS text, CAST(NULL AS INT) AS target FROM range(2)", args={"probe": PROBE})
-    return as_events.unionByName(probe)
+    """The turns, and conversation -1, whose texts are control strings, as streamed logs."""
+    probe = conversations.sparkSession.sql("SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, :probe AS text FROM range(2)", args={"probe": PROBE})
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return streamed(turns.unionByName(probe))
 
 
 ORACLE_SQL = rf"""
