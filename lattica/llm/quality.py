@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import arrow_map, bound_batches, pieces, utf8
 from lattica.llm.recurrent import Adam, sigmoid
-from lattica.llm.samples import labelled_sample
+from lattica.llm.samples import SAMPLE_BYTES, labelled_sample
 from lattica.llm.words import mix, range_hashes, word_hashes
 
 BITS, DIM, NONZERO, REACH = 15, 32, 4, 2
@@ -190,10 +190,10 @@ def train(model: Model, texts: list[bytes], y: np.ndarray, seed: int = 11) -> Mo
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Word vectors from all documents; labels only from rows whose crc32(doc_id) mod 5 is not 0."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Word vectors from all documents; labels only from rows whose crc32(doc_id) mod 5 is not 0, of each label at most ``sample`` texts and ``sample_bytes`` bytes."""
     model = Model(word_vectors(corpus_sums(docs)))
-    return train(model, *labelled_sample(docs, labels, "quality", 0, 5, sample))
+    return train(model, *labelled_sample(docs, labels, "quality", 0, 5, sample, sample_bytes))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,8 +12,8 @@ SAMPLE_BYTES = 6 << 20
 SHARE = 16
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, out_of: int, sample: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most ``sample`` rows of each label outside the held-out fold; equal texts once. At most ``SAMPLE_BYTES`` of text of each label: ids are chosen first, by hash; then texts up to the bound.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, out_of: int, sample: int, most: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of at most ``sample`` rows of each label outside the held-out fold; equal texts once. At most ``most`` bytes of text of each label: ids are chosen first, by hash; then texts up to the bound.
 
     The first texts of all ids come before their second ones, and very long texts come last, the shorter first, so that neither takes the room of others.
     A label whose rows leave no text in the sample is an error.
@@ -23,11 +23,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, o
     ids = known.where("y = 1").orderBy("order", "doc_id").limit(sample).unionByName(known.where("y = 0").orderBy("order", "doc_id").limit(sample))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     once = texts.groupBy("text").agg(F.min(F.struct("order", "doc_id", "y")).alias("least")).select("text", "least.*").withColumn("size", F.octet_length("text"))
-    late = F.when(F.col("size") > SAMPLE_BYTES // SHARE, F.col("size")).otherwise(0)
+    late = F.when(F.col("size") > most // SHARE, F.col("size")).otherwise(0)
     ranked = once.withColumn("late", late).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("late", "text")))
     # The order and the bound hold the same rows whatever the partitions are.
     running = F.sum("size").over(Window.partitionBy("y").orderBy("late", "nth", "order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    rows = ranked.withColumn("before", running).where(F.col("before") <= SAMPLE_BYTES).select("text", "y", "order").collect()
+    rows = ranked.withColumn("before", running).where(F.col("before") <= most).select("text", "y", "order").collect()
     lost = {0, 1} - {r["y"] for r in rows}
     if lost and (of := docs.select("doc_id").join(known.where(F.col("y").isin(*lost)), "doc_id").select("y").first()):
         raise ValueError(f"no text of {label} {of['y']} is in the sample, though rows have that label")

@@ -8,8 +8,10 @@ Neighbouring windows share anchors, so each anchor stands for a run of windows,
 2.  Anchors whose hash occurs once are done. Equal strings are one entry with a count; with a count of two or more all
     their windows are repeated, however large the group of copies is.
 3.  Of hashes that have several different strings, one of each string is fetched. Strings of one anchor meet, are
-    ordered by deep-shallow suffix sorting, and equal windows found along that order (``suffix_sort``). A hash with
-    more than ``HOT`` different strings is not brought together: its windows are hashed and counted one by one.
+    ordered by deep-shallow suffix sorting, and equal windows found along that order (``suffix_sort``). Where an anchor
+    has more than ``MEET`` strings, its group is first split by more of the bytes around it: windows are classed by where
+    the anchor stands in them, all windows of a class hold the same bytes before and after it, and these are the new
+    group. Classes are halved until groups are small; equal pieces are repeats and go on as one.
 4.  Documents get their repeated windows back and are cut.
 """
 
@@ -23,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, drop_scratch, materialize, n_partitions, row_key, same_row, utf8
+from lattica.llm.common import arrow_map, by_run, dealt, drop_scratch, materialize, n_partitions, numbered, utf8
 from lattica.llm.suffix_sort import repeated_windows
 from lattica.llm.words import mix, range_hashes, sliding_min
 
 SIZE, K = 200, 32
 #: Bytes of one document whose anchors are found at once.
 BLOCK = 1 << 20
-HOT = 20_000
-#: Strings sorted at once.
+#: Strings of one group that are sorted together.
+MEET = 1024
+#: Strings that a task sorts at once.
 CHUNK = 1 << 15
 PLACE_BITS = 22
 
@@ -70,7 +73,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray, size: int = SIZE, k: int = K) ->
 
 
 def document_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """doc_id, rid, h, c, at, off, n: all anchors of all documents."""
+    """row_no, run, h, c, at, off, n: all anchors of all documents (row_no, text, run)."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         texts = utf8(batch.column(1))
@@ -90,16 +93,15 @@ def document_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
             at = to
         text, first, off, count, h, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else anchors(np.zeros(0, np.uint8), np.zeros(0, np.int64))
         take = pa.array(text.astype(np.int64))
-        return pa.table({"doc_id": batch.column(0).take(take), "rid": batch.column(2).take(take), "h": pa.array(h.view(np.int64)), "c": pa.array(c.view(np.int64)), "at": pa.array(first.astype(np.int64)), "off": pa.array(off.astype(np.int32)), "n": pa.array(count.astype(np.int32))})
+        return pa.table({"row_no": batch.column(0).take(take), "run": batch.column(2).take(take), "h": pa.array(h.view(np.int64)), "c": pa.array(c.view(np.int64)), "at": pa.array(first.astype(np.int64)), "off": pa.array(off.astype(np.int32)), "n": pa.array(count.astype(np.int32))})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs, run, f"doc_id {kind}, rid long, h long, c long, at long, off int, n int")
+    return arrow_map(docs, run, "row_no long, run int, h long, c long, at long, off int, n int")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """h, c, off, n, string: the strings of the wanted anchors (doc_id, rid, h, c, at, off, n), cut from their documents."""
-    lists = wanted.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("h", "c", "at", "off", "n")).alias("wanted"))
-    one = docs.join(lists, same_row(docs, lists)).select(lists["doc_id"], "text", "wanted")
+    """h, c, off, n, string: the strings of the wanted anchors (row_no, h, c, at, off, n; each h and c once), cut from their documents."""
+    lists = wanted.groupBy("row_no").agg(F.collect_list(F.struct("h", "c", "at", "off", "n")).alias("wanted"))
+    one = docs.join(lists, "row_no").select("row_no", "text", "wanted")
 
     def cut(batch: pa.RecordBatch) -> pa.Table:
         h, c, off, n, s = [], [], [], [], []
@@ -112,12 +114,11 @@ def fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 s.append(text[w["at"] : w["at"] + w["n"] + size - 1])
         return pa.table({"h": pa.array(h, pa.int64()), "c": pa.array(c, pa.int64()), "off": pa.array(off, pa.int32()), "n": pa.array(n, pa.int32()), "string": pa.array(s, pa.binary())})
 
-    # Rows that repeat id and text would each be cut; one of them is enough.
-    return arrow_map(one, cut, "h long, c long, off int, n int, string binary").dropDuplicates(["h", "c"])
+    return arrow_map(one, cut, "h long, c long, off int, n int, string binary")
 
 
 def sorted_repeats(strings: DataFrame, size: int) -> DataFrame:
-    """h, c, runs: of each string the runs [lo, hi, ...] of windows that another string of its anchor has too."""
+    """h, c, lo, runs: of each piece (g, h, c, lo, off, n, string; in order of g) the runs [lo, hi, ...] of windows that another piece of its group g has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -126,19 +127,19 @@ def sorted_repeats(strings: DataFrame, size: int) -> DataFrame:
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
             t = pa.Table.from_batches(held)
-            h = t["h"].to_numpy()
-            end = len(h) if last else int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            g = t["g"].to_numpy()
+            end = len(g) if last else int(np.searchsorted(g, g[-1]))  # the last group may go on
             if end:
                 own = t.slice(0, end)
-                hh, off, n = own["h"].to_numpy(), own["off"].to_numpy().astype(np.int64), own["n"].to_numpy().astype(np.int64)
-                group = np.cumsum(np.concatenate([[0], hh[1:] != hh[:-1]]))
+                gg, off, n = own["g"].to_numpy(), own["off"].to_numpy().astype(np.int64), own["n"].to_numpy().astype(np.int64)
+                group = np.cumsum(np.concatenate([[0], gg[1:] != gg[:-1]]))
                 flags = repeated_windows(own["string"].to_pylist(), off, n, group, size)
                 runs = []
                 edges = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
                 row, col = np.nonzero(edges)
                 for part in np.split(col, np.searchsorted(row, np.arange(1, len(flags)))):
                     runs.append(part.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(hh), own["c"].combine_chunks(), pa.array(runs, pa.list_(pa.int32()))], ["h", "c", "runs"])
+                yield pa.RecordBatch.from_arrays([*(own[x].combine_chunks() for x in ("h", "c", "lo")), pa.array(runs, pa.list_(pa.int32()))], ["h", "c", "lo", "runs"])
             rest = t.slice(end)
             held, rows = rest.to_batches(), rest.num_rows
 
@@ -151,38 +152,69 @@ def sorted_repeats(strings: DataFrame, size: int) -> DataFrame:
         if rows:
             yield from flush(True)
 
-    return strings.mapInArrow(run, "h long, c long, runs array<int>")
-
+    return strings.mapInArrow(run, "h long, c long, lo int, runs array<int>")
 
-def counted_repeats(strings: DataFrame, size: int) -> DataFrame:
-    """As ``sorted_repeats``, for anchors with very many strings: windows are counted one by one, partial counts first."""
-    windows = strings.select("h", "c", "off", "string", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("h", "c", "i", (F.col("off") - F.col("i")).alias("a"), F.expr(f"substring(string, i + 1, {size})").alias("w"))
-    windows = windows.select("h", "c", "i", F.struct("a", F.xxhash64("w").alias("w1"), F.xxhash64("w", F.lit(1)).alias("w2")).alias("w"))
-    twice = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "w")
-    hits = windows.join(twice, ["h", "w"]).groupBy("h", "c").agg(F.array_sort(F.collect_list("i")).alias("hits"))
-    return hits.select("h", "c", F.flatten(F.transform("hits", lambda i: F.array(i, i + 1))).alias("runs"))
 
+def split(pieces: DataFrame, width: int, size: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces cut by classes of ``width`` places of the anchor in a window, each in a group by the bytes its windows share, equal ones once; and h, c, lo, runs of pieces that are equal.
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT) -> DataFrame:
-    """doc_id, rid, spans: byte ranges [lo, hi, ...], in no order and overlapping, of repeated strings of ``size`` bytes. ``docs`` has doc_id, text, rid."""
-    listed = materialize(document_anchors(docs, size, k), "anchors")
+    A window's place is the number of bytes before its anchor. Windows of places p to p + width - 1 all hold the p bytes
+    before the anchor and the size - p - width + 1 bytes from it on.
+    """
+    classes = F.sequence(F.floor((F.col("off") - F.col("n") + 1) / width).cast("int"), F.floor(F.col("off") / width).cast("int"))
+    x = pieces.select("g", "h", "c", "lo", "off", "n", "string", F.explode(classes).alias("of")).withColumn("p", F.col("of") * width)
+    x = x.withColumns({"least": F.greatest("p", F.col("off") - F.col("n") + 1), "most": F.least(F.col("p") + width - 1, F.col("off"))})
+    x = x.select("g", "h", "c", "of", "p", (F.col("lo") + F.col("off") - F.col("most")).alias("lo"), F.col("most").alias("off"), (F.col("most") - F.col("least") + 1).alias("n"),
+                 F.substring("string", F.col("off") - F.col("most") + 1, F.col("most") - F.col("least") + size).alias("string"))
+    known = F.substring("string", F.col("off") - F.col("p") + 1, F.col("p") + F.greatest(F.lit(k), size - F.col("p") - width + 1))
+    x = x.select(F.xxhash64("g", F.lit(width), "of", known).alias("g"), "h", "c", "lo", "off", "n", "string", F.struct("off", "n", F.xxhash64("string").alias("x"), F.xxhash64("string", F.lit(1)).alias("y")).alias("same"))
+    alike = x.groupBy("g", "same").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("first"))
+    told = materialize(by_run(dealt(x, "c"), alike, ["g", "same"]).drop("run", "same"), "pieces")
+    equal = told.where("m > 1").select("h", "c", "lo", F.array(F.lit(0), F.col("n")).alias("runs"))
+    return told.where("c = first").select("g", "h", "c", "lo", "off", "n", "string"), equal
+
+
+def repeats(strings: DataFrame, size: int, k: int, meet: int) -> DataFrame:
+    """h, c, runs: of strings (h, c, off, n, string) the runs of windows that another string of the same h has too; large groups are split until at most ``meet`` strings are sorted together."""
+    pieces, width = strings.select(F.col("h").alias("g"), "h", "c", F.lit(0).alias("lo"), "off", "n", "string"), size - k + 1
+    small, equal = None, None
+    while width > 1:
+        large = materialize(pieces.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > meet).select("g", F.lit(True).alias("large")), "large")
+        if large.isEmpty():
+            break
+        told = materialize(by_run(dealt(pieces, "c"), large, ["g"], "left").drop("run"), "told")
+        ready = told.where("large IS NULL").drop("large")
+        small = ready if small is None else small.unionByName(ready)
+        width = -(-width // 2)
+        pieces, same = split(told.where("large").drop("large"), width, size, k)
+        equal = same if equal is None else equal.unionByName(same)
+    pieces = pieces if small is None else small.unionByName(pieces)
+    parts = max(n_partitions(strings.sparkSession), strings.count() // CHUNK + 1)
+    met = sorted_repeats(pieces.repartition(parts, "g").sortWithinPartitions("g"), size)
+    met = (met if equal is None else met.unionByName(equal)).where(F.size("runs") > 0)
+    return met.select("h", "c", F.transform("runs", lambda x: x + F.col("lo")).alias("runs"))
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE, k: int = K, meet: int = MEET) -> DataFrame:
+    """row_no, spans: byte ranges [lo, hi, ...], in no order and overlapping, of repeated strings of ``size`` bytes. ``docs`` has row_no and text."""
+    listed = materialize(document_anchors(docs.select("row_no", "text", F.spark_partition_id().alias("run")), size, k), "anchors")
     # As a table of its own, so that the join's two sides are plain exchanges, of which Spark can split a hot hash.
     again = materialize(listed.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "again")
     shared = materialize(listed.join(again, "h", "left_semi"), "shared")
     drop_scratch(listed)
-    one = F.min(F.struct("doc_id", "rid", "at", "off", "n")).alias("one")
+    one = F.min(F.struct("row_no", "at", "off", "n")).alias("one")
     strings = materialize(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), one), "strings")
-    several = materialize(strings.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
-    wanted = strings.join(several, "h").select("one.*", "h", "c", "k")
-    got = materialize(fetch(docs, wanted.select("doc_id", "rid", "h", "c", "at", "off", "n"), size).join(several, "h"), "fetched")
-    parts = max(n_partitions(docs.sparkSession), got.count() // CHUNK + 1)
-    met = sorted_repeats(got.where(F.col("k") <= hot).drop("k").repartition(parts, "h").sortWithinPartitions("h"), size)
-    if not several.where(F.col("k") > hot).isEmpty():
-        met = met.unionByName(counted_repeats(got.where(F.col("k") > hot).drop("k"), size))
+    several = materialize(strings.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "several")
+    wanted = strings.join(several, "h").select("one.*", "h", "c")
+    got = materialize(fetch(docs, wanted, size), "fetched")
     whole = strings.where("m > 1").select("h", "c", F.array(F.lit(0), F.col("one.n")).alias("runs"))
-    found = met.where(F.size("runs") > 0).join(strings.where("m > 1").select("h", "c"), ["h", "c"], "left_anti").unionByName(whole)
+    found = repeats(got, size, k, meet).join(strings.where("m > 1").select("h", "c"), ["h", "c"], "left_anti").unionByName(whole)
     spans = F.transform("runs", lambda x, i: F.col("at") + x + F.when(i % 2 == 1, size - 1).otherwise(0))
-    return shared.join(found, ["h", "c"]).select("doc_id", "rid", spans.alias("spans")).groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = by_run(shared, found, ["h", "c"]).select("row_no", spans.alias("spans")).groupBy("row_no").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    done = materialize(out, "spans")
+    for t in (again, shared, strings, several, got):
+        drop_scratch(t)
+    return done
 
 
 def merge(spans: list[int]) -> list[tuple[int, int]]:
@@ -196,16 +228,15 @@ def merge(spans: list[int]) -> list[tuple[int, int]]:
     return list(zip(x[new, 0].tolist(), reach[np.append(new[1:] - 1, len(x) - 1)].tolist(), strict=True))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = K, hot: int = HOT, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = K, meet: int = MEET, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept (binary): one row per input row.
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents. Strings are judged on the input. Rows that
     repeat id and text each count as a place of their strings. Texts shorter than ``size`` bytes stay as they are. An
     empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid"))
-    spans = repeated_spans(docs, size, k, hot)
-    one = docs.join(spans, same_row(docs, spans), "left").select(docs["doc_id"], "text", "spans")
+    docs = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))[0]
+    one = docs.join(repeated_spans(docs, size, k, meet), "row_no", "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batch: pa.RecordBatch) -> pa.Table:

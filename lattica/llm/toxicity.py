@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import arrow_filter, arrow_map, utf8
-from lattica.llm.recurrent import GRAM_BITS, WORD_BITS, Adam, Network, Words, sigmoid, windows
-from lattica.llm.samples import labelled_sample
+from lattica.llm.recurrent import GRAM_BITS, IS_WORD, WORD_BITS, Adam, Network, Words, sigmoid, windows
+from lattica.llm.samples import SAMPLE_BYTES, labelled_sample
+from lattica.llm.words import LOWER, spans
 
 SIZE, STRIDE = 32, 16
 SAMPLE = 1500
@@ -23,24 +24,23 @@ EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 200, 256, 0.01
 #: Windows of a toxic text that count as toxic at most, and windows of clean texts in an epoch.
 POSITIVE, NEGATIVE = 4, 9000
 THRESHOLD = 0.7
-#: Longer texts are scored in overlapping parts, all of them.
-PART, OVERLAP = 1 << 20, 1 << 12
+#: Bytes of text, about, that are scored at once.
+BLOCK = 1 << 20
+#: Windows of a text that are scored at once; the grid of windows is that of the whole text.
+GRID = 4096
 
 
 def parts(text: bytes) -> list[bytes]:
-    """Overlapping parts of a very long text, cut at spaces where there are any."""
-    if len(text) <= PART:
+    """The text in parts of whole words whose windows, taken together, are just those of the whole text."""
+    step = GRID * STRIDE
+    if len(text) < 2 * (step + SIZE):  # it can't have more words than the first part holds
         return [text]
-    out, at = [], 0
-    while True:
-        end = at + PART
-        if end >= len(text):
-            return [*out, text[at:]]
-        cut = text.rfind(b" ", end - OVERLAP, end)
-        end = cut if cut > 0 else end
-        out.append(text[at:end])
-        back = text.find(b" ", end - OVERLAP, end)
-        at = back if back > 0 else end - OVERLAP
+    starts, ends = spans(np.frombuffer(text.translate(LOWER), np.uint8), IS_WORD)
+    n, out, a = len(starts), [], 0
+    while n - a > step + SIZE - STRIDE and a + step + SIZE <= n:
+        out.append(text[starts[a] : ends[a + step - STRIDE + SIZE - 1]])
+        a += step
+    return [*out, text[starts[a] :] if n else text]
 
 
 def all_windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ class Model:
 
         held = 0
         for o, piece in zip(of.tolist(), (p for c in cut for p in c), strict=True):
-            if held and held + len(piece) > PART:
+            if held and held + len(piece) > BLOCK:
                 flush()
                 block, owner, held = [], [], 0
             block.append(piece)
@@ -100,17 +100,27 @@ class Model:
         return np.where(np.isfinite(top), sigmoid(self.slope * np.where(np.isfinite(top), top, 0) + self.shift), 0.0)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, prior: float = 0.02) -> tuple[float, float]:
-    """Slope (at least 0.1) and shift of a logistic fit with soft targets; Newton steps with a small ridge."""
+def calibrate(x: np.ndarray, y: np.ndarray, prior: float = 0.02, rounds: int = 12) -> tuple[float, float]:
+    """Slope (at least 0.1) and shift of a logistic fit with soft targets; Newton steps with a small ridge.
+
+    Some texts are marked without a sign of it in them. At first these are those below the middle of both labels'
+    medians; each round then weighs how likely a marked text is such a one, given its logit and the rate of them.
+    """
     scale = max(1e-6, float(np.std(x)))
     z = np.stack([x / scale, np.ones_like(x)], axis=1)
     n1, n0 = y.sum(), len(y) - y.sum()
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    w = np.zeros(2)
-    for _ in range(30):
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    middle = (np.median(x[y == 1]) + np.median(x[y == 0])) / 2 if n1 and n0 else -np.inf
+    w, t = np.zeros(2), np.where((y == 1) & (x < middle), 1 / (n0 + 2), target)
+    for _ in range(rounds):
+        for _ in range(8):
+            q = sigmoid(z @ w)
+            hess = (z * (q * (1 - q))[:, None]).T @ z + prior * np.eye(2)
+            w -= np.linalg.solve(hess, z.T @ (q - t) + prior * w)
         q = sigmoid(z @ w)
-        hess = (z * (q * (1 - q))[:, None]).T @ z + prior * np.eye(2)
-        w -= np.linalg.solve(hess, z.T @ (q - t) + prior * w)
+        stray = (y == 1) * (1 - t / target)
+        rate = (stray.sum() + 0.01 * n1) / len(y)
+        t = np.where(y == 1, target * q / (q + rate * (1 - q)), target)
     return max(0.1, float(w[0] / scale)), float(w[1])
 
 
@@ -129,7 +139,10 @@ def _log_odds(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """A model of labelled texts. Without both labels it scores all texts alike."""
+    """A model of labelled texts. Without both labels it scores all texts alike.
+
+    A quarter of the texts is held back, sets the calibration, and is learned too in a last round.
+    """
     model = Model(Network(seed))
     rng = np.random.default_rng(seed)
     if len(set(y.tolist())) < 2:
@@ -138,43 +151,56 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS
     held = rng.random(len(texts)) < 0.25
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
+    opt = Adam(model.net.p, RATE)
     learn = np.flatnonzero(~held)
-    words, labels = Words.of_many([texts[i] for i in learn]), y[learn]
-    if not len(words.word):
+    if not _fit(model, opt, [texts[i] for i in learn], y[learn], rng, epochs, LEAST_STEPS):
         return model
-    word_odds, gram_odds = _log_odds(words, labels)
-    sign = np.concatenate([word_odds[p.word] + np.maximum.reduceat(gram_odds[p.gram], p.at[:-1]) for p in (words.part(a, b) for a, b in words.parts(1 << 16)) if len(p.word)])
-    opt = Adam(model.net.p, RATE)
+    tune = np.flatnonzero(held) if held.any() else learn
+    top = model.largest([texts[i] for i in tune])
+    fine = np.isfinite(top)
+    model.slope, model.shift = calibrate(top[fine], y[tune][fine])
+    if held.any():
+        opt.rate = RATE / 2
+        _fit(model, opt, texts, y, rng, 1, LEAST_STEPS // 2, warm=True)
+    return model
+
+
+def _fit(model: Model, opt: Adam, texts: list[bytes], y: np.ndarray, rng: np.random.Generator, epochs: int, least_steps: int, warm: bool = False) -> bool:
+    """Trains the network on all windows of the texts; False if they have no words. A network that is ``warm`` chooses windows by itself from the start."""
+    words = Words.of_many(texts)
+    if not len(words.word):
+        return False
     sizes = np.diff(words.bound)
     text, at, length = all_windows(words)
-    value = np.array([sign[a : a + n].max() for a, n in zip(at.tolist(), length.tolist(), strict=True)])
-    negative = np.flatnonzero(labels[text] == 0)
+    if warm:
+        value = model.window_logits(words)[2].astype(np.float64)
+    else:
+        word_odds, gram_odds = _log_odds(words, y)
+        sign = np.concatenate([word_odds[p.word] + np.maximum.reduceat(gram_odds[p.gram], p.at[:-1]) for p in (words.part(a, b) for a, b in words.parts(1 << 16)) if len(p.word)])
+        value = np.array([sign[a : a + n].max() for a, n in zip(at.tolist(), length.tolist(), strict=True)])
+    negative = np.flatnonzero(y[text] == 0)
     hard = negative[:0]
     steps = epoch = 0
-    while epoch < epochs or steps < LEAST_STEPS:
+    while epoch < epochs or steps < least_steps:
         order = np.lexsort((-value, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         best = np.full(len(sizes), -np.inf)
         np.maximum.at(best, text, value)
-        close = value[order] >= best[text[order]] - (1.0 if epoch < 2 else 3.0)
-        positive = order[(labels[text[order]] == 1) & (rank < POSITIVE) & close]
+        close = value[order] >= best[text[order]] - (1.0 if epoch < 2 and not warm else 3.0)
+        positive = order[(y[text[order]] == 1) & (rank < POSITIVE) & close]
         some = rng.choice(negative, min(NEGATIVE, len(negative)), replace=False)
         chosen = np.concatenate([positive, some, hard])
-        weight = np.where(labels[text[chosen]] == 1, len(chosen) / (2 * max(1, len(positive))), len(chosen) / (2 * max(1, len(chosen) - len(positive))))
+        weight = np.where(y[text[chosen]] == 1, len(chosen) / (2 * max(1, len(positive))), len(chosen) / (2 * max(1, len(chosen) - len(positive))))
         mixed = rng.permutation(len(chosen))
         for i in range(0, len(mixed), BATCH):
             part = mixed[i : i + BATCH]
-            _learn(model.net, opt, words, at[chosen[part]], length[chosen[part]], labels[text[chosen[part]]], weight[part], rng)
+            _learn(model.net, opt, words, at[chosen[part]], length[chosen[part]], y[text[chosen[part]]], weight[part], rng)
             steps += 1
         epoch += 1
-        if epoch >= 2:
+        if epoch >= 2 or warm:
             value = model.window_logits(words)[2].astype(np.float64)
             hard = negative[np.argsort(-value[negative])[: NEGATIVE // 6]]
-    tune = np.flatnonzero(held) if held.any() else learn
-    top = model.largest([texts[i] for i in tune])
-    fine = np.isfinite(top)
-    model.slope, model.shift = calibrate(top[fine], y[tune][fine])
-    return model
+    return True
 
 
 def _learn(net: Network, opt: Adam, words: Words, at: np.ndarray, length: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
@@ -199,9 +225,9 @@ def _learn(net: Network, opt: Adam, words: Words, at: np.ndarray, length: np.nda
     opt.step(grads | {"Ew": d_word, "Ec": d_gram})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on rows whose crc32(doc_id) mod 3 is not 1."""
-    return train(*labelled_sample(docs, labels, "toxic", 1, 3, sample))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Trains on rows whose crc32(doc_id) mod 3 is not 1: of each label at most ``sample`` texts and ``sample_bytes`` bytes."""
+    return train(*labelled_sample(docs, labels, "toxic", 1, 3, sample, sample_bytes))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +247,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, that score below the threshold."""
+    """The rows, with all columns, that score below the threshold; rows stay where they are.
+
+    Null and empty texts score 0 and stay. Whole texts are scored, very long ones too. Repeated rows get the same
+    answer. An empty table gives an empty result; columns may have any names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     return arrow_filter(docs, lambda piece: sent.value.score(utf8(piece.column(at))) < threshold, text_col)

@@ -63,18 +63,19 @@ def brute_repeats(rows, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(spark, texts, hot):
-    got = suffix_dedup.suffix_dedup(frame(spark, texts), hot=hot)
+@pytest.mark.parametrize("meet", [1024, 1])
+def test_suffix_dedup(spark, texts, meet):
+    got = suffix_dedup.suffix_dedup(frame(spark, texts), meet=meet)
     want = brute_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)], 200)
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert sum(w[2] for w in want) > 1000
 
 
-def test_suffix_dedup_small_window(spark):
+@pytest.mark.parametrize("meet", [1024, 3, 1])
+def test_suffix_dedup_small_window(spark, meet):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(30)]
-    got = suffix_dedup.suffix_dedup(frame(spark, texts), size=12, k=4, with_text=True)
+    got = suffix_dedup.suffix_dedup(frame(spark, texts), size=12, k=4, meet=meet, with_text=True)
     want = brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 12)
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got.collect())
@@ -100,6 +101,18 @@ def test_suffix_dedup_blocks_of_a_long_text(spark, monkeypatch):
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 200)
 
 
+def test_suffix_dedup_of_one_hot_line(spark):
+    """A line that most texts hold, each with other words around it, and some with equal words on one side."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line, left, right = word(60), [word(120) for _ in range(6)], [word(120) for _ in range(6)]
+    texts = [rng.choice([word(120), word(100) + rng.choice(left)[-rng.randint(1, 120) :]]) + line + rng.choice([word(120), rng.choice(right)[: rng.randint(1, 120)] + word(100)]) for _ in range(80)]
+    want = brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 200)
+    for meet in (1024, 10):
+        assert collected(suffix_dedup.suffix_dedup(frame(spark, texts), meet=meet), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert sum(w[2] for w in want) > 500
+
+
 def test_deep_shallow_order():
     rng = random.Random(3)
     for _ in range(20):
