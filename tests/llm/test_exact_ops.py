@@ -166,27 +166,26 @@ def leak_fixture():
     return [*docs, None, "", "fox " * 50], items
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_decontaminate(spark, block):
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_decontaminate(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BITS_MOST", bits)
     docs, items = leak_fixture()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    leaks = decontaminate.leak_digests(decontaminate.find_leaks(frame(spark, docs), bench, block=block))
+    leaks = decontaminate.leak_digests(decontaminate.find_leaks(frame(spark, docs), bench))
     want = brute_leaks(list(enumerate(docs)), items)
     assert collected(leaks, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     assert 3 < sum(w[5] for w in want) < len(want)
-    kept = decontaminate.remove_leaks(frame(spark, docs), bench, block=block)
+    kept = decontaminate.remove_leaks(frame(spark, docs), bench)
     assert collected(kept, "doc_id") == sorted(((w[0],) for w in want if not w[5]), key=repr)
     assert kept.columns == frame(spark, docs).columns
 
 
-@pytest.mark.parametrize("block", [1 << 20, 100])
-def test_decontaminate_repeated_and_null_items(spark, block):
+def test_decontaminate_repeated_and_null_items(spark):
     a, b, c = ("one two three four five six seven eight nine ten", "red fox jumps over the lazy dog at the moon", "Eins zwei")
     items = [(1, a), (1, a), (1, a), (1, b), (None, b), (None, c), (None, c), (2, c)]
     docs = [f"x {a} y", f"{b}. {a}", f"so {c}!", "nothing", b]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert (len(list(decontaminate.item_blocks(bench, block))) == 1) == (block > 100)
-    leaks = decontaminate.leak_digests(decontaminate.find_leaks(frame(spark, docs), bench, block=block))
+    leaks = decontaminate.leak_digests(decontaminate.find_leaks(frame(spark, docs), bench))
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = [(0, 10, 1, digest("1")), (1, 20, 2, digest("1")), (2, 2, 2, digest("2")), (3, 0, 0, digest("")), (4, 10, 2, digest("1"))]
     assert collected(leaks, "doc_id", "n_hit", "n_items", "items_sha256") == want
@@ -198,7 +197,7 @@ def test_decontaminate_repeated_and_null_items(spark, block):
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(docs)))
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     assert sorted(con.sql(f"SELECT doc_id, n_hit, n_items, items_sha256 FROM ({decontaminate.ORACLE_SQL})").fetchall()) == want
-    assert collected(decontaminate.remove_leaks(frame(spark, docs), bench.where("item_id IS NULL"), block=block), "doc_id") == [(0,), (3,)]
+    assert collected(decontaminate.remove_leaks(frame(spark, docs), bench.where("item_id IS NULL")), "doc_id") == [(0,), (3,)]
 
 
 def test_decontaminate_empty(spark):
