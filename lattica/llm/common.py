@@ -61,15 +61,6 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Key of a row within its id: rows that repeat id and text share it and share every result."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id") -> Column:
-    return left[id_col].eqNullSafe(right[id_col]) & (left["rid"] == right["rid"])
-
-
 #: Bytes of text, about, and rows that a kernel sees at once.
 PIECE_BYTES, PIECE_ROWS = 1 << 20, 1024
 #: Most rows and bytes of an Arrow batch. Texts are long, and batches lie outside the executor's heap.

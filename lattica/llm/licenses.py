@@ -1,11 +1,13 @@
 """License scan by sentence rules.
 
 Texts are split into sentences, sentences are normalised and mapped to identifiers of known license sentences, and the
-sequence of identifiers is matched against ordered license rules. A rule holds where its sentences follow one another
-in order with at most ``GAP`` unknown sentences between neighbours. Identifiers are single code points of a private
-area, so that a document is one short string and a rule one regular expression over it.
-
-Sentences of rules that are wrapped over lines, or that hold a sentence end themselves, are put on one line first.
+sequence of identifiers is matched against ordered license rules. A sentence ends at an empty line and at . ! ? ; : before
+white space; a single line break is a space, so wrapped texts read like others. The sentences of rules go through the
+same splitter, so a rule's sentence that holds such a sign is two sentences there as well. A sentence has the identifier
+of the longest known sentence that stands in it, by whole words; known sentences of fewer than ``WHOLE`` words must be
+all of it. A rule holds where its sentences follow one another in order with at most ``GAP`` other sentences between
+neighbours. Identifiers are single code points of a private area, so that a document is one short string and a rule one
+regular expression over it.
 """
 
 from __future__ import annotations
@@ -15,142 +17,148 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GAP = 2
+GAP, WHOLE = 2, 3
 FIRST = 0xE000
 UNKNOWN = "."
 
 # License identifiers and the sentences, in order, by which each rule knows its license.
 RULES: list[tuple[str, list[str]]] = [
-    ("MIT", ["released under the mit license"]),
-    ("MIT", ["licensed under the mit license"]),
-    ("MIT", ["permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction",
-             "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"]),
-    ("Apache-2.0", ["licensed under the apache license, version 2.0"]),
-    ("Apache-2.0", ["licensed under the apache license, version 2.0 (the \"license\")", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at"]),
-    ("GPL-3.0", ["this work is licensed under the gnu general public license, version 3"]),
-    ("GPL-3.0", ["licensed under the gnu general public license, version 3"]),
-    ("GPL-3.0-or-later", ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version",
-                          "this program is distributed in the hope that it will be useful, but without any warranty"]),
-    ("GPL-2.0-or-later", ["this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version",
-                          "this program is distributed in the hope that it will be useful, but without any warranty"]),
-    ("LGPL-3.0", ["licensed under the gnu lesser general public license, version 3"]),
-    ("AGPL-3.0", ["licensed under the gnu affero general public license, version 3"]),
-    ("BSD-3-Clause", ["redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-                      "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-                      "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-                      "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"]),
-    ("BSD-2-Clause", ["redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-                      "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-                      "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"]),
-    ("ISC", ["permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"]),
-    ("MPL-2.0", ["this source code form is subject to the terms of the mozilla public license, v. 2.0"]),
-    ("Unlicense", ["this is free and unencumbered software released into the public domain"]),
-    ("CC0-1.0", ["licensed under cc0 1.0"]),
-    ("CC-BY-4.0", ["licensed under cc by 4.0"]),
-    ("CC-BY-SA-4.0", ["licensed under cc by-sa 4.0"]),
-    ("CC-BY-ND-4.0", ["licensed under cc by-nd 4.0"]),
-    ("CC-BY-NC-4.0", ["licensed under cc by-nc 4.0"]),
-    ("CC-BY-NC-SA-4.0", ["licensed under cc by-nc-sa 4.0"]),
-    ("CC-BY-NC-ND-4.0", ["licensed under cc by-nc-nd 4.0"]),
-    ("Proprietary", ["all rights reserved"]),
+    ("MIT", ["under the MIT license"]),
+    ("MIT", ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+             "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"]),
+    ("Apache-2.0", ["under the Apache License, Version 2.0"]),
+    ("GPL-2.0", ["under the GNU General Public License, version 2"]),
+    ("GPL-3.0", ["under the GNU General Public License, version 3"]),
+    ("GPL-2.0-or-later", ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"]),
+    ("GPL-3.0-or-later", ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"]),
+    ("LGPL-3.0", ["under the GNU Lesser General Public License, version 3"]),
+    ("LGPL-2.1-or-later", ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"]),
+    ("LGPL-3.0-or-later", ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"]),
+    ("AGPL-3.0", ["under the GNU Affero General Public License, version 3"]),
+    ("AGPL-3.0-or-later", ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"]),
+    ("BSD-3-Clause", ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+                      "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+                      "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+                      "may be used to endorse or promote products derived from this software without specific prior written permission"]),
+    ("BSD-2-Clause", ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+                      "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+                      "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+                      "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"]),
+    ("ISC", ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"]),
+    ("MPL-2.0", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."]),
+    ("Zlib", ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"]),
+    ("Unlicense", ["This is free and unencumbered software released into the public domain"]),
+    ("CC0-1.0", ["under CC0 1.0"]),
+    ("CC-BY-4.0", ["under CC BY 4.0"]),
+    ("CC-BY-SA-4.0", ["under CC BY-SA 4.0"]),
+    ("CC-BY-ND-4.0", ["under CC BY-ND 4.0"]),
+    ("CC-BY-NC-4.0", ["under CC BY-NC 4.0"]),
+    ("CC-BY-NC-SA-4.0", ["under CC BY-NC-SA 4.0"]),
+    ("CC-BY-NC-ND-4.0", ["under CC BY-NC-ND 4.0"]),
+    ("Proprietary", ["All rights reserved"]),
+]
+# No text without one of these holds a sentence of a rule.
+SIGNS = ["licen", "permi", "redistribut", r"copyright\s+holders", r"public\s+domain", r"under\s+cc", r"rights\s+reserved"]
+#: A sentence with this grants nothing.
+DENIAL = "not (?:been |being )?(?:released|licensed|distributed|available|provided) under"
+
+LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: The splitter: patterns and what they become, on lower-case text. '|' ends a sentence.
+STEPS = [
+    (r"[^a-z0-9.+/!?;:\n-]+", " "),
+    (r" ?\n[\n ]*\n ?", "|"),
+    (r"[.!?;:]+(?:[ \n]+|$)", "|"),
+    (r"[!?;:\n ]+", " "),
+    (r"licence", "license"),
 ]
 
 
-def normal(sentence: str) -> str:
-    """What ``normalised`` does to one sentence."""
-    return re.sub(r"[^a-z0-9.+/-]+", " ", sentence.lower()).strip(" .")
-
-
-#: Identifier (one code point) by normalised sentence.
-SENTENCES: dict[str, str] = {s: chr(FIRST + i) for i, s in enumerate(dict.fromkeys(normal(x) for _, xs in RULES for x in xs))}
+def split(text: str) -> list[str]:
+    """What ``sentences`` does to one text."""
+    low = text.translate(str.maketrans(*LOWER))
+    for pattern, to in STEPS:
+        low = re.sub(pattern.replace("$", r"\Z"), to, low)
+    return [s for s in (x.strip(" .") for x in low.split("|")) if s]
 
 
-def rule_patterns() -> list[tuple[str, str]]:
-    return [(name, (UNKNOWN and r"\.{0,%d}" % GAP).join(SENTENCES[normal(x)] for x in xs)) for name, xs in RULES]
+def known() -> dict[str, str]:
+    """Identifier (one code point) by known sentence, the longest first, so that the first one found in a sentence is the longest."""
+    found = dict.fromkeys(s for _, xs in RULES for x in xs for s in split(x))
+    return {s: chr(FIRST + i) for i, s in enumerate(sorted(found, key=lambda s: (-len(s), s)))}
 
 
-#: How the published sentence goes on where a rule has its beginning only.
-REST: dict[str, str] = {RULES[2][1][0]: ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions"}
+SENTENCES = known()
 
 
-def _spread(sentence: str) -> str:
-    """Expression of a rule's sentence in marked text: single line breaks may be between its words; where the splitter cuts the sentence itself, a sentence end is."""
-    cuts = [r"(?: | ?\n ?)".join(map(re.escape, normal(x).split())) for x in re.split(r"[.!?;:]+ ", sentence)]
-    return r"[ .]*\n\n[ .]*".join(cuts)
+def patterns() -> list[tuple[str, str]]:
+    """Name and expression of each rule."""
+    return [(name, (r"\.{0,%d}" % GAP).join(SENTENCES[s] for x in xs for s in split(x))) for name, xs in RULES]
 
 
-def wrapped_patterns() -> list[tuple[str, str]]:
-    """Expression and normalised sentence, for each sentence of a rule; groups hold what stays before it."""
-    whole = dict.fromkeys(x for _, xs in RULES for x in xs)
-    return [(r"(?<![^\n])([ .]*)" + _spread(x) + (f"(?:{_join(REST[x])})?" if x in REST else "") + r"(?=[ .]*(?:\n|\z))", normal(x)) for x in whole]
+def _check() -> None:
+    """Each rule must hold for its own text, and the signs must be in all known sentences but those that only follow others."""
+    ids = lambda t: "".join(next((i for s, i in SENTENCES.items() if (f" {s} " in f" {x} " if s.count(" ") >= WHOLE - 1 else s == x)), UNKNOWN) for x in split(t))
+    for (name, xs), (_, pattern) in zip(RULES, patterns(), strict=True):
+        if not re.search(pattern, ids("\n\n".join(xs))) or not any(re.search(s, " ".join(split(x))) for x in xs for s in SIGNS):
+            raise ValueError(f"a rule of {name} does not hold for its own text")
 
 
-def _join(rest: str) -> str:
-    return r"(?: | ?\n ?)" + _spread(rest)
+_check()
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end at a line break, or at . ! ? ; : before white space. Lower-cased, other signs than [a-z0-9.+/-] become one space.
-
-    A rule's sentence is one sentence also where single line breaks wrap it, and where it holds such a sign before a blank.
-    """
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # Two line breaks or more end a sentence for certain, one may wrap it.
-    marked = F.regexp_replace(F.regexp_replace(lower, r"[.!?;:]+[ \t]+", "\n\n"), r"([.!?;:]\r?)\n", "$1\n\n")
-    plain = F.regexp_replace(marked, r"[^a-z0-9.+/\n-]+", " ")
-    return F.split(F.when(plain.rlike(_some()), _unwrapped(plain)).otherwise(plain), r"\n+")
-
-
-def _some() -> str:
-    """Holds where a line begins as a sentence that is wrapped or cut may."""
-    starts = dict.fromkeys(r"(?: | ?\n ?|[ .]*\n\n[ .]*)".join(map(re.escape, s.split()[:3])) for s in SENTENCES)
-    return r"(?<![^\n])[ .]*(?:" + "|".join(starts) + ")"
-
-
-def _unwrapped(plain: Column) -> Column:
-    for pattern, sentence in wrapped_patterns():
-        plain = F.regexp_replace(plain, pattern, "$1" + sentence)
-    return plain
+    """Normalised sentences of a text; lower-cased, other signs than [a-z0-9.+/-] become one space."""
+    low = F.translate(F.coalesce(text, F.lit("")), *LOWER)
+    for pattern, to in STEPS:
+        low = F.regexp_replace(low, pattern, to)
+    return F.filter(F.transform(F.split(low, r"\|"), lambda s: F.trim(s, F.lit(" ."))), lambda s: s != "")
 
 
-def identifiers(text: Column) -> Column:
-    """The document as a string: one code point a sentence, '.' where it is unknown."""
-    return F.array_join(F.transform(sentences(text), lambda s: _id_of(F.trim(s, F.lit(" .")))), "")
+def identifiers(found: Column, some: Column) -> Column:
+    """The sentences as a string: one code point each, '.' where it is unknown."""
+    none = F.repeat(F.lit(UNKNOWN), F.size(found))
+    return F.when(some, F.array_join(F.transform(found, _id_of), "")).otherwise(none)
 
 
 def _id_of(sentence: Column) -> Column:
-    by_length: dict[int, list[str]] = {}
-    for s in SENTENCES:
-        by_length.setdefault(len(s), []).append(s)
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.when(F.length(sentence).isin(*by_length), F.coalesce(F.try_element_at(known, sentence), F.lit(UNKNOWN))).otherwise(UNKNOWN)
+    padded = F.concat(F.lit(" "), sentence, F.lit(" "))
+    inside = [F.when(F.contains(padded, F.lit(f" {s} ")) if s.count(" ") >= WHOLE - 1 else sentence == s, F.lit(i)) for s, i in SENTENCES.items()]
+    return F.when(sentence.rlike(DENIAL), UNKNOWN).otherwise(F.coalesce(*inside, F.lit(UNKNOWN)))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_sentences, n_known, licenses (sorted names, comma-joined), n_rules: one row per input row.
+    """doc_id, n_sentences, n_known, licenses (sorted names, comma-joined), n_rules, places: one row per input row.
 
-    Null and empty texts have no sentence and no license. All rules that hold are reported, so a text that holds the
-    longer of two rules with a common start reports both. Rows stay where they are: no exchange. Other columns are ignored.
+    ``places`` says of each rule that holds, in the order of the rules, where: name@sentence of its first match, from 1,
+    comma-joined. Null and empty texts have no sentence and no license. All rules that hold are reported. Texts of any
+    length are read whole; repeated rows get the same answer; an empty table gives an empty result. Rows stay where
+    they are: no exchange. Other columns are ignored.
     """
-    ids = docs.select(F.col(id_col).alias("doc_id"), identifiers(F.col(text_col)).alias("ids"), (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0).alias("some"))
-    held = F.array_compact(F.array(*[F.when(F.regexp_like("ids", F.lit(p)), F.lit(n)) for n, p in rule_patterns()]))
-    known = F.regexp_replace("ids", r"\.", "")
-    return ids.withColumn("held", F.when(F.length(known) > 0, held).otherwise(F.array().cast("array<string>"))).select(
-        "doc_id", F.when(F.col("some"), F.length("ids")).otherwise(0).cast("long").alias("n_sentences"), F.length(known).cast("long").alias("n_known"),
-        F.array_join(F.array_sort(F.array_distinct("held")), ",").alias("licenses"), F.size("held").cast("long").alias("n_rules"))
+    some = F.translate(F.coalesce(F.col("t"), F.lit("")), *LOWER).rlike("|".join(SIGNS))
+    split_up = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select("doc_id", sentences(F.col("t")).alias("found"), some.alias("some"))
+    ids = split_up.select("doc_id", identifiers(F.col("found"), F.col("some")).alias("ids"))
+    held = F.array_compact(F.array(*[F.when(F.regexp_like("ids", F.lit(p)), F.struct(F.lit(n).alias("name"), F.regexp_instr("ids", F.lit(p)).alias("at"))) for n, p in patterns()]))
+    known_ids = F.regexp_replace("ids", r"\.", "")
+    none = F.array().cast("array<struct<name:string,at:int>>")
+    return ids.withColumn("held", F.when(F.length(known_ids) > 0, held).otherwise(none)).select(
+        "doc_id", F.length("ids").cast("long").alias("n_sentences"), F.length(known_ids).cast("long").alias("n_known"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("held", lambda x: x["name"]))), ",").alias("licenses"), F.size("held").cast("long").alias("n_rules"),
+        F.array_join(F.transform("held", lambda x: F.concat(x["name"], F.lit("@"), x["at"].cast("string"))), ",").alias("places"))
 
 
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    case = " ".join(f"WHEN {quote(s)} THEN {quote(c)}" for s, c in SENTENCES.items())
-    rules = ", ".join(f"CASE WHEN regexp_matches(ids, {quote(p)}) THEN {quote(n)} END" for n, p in rule_patterns())
+    low = f"translate(coalesce(text, ''), {quote(LOWER[0])}, {quote(LOWER[1])})"
+    for pattern, to in STEPS:
+        low = f"regexp_replace({low}, {quote(pattern)}, {quote(to)}, 'g')"
+    case = " ".join(f"WHEN {f'contains({chr(39)} {chr(39)} || s || {chr(39)} {chr(39)}, {quote(f' {s} ')})' if s.count(' ') >= WHOLE - 1 else f's = {quote(s)}'} THEN {quote(i)}" for s, i in SENTENCES.items())
+    rules = ", ".join(f"CASE WHEN regexp_matches(ids, {quote(p)}) THEN {{'name': {quote(n)}, 'at': length(regexp_extract(ids, {quote('^(.*?)' + p)}, 1)) + 1}} END" for n, p in patterns())
     return rf"""
-WITH a AS (SELECT doc_id, text, string_split_regex(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?;:]+[ \t]+', chr(10), 'g'), '[^a-z0-9.+/\n-]+', ' ', 'g'), '\n+') AS ss FROM documents),
-b AS (SELECT doc_id, text, list_transform(ss, lambda s: CASE trim(s, ' .') {case} ELSE '.' END) AS l FROM a),
-c AS (SELECT doc_id, text, array_to_string(l, '') AS ids FROM b),
-d AS (SELECT *, list_filter([{rules}], lambda x: x IS NOT NULL) AS held FROM c)
-SELECT doc_id, CASE WHEN coalesce(length(text), 0) > 0 THEN length(ids) ELSE 0 END::BIGINT AS n_sentences, length(replace(ids, '.', ''))::BIGINT AS n_known,
-  array_to_string(list_sort(list_distinct(held)), ',') AS licenses, len(held)::BIGINT AS n_rules FROM d
+WITH a AS (SELECT doc_id, list_filter(list_transform(string_split({low}, '|'), lambda s: trim(s, ' .')), lambda s: s <> '') AS ss FROM documents),
+b AS (SELECT doc_id, array_to_string(list_transform(ss, lambda s: CASE WHEN regexp_matches(s, {quote(DENIAL)}) THEN '.' {case} ELSE '.' END), '') AS ids FROM a),
+d AS (SELECT *, list_filter([{rules}], lambda x: x IS NOT NULL) AS held FROM b)
+SELECT doc_id, length(ids)::BIGINT AS n_sentences, length(replace(ids, '.', ''))::BIGINT AS n_known, array_to_string(list_sort(list_distinct(list_transform(held, lambda x: x.name))), ',') AS licenses,
+  len(held)::BIGINT AS n_rules, array_to_string(list_transform(held, lambda x: x.name || '@' || x.at::VARCHAR), ',') AS places FROM d
 """
 
 

@@ -464,42 +464,55 @@ def test_chat_events(spark):
 
 
 def test_license_scan(spark):
-    mit = licenses.RULES[2][1]
+    mit = licenses.RULES[1][1]
     texts = [
         "Intro. Released under the MIT License. More.", "Licensed under CC BY-NC 4.0.\nnext", "x\nThis work is licensed under the GNU General Public License, version 3.\n",
         f"{mit[0]}. Unknown words. {mit[1]}.", f"{mit[1]}. {mit[0]}.", f"{mit[0]}. a. b. c. {mit[1]}.", None, "", "no licence here", "Licensed under the Apache License, Version 2.0.",
-        "We were not Released under the MIT License today.",
+        "We were not released under the MIT License today.", "The code is released under the MIT Licence and is free.", "code under the MIT\nlicense", "under the\n\nMIT license", "v. 2.0. v. 2.0",
+        "word " * 50_000 + "under CC0 1.0", "Published under the MIT licenses of old",
     ]
     got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, texts)).collect()}
-    assert [got[i]["licenses"] for i in range(len(texts))] == ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "MIT", "", "", "", "", "", "Apache-2.0", ""]
+    assert [got[i]["licenses"] for i in range(len(texts))] == ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "MIT", "", "", "", "", "", "Apache-2.0", "", "MIT", "MIT", "", "", "CC0-1.0", ""]
     assert got[6]["n_sentences"] == got[7]["n_sentences"] == 0
-    assert got[3]["n_known"] == 2
+    assert [got[3][c] for c in ("n_sentences", "n_known", "n_rules", "places")] == [3, 2, 1, "MIT@1"]
+    assert got[0]["places"] == "MIT@2"
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
+# What the licenses' own texts say, or the head of it, '|' between paragraphs.
+DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version.|This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} Public License for more details."
+BSD = "Copyright (c) 2020, A. Body|Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:|1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.|2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.|"
+PUBLISHED = [
+    ("MIT", 'MIT License|Copyright (c) 2020 A. Body|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:|The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.|THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'),
+    ("Apache-2.0", 'Copyright 2020 A. Body|Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at|http://www.apache.org/licenses/LICENSE-2.0|Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS'),
+    ("GPL-3.0-or-later", GNU.format("program", ":", "General", ",", 3)), ("GPL-2.0-or-later", GNU.format("program", ";", "General", ";", 2)),
+    ("LGPL-3.0-or-later", GNU.format("library", ":", "Lesser General", ",", 3)), ("LGPL-2.1-or-later", GNU.format("library", ";", "Lesser General", ";", 2.1)), ("AGPL-3.0-or-later", GNU.format("program", ":", "Affero General", ",", 3)),
+    ("BSD-3-Clause", BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.|" + DISCLAIMER),
+    ("BSD-2-Clause", BSD + DISCLAIMER),
+    ("ISC", "Copyright (c) 2020 A. Body|Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.|THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.|Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:|1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.|Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+]
+PUBLISHED += [(name, f"This text is available {xs[0]}." if xs[0].startswith("under") else f"{xs[0]}.") for name, xs in licenses.RULES if len(xs) == 1 and len(xs[0]) < 60]
+
+
 def test_license_rules_on_published_texts(spark):
-    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.|This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    bsd = 'Copyright (c) 2020, A. Body|Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:|1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.|2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
-    published = [
-        ("MIT", 'Copyright (c) 2020 A. Body|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:|The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.|THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'),
-        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at|http://www.apache.org/licenses/LICENSE-2.0'),
-        ("GPL-3.0-or-later", gpl.format(":", ",", 3)), ("GPL-2.0-or-later", gpl.format(";", ";", 2)),
-        ("BSD-2-Clause,BSD-3-Clause", bsd + "|3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-        ("BSD-2-Clause", bsd),
-        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-        ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ]
-    published += [(name, xs[0].capitalize() + ".") for name, xs in licenses.RULES if len(xs) == 1 and name not in ("ISC", "MPL-2.0", "Unlicense")]
-    assert {n for n, _ in licenses.RULES} == {n for names, _ in published for n in names.split(",")}
+    assert {n for n, _ in licenses.RULES} == {n for names, _ in PUBLISHED for n in names.split(",")}
     wrap = lambda t, width, eol="\n", indent="": (eol * 2).join(eol.join(textwrap.wrap(x, width, subsequent_indent=indent, break_long_words=False)) for x in t.split("|"))
-    forms = [lambda t: wrap(t, 78), lambda t: wrap(t, 50, "\r\n"), lambda t: wrap(t, 30, indent="   "), lambda t: "# A title\n" + wrap(t, 78), lambda t: wrap(t, 10_000)]
-    got = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(frame(spark, [f(t) for f in forms for _, t in published])).collect()}
-    assert [got[i] for i in range(len(got))] == [name for _ in forms for name, _ in published]
-    apart = ["Released under\n\nthe MIT License", "Released under.\nthe MIT License", "We were released\nunder the MIT License", "Released under\nthe MIT License today", "Mozilla Public License, v. 2.0"]
-    assert collected(licenses.license_scan(frame(spark, apart)), "licenses", "n_known") == [("", 0)] * len(apart)
-    whole = licenses.license_scan(frame(spark, ["a\nReleased under\nthe MIT\nLicense.\nb"]))
-    assert collected(whole, "n_sentences", "n_known", "n_rules") == [(3, 1, 1)]
+    forms = [*[lambda t, w=w: wrap(t, w) for w in (60, 72, 80)], lambda t: wrap(t, 50, "\r\n"), lambda t: wrap(t, 30, indent="   "), lambda t: "# A title\n\n" + wrap(t, 78), lambda t: wrap(t, 10_000), lambda t: "Words stand here\n" + wrap(t, 70)]
+    texts = [f(t) for f in forms for _, t in PUBLISHED]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(got))] == [name for _ in forms for name, _ in PUBLISHED]
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    names = ("doc_id", "n_sentences", "n_known", "licenses", "n_rules", "places")
+    assert collected(licenses.license_scan(frame(spark, texts)), *names) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({licenses.ORACLE_SQL})").fetchall(), key=repr)
 
 
 def test_oracles_agree(spark, sf_dir):
