@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.scores import ALPHA, amplify, change
+from lattica.functions.vector import as_double, norm, unit
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -36,9 +37,9 @@ def amplification_change(edges: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return amplified(edges, alpha).withColumn("change", change(F.col("context_original"), alpha))
 
 
-def gravity_wells(edges: DataFrame, min_connections: int) -> DataFrame:
-    """paper_id, inbound, outbound, total, strength of papers with enough connections."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("paper_id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("paper_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"), "sim")
+def gravity_wells(edges: DataFrame, min_connections: int, condition: Column | None = None) -> DataFrame:
+    """paper_id, inbound, outbound, total, strength of papers with enough connections; ``condition`` says which edges count, such as ``transfer > 0.5``."""
+    ends = (edges if condition is None else edges.where(condition)).select(F.explode(F.array(F.struct(F.col("src").alias("paper_id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("paper_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"), "sim")
     out = ends.groupBy("e.paper_id").agg(F.sum("e.i").alias("inbound"), F.sum("e.o").alias("outbound"), F.count(F.lit(1)).alias("total"), F.avg("sim").alias("strength"))
     return out.where(F.col("total") >= min_connections)
 
@@ -133,3 +134,11 @@ def document_vectors(chunks: DataFrame, rate: float = 0.1) -> DataFrame:
 def group_means(vecs: DataFrame, key: str) -> DataFrame:
     """key, dim, value: elementwise mean of v by group."""
     return vecs.select(key, F.posexplode("v").alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("value"))
+
+
+def coherence(vecs: DataFrame, key: str) -> DataFrame:
+    """key, n, coherence: mean cosine of all pairs of a group's vectors (v), from the sum of its unit vectors; groups of one are left out."""
+    u = vecs.where(norm(as_double(F.col("v"))) > 0).select(key, F.posexplode(unit(as_double(F.col("v")))).alias("dim", "x"))
+    sums = u.groupBy(key, "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    by = sums.groupBy(key).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("square"))
+    return by.where("n > 1").select(key, "n", ((F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("coherence"))

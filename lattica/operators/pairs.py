@@ -3,7 +3,9 @@
 ``similar_pairs`` deals rows into blocks and sends each block to the cells of a triangle of block pairs, so every pair
 meets once and a task holds two blocks. Within a cell a matrix product finds the pairs. Rows carry their angle to a
 pivot; where the angles of two blocks differ by more than the threshold allows, the cell is never made, which is exact
-by the triangle inequality on angles. ``similar_pairs_sql`` is the same join as a JVM expression.
+by the triangle inequality on angles. Vectors of one angle (copies, for one) are dealt by a hash of their ids, so no
+block grows beyond its size. Products are made in single precision, and those near the threshold or above are made
+again in double. Ids may be of any type that has an order. ``similar_pairs_sql`` is the same join as a JVM expression.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vector import dot, norm, unit
@@ -23,17 +25,26 @@ from lattica.sources.scratch import settle
 BLOCK = 4096
 
 
+def _to_pivot(u: Column) -> Column:
+    """Angle to a fixed direction of mixed signs, so that sparse vectors, or such with constant entries, don't all have one."""
+    signed = F.transform(u, lambda x, i: F.when(F.xxhash64(i) % 2 == 0, x).otherwise(-x))
+    cosine = F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size(u))
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
 def _blocks(vecs: DataFrame, block: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Unit vectors (id, u, b) with their block, and the blocks (b, lo, hi) with their range of angles to the pivot."""
     usable = vecs.where(norm(F.col("v")) > 0).select("id", unit(F.col("v")).alias("u"))
-    # The pivot is the first axis: its cosine is the first entry, so no pass over the data is needed to choose it.
     # The vectors may come from a join; as a table they are made once, and counts and quantiles read one column.
-    with_angle = settle(usable.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("u")[0])))), "unit-vectors")
+    with_angle = settle(usable.withColumn("angle", _to_pivot(F.col("u"))), "unit-vectors")
     n = with_angle.count()
     k = max(1, -(-n // block), min(parts, n // 256))
-    cuts = with_angle.approxQuantile("angle", [i / k for i in range(1, k)], 0.01) if k > 1 else []
-    b = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("angle"))) if cuts else F.lit(0)
-    rows = with_angle.withColumn("b", b.cast("int"))
+    cuts = sorted(set(with_angle.approxQuantile("angle", [i / k for i in range(1, k)], 0.01))) if k > 1 else []
+    band = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("angle"))) if cuts else F.lit(0)
+    rows = with_angle.withColumn("band", band.cast("long"))
+    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, min(block, -(-n // k))))).alias("dealt"))  # as many rows as blocks
+    # A band that many vectors of one angle have made too large is cut by the hash of the id.
+    rows = rows.join(F.broadcast(sizes), "band").withColumn("b", F.col("band") * (1 << 32) + F.when(F.col("dealt") > 2, F.pmod(F.xxhash64("id"), F.col("dealt"))).otherwise(0)).drop("band", "dealt")
     return rows, rows.groupBy("b").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
 
 
@@ -58,24 +69,35 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def similar_pairs(vecs: DataFrame, threshold: float, inclusive: bool = False, block: int = BLOCK) -> DataFrame:
     """src < dst, sim: all pairs of (id, v) with a cosine above the threshold. Null, empty and zero vectors have no pairs."""
 
+    id_type = vecs.schema["id"].dataType
+
     def kernel(key: tuple, t: pa.Table) -> pa.Table:
         side, ids, m = t["side"].to_numpy(), t["id"].to_numpy(), _matrix(t["u"])
         same = bool((side == 2).any())
         a, b = (side == 2, side == 2) if same else (side == 0, side == 1)
         src, dst, sim = [], [], []
         ia, ib, ma, mb = ids[a], ids[b], m[a], m[b]
+        single = mb.astype(np.float32).T
+        slack = 1e-6 + 1.2e-7 * m.shape[1]
         for at in range(0, len(ia), 1024):
-            s = ma[at : at + 1024] @ mb.T
-            r, c = np.nonzero(s >= threshold if inclusive else s > threshold)
-            x, y = ia[r + at], ib[c]
-            ok = x < y if same else x != y
-            src.append(np.minimum(x, y)[ok])
-            dst.append(np.maximum(x, y)[ok])
-            sim.append(s[r, c][ok])
-        empty = np.zeros(0)
-        return pa.table({"src": np.concatenate(src or [empty]).astype(np.int64), "dst": np.concatenate(dst or [empty]).astype(np.int64), "sim": np.concatenate(sim or [empty])})
-
-    return _cells(vecs, threshold, block).groupBy("x", "y").applyInArrow(kernel, "src long, dst long, sim double")
+            r, c = np.nonzero(ma[at : at + 1024].astype(np.float32) @ single >= threshold - slack)
+            for k in range(0, len(r), 1 << 14):
+                i, j = r[k : k + (1 << 14)] + at, c[k : k + (1 << 14)]
+                s = np.einsum("ij,ij->i", ma[i], mb[j])
+                x, y = ia[i], ib[j]
+                ok = (s >= threshold if inclusive else s > threshold) & (x < y if same else x != y).astype(bool)
+                x, y, s = x[ok], y[ok], s[ok]
+                turned = (x > y).astype(bool)
+                src.append(np.where(turned, y, x))
+                dst.append(np.where(turned, x, y))
+                sim.append(s)
+        if not src:
+            return pa.table({"src": t["id"].slice(0, 0), "dst": t["id"].slice(0, 0), "sim": pa.array([], pa.float64())})
+        of = t.schema.field("id").type
+        return pa.table({"src": pa.array(np.concatenate(src), of), "dst": pa.array(np.concatenate(dst), of), "sim": np.concatenate(sim)})
+
+    kind = id_type.simpleString()
+    return _cells(vecs, threshold, block).groupBy("x", "y").applyInArrow(kernel, f"src {kind}, dst {kind}, sim double")
 
 
 def similar_pairs_sql(vecs: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
@@ -96,9 +118,17 @@ def nearest(vecs: DataFrame, k: int, threshold: float, block: int = BLOCK) -> Da
 
 
 def cross_paper_pairs(chunks: DataFrame, threshold: float, same_paper: bool = False, inclusive: bool = True) -> DataFrame:
-    """src, dst, sim, from_paper, to_paper of similar chunks (id, paper, v); of different papers, or of one."""
+    """src, dst, sim, from_paper, to_paper of similar chunks (id, paper, v); of different papers, or of one.
+
+    Pairs within papers are an equal join by paper: no chunk meets those of others.
+    """
+    if same_paper:
+        u = chunks.where(norm(F.col("v")) > 0).select("id", "paper", unit(F.col("v")).alias("u"))
+        a, b = u.alias("a"), u.alias("b")
+        pairs = a.join(b, (F.col("a.paper") == F.col("b.paper")) & (F.col("a.id") < F.col("b.id"))).select(
+            F.col("a.id").alias("src"), F.col("b.id").alias("dst"), dot(F.col("a.u"), F.col("b.u")).alias("sim"), F.col("a.paper").alias("from_paper"), F.col("b.paper").alias("to_paper"))
+        return pairs.where(F.col("sim") >= threshold if inclusive else F.col("sim") > threshold)
     pairs = similar_pairs(chunks.select("id", "v"), threshold, inclusive)
     of = chunks.select("id", "paper")
     a, b = of.select(F.col("id").alias("src"), F.col("paper").alias("from_paper")), of.select(F.col("id").alias("dst"), F.col("paper").alias("to_paper"))
-    out = pairs.join(a, "src").join(b, "dst")
-    return out.where(F.col("from_paper") == F.col("to_paper") if same_paper else F.col("from_paper") != F.col("to_paper")).select("src", "dst", "sim", "from_paper", "to_paper")
+    return pairs.join(a, "src").join(b, "dst").where("from_paper <> to_paper").select("src", "dst", "sim", "from_paper", "to_paper")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _draw(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """52 bits of an MD5 of seed and key, which any engine can work out."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def random_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -38,7 +39,7 @@ def diverse_sample(df: DataFrame, n: int, group: list[str], key: str, seed: int
 def rare_first_sample(df: DataFrame, n: int, group: list[str], key: str, seed: int = 42) -> DataFrame:
     """n rows, drawn with weights that fall with the size of their group, without replacement: the n smallest exponential clocks."""
     size = df.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
-    u = (F.pmod(_draw(key, seed), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    u = (_draw(key, seed) + 1) / float((1 << 52) + 1)
     return df.join(size, group).orderBy(-F.ln(u) * F.col("size"), key).limit(n).select(*df.columns)
 
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.ordered import ranked, running_sum, with_previous
+from lattica.sources.scratch import settle
 
 
 def log_ratio_alpha(edges: DataFrame, original: str, amplified: str) -> DataFrame:
@@ -23,12 +24,12 @@ def log_ratio_alpha(edges: DataFrame, original: str, amplified: str) -> DataFram
 
 
 def alpha_grid(points: DataFrame, context: str, base: str, target: str, low: float, high: float, steps: int) -> DataFrame:
-    """alpha, mse, r2 of base * context ** alpha against target, on an even grid. All grid points share one pass: a row is expanded only before its partial sums."""
+    """alpha, mse, r2 of base * context ** alpha against target, on an even grid. All grid points share one pass, each as a sum of its own; no row is expanded."""
     step = (high - low) / (steps - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.lit(low) + i * step)
-    x = points.select(F.col(context).alias("c"), F.col(base).alias("b"), F.col(target).alias("y"), F.explode(grid).alias("alpha"))
-    err = F.col("y") - F.col("b") * F.pow("c", "alpha")
-    return x.groupBy("alpha").agg(F.avg(err * err).alias("mse"), F.var_pop("y").alias("v")).select("alpha", "mse", F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"))
+    y, b, c = F.col(target), F.col(base), F.col(context)
+    at = [low + i * step for i in range(steps)]
+    one = points.agg(F.var_pop(y).alias("v"), *[F.avg((y - b * F.pow(c, F.lit(a))) ** 2).alias(f"e{i}") for i, a in enumerate(at)])
+    return one.select("v", F.inline(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"e{i}").alias("mse")) for i, a in enumerate(at)]))).select("alpha", "mse", F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"))
 
 
 def best_alpha(points: DataFrame, context: str, base: str, target: str, low: float = 0.5, high: float = 3.0, steps: int = 100) -> DataFrame:
@@ -47,22 +48,19 @@ def fit_alpha(points: DataFrame, context: str, base: str, target: str, low: floa
     stats = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_pop("y").alias("v")).where(F.col("n") > least)
     spread = (high - low) / 2
     centre = stats.select(*keys, F.lit((low + high) / 2).alias("mid"))
+    p = settle(p, "points")
     for _ in range(rounds):
-        start, step = F.col("mid") - spread, 2 * spread / (steps - 1)
-        near = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), _line(start, step))
-        inside = F.array_distinct(F.transform(near, lambda a: F.greatest(F.lit(low), F.least(F.lit(high), a))))
-        wide = (p.join(centre, keys) if keys else p.crossJoin(F.broadcast(centre))).select(*keys, "c", "b", "y", F.explode(inside).alias("alpha"))
-        err = F.col("y") - F.col("b") * F.pow("c", "alpha")
-        by = wide.groupBy(*keys, "alpha").agg(F.avg(err * err).alias("mse")).groupBy(*keys).agg(F.min_by("alpha", F.struct("mse", "alpha")).alias("mid"), F.min("mse").alias("mse"))
-        centre, spread = by.select(*keys, "mid"), 2 * spread / (steps - 1)
+        step = 2 * spread / (steps - 1)
+        at = [F.greatest(F.lit(low), F.least(F.lit(high), F.col("mid") - spread + i * step)) for i in range(steps)]
+        wide = p.join(centre, keys) if keys else p.crossJoin(F.broadcast(centre))
+        sums = wide.groupBy(*keys).agg(F.first("mid").alias("mid"), *[F.avg((F.col("y") - F.col("b") * F.pow("c", a)) ** 2).alias(f"e{i}") for i, a in enumerate(at)])
+        best = F.array_min(F.array(*[F.struct(F.col(f"e{i}").alias("mse"), a.alias("alpha")) for i, a in enumerate(at)]))
+        by = sums.select(*keys, best.alias("best")).select(*keys, F.col("best.alpha").alias("mid"), F.col("best.mse").alias("mse"))
+        centre, spread = by.select(*keys, "mid"), step
     out = by.join(stats, keys) if keys else by.crossJoin(stats)
     return out.select(*keys, "n", F.col("mid").alias("alpha"), "mse", F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"))
 
 
-def _line(start: Column, step: float) -> Callable[[Column], Column]:
-    return lambda i: start + i * step
-
-
 def bootstrap_alpha(edges: DataFrame, original: str, amplified: str, rounds: int = 200, seed: int = 42) -> DataFrame:
     """low, alpha, high: 2.5, 50 and 97.5 percentiles of the mean log ratio over Poisson resamples; weights come from hashes, so runs agree."""
     ok = edges.where((F.col(original) > 0.1) & (F.col(amplified) > 0) & (F.col(original) != 1)).select("src", "dst", (F.ln(amplified) / F.ln(original)).alias("r"))
@@ -75,11 +73,20 @@ def bootstrap_alpha(edges: DataFrame, original: str, amplified: str, rounds: int
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.5)).alias("alpha"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def percentile(df: DataFrame, column: str, share: float, name: str = "percentile") -> DataFrame:
+    """The exact percentile, between neighbours by share, as one row: ranks are made by range parts, so no task holds all values."""
+    x = ranked(df.where(F.col(column).isNotNull()).select(F.col(column).alias("x")), [F.col("x")])
+    place = x.agg(((F.count(F.lit(1)) - 1) * share).alias("place"))
+    near = x.crossJoin(F.broadcast(place)).where(F.col("rank").between(F.floor("place") + 1, F.ceil("place") + 1))
+    above = F.col("place") - F.floor("place")
+    return near.agg((F.min("x") * (1 - F.max(above)) + F.max("x") * F.max(above)).alias(name))
+
+
 def moments(df: DataFrame, column: str) -> DataFrame:
     """n, least, most, mean, median, skewness and excess kurtosis (population), and the Jarque-Bera statistic."""
     x = F.col(column)
-    one = df.agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
-    return one.withColumn("jarque_bera", F.col("n") / 6 * (F.col("skewness") ** 2 + F.col("kurtosis") ** 2 / 4))
+    one = df.agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+    return one.crossJoin(percentile(df, column, 0.5, "median")).withColumn("jarque_bera", F.col("n") / 6 * (F.col("skewness") ** 2 + F.col("kurtosis") ** 2 / 4))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -161,6 +168,14 @@ def auc(df: DataFrame, score: str, flag: str) -> DataFrame:
     return x.agg(F.sum(F.col("p") + F.col("q")).alias("n"), F.sum("p").alias("positives"), (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
+def auc_by(df: DataFrame, score: str, flag: str, group: str) -> DataFrame:
+    """group, auc of each group, ties half; scores are counted first, so a window goes over the distinct scores of a group."""
+    by = df.groupBy(group, score).agg(F.count_if(F.col(flag)).alias("p"), F.count_if(~F.col(flag)).alias("q"))
+    w = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    x = by.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    return x.groupBy(group).agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+
+
 def rank_fit(counts: DataFrame, count: str, key: str) -> DataFrame:
     """n, slope, intercept, r2 of ln(count) against ln(rank); ranks by falling count, then key."""
     r = ranked(counts.where(F.col(count) > 0).withColumn("_falling", -F.col(count)), [F.col("_falling"), F.col(key)])
@@ -228,17 +243,26 @@ def project(vecs: DataFrame, column: str, mean: np.ndarray, components: np.ndarr
 
 
 def density(points: DataFrame, x: str, y: str, side: int = 50) -> DataFrame:
-    """gx, gy, density: Gaussian kernel density (Scott's rule) on an even grid over the range of the points."""
+    """gx, gy, density: Gaussian kernel density (Scott's rule) on an even grid over the range of the points. Each task sums its points over the grid, so only grids are exchanged."""
     s = points.agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("vxy")).first()
     h = (s["n"] ** (-1 / 6)) ** 2
     vx, vy, vxy = s["vx"] * h, s["vy"] * h, s["vxy"] * h
     det = vx * vy - vxy * vxy
-    steps = F.sequence(F.lit(0), F.lit(side - 1))
-    at = points.select(x, y, F.explode(steps).alias("gx")).select(x, y, "gx", F.explode(steps).alias("gy"))
-    dx = F.lit(s["x0"]) + F.col("gx") * ((s["x1"] - s["x0"]) / (side - 1)) - F.col(x)
-    dy = F.lit(s["y0"]) + F.col("gy") * ((s["y1"] - s["y0"]) / (side - 1)) - F.col(y)
-    q = (dx * dx * vy - 2 * dx * dy * vxy + dy * dy * vx) / det
-    return at.groupBy("gx", "gy").agg((F.sum(F.exp(-q / 2)) / (s["n"] * 2 * math.pi * math.sqrt(det))).alias("density"))
+    gx, gy = np.linspace(s["x0"], s["x1"], side), np.linspace(s["y0"], s["y1"], side)
+    scale = 1 / (s["n"] * 2 * math.pi * math.sqrt(det))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((side, side))
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                dx, dy = gx[:, None] - b["x"].to_numpy()[at : at + 1024], gy[:, None] - b["y"].to_numpy()[at : at + 1024]
+                q = (dx * dx * vy)[:, None, :] - 2 * vxy * dx[:, None, :] * dy[None] + (dy * dy * vx)[None]
+                total += np.exp(-q / (2 * det)).sum(axis=2)
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"gx": i.ravel(), "gy": j.ravel(), "x": total.ravel()})
+
+    parts = points.select(F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(sums, "gx int, gy int, x double")
+    return parts.groupBy("gx", "gy").agg((F.sum("x") * scale).alias("density"))
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.plans import graph, pathways, relational, scoring, streams, textual  # noqa: F401  (they register their queries)
+from lattica.plans import graph, pathways, relational, scoring, semantics, streams, textual  # noqa: F401  (they register their queries)
 from lattica.plans.registry import ORACLES, QUERIES, Query
 
 

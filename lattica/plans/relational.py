@@ -188,17 +188,25 @@ def sequential_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.sequential_sample(o, 100, "o_orderdate", "doc_id").select("doc_id", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query()
+#: The draws of samples in SQL.
+def _draw(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || paper_id::VARCHAR), 1, 13))::BIGINT"
+
+
+@query(f"WITH {PAPERS} SELECT paper_id, primary_category FROM papers ORDER BY {_draw(42)}, paper_id LIMIT 100")
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.random_sample(tb.papers(spark, sf_dir).select("paper_id", "primary_category"), 100, "paper_id")
 
 
-@query()
+@query(f"""WITH {PAPERS}, t AS (SELECT count(*) AS t FROM papers), q AS (SELECT primary_category, year, least(count(*), greatest(1, floor(100 * count(*) / any_value(t)))) AS quota FROM papers, t GROUP BY 1, 2),
+r AS (SELECT paper_id, primary_category, year, quota, row_number() OVER (PARTITION BY primary_category, year ORDER BY {_draw(42)}, paper_id) AS rank FROM papers JOIN q USING (primary_category, year))
+SELECT paper_id, primary_category, year FROM r ORDER BY rank > quota, {_draw(43)}, paper_id LIMIT 100""")
 def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.diverse_sample(tb.papers(spark, sf_dir).select("paper_id", "primary_category", "year"), 100, ["primary_category", "year"], "paper_id")
 
 
-@query()
+@query(f"""WITH {PAPERS}, s AS (SELECT primary_category, count(*) AS size FROM papers GROUP BY 1)
+SELECT paper_id, primary_category, year FROM papers JOIN s USING (primary_category) ORDER BY -ln(({_draw(42)} + 1) / {(1 << 52) + 1}.0::DOUBLE) * size, paper_id LIMIT 100""")
 def rare_first_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.rare_first_sample(tb.papers(spark, sf_dir).select("paper_id", "primary_category", "year"), 100, ["primary_category"], "paper_id")
 

@@ -9,9 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the session's checkpoints go; a temporary one where it names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lattica-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the session's own one where its checkpoints go, which Spark removes when the driver ends.
+
+    Where ``spark.checkpoint.dir`` is unset, a local master gets a temporary folder; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        context.setCheckpointDir(base)
+    own = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lattica-{context.applicationId}")
+    files = own.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(own):
+        files.mkdirs(own)
+        files.deleteOnExit(own)
+    return f"{own.toString()}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -112,6 +112,27 @@ def test_samples(spark):
         sampling.sample(df, 1, "best", "id", "id", ["g"])
 
 
+def test_pairs_of_string_ids_and_of_one_angle(spark):
+    """Vectors whose first entries are 0, many copies of one vector, and ids that are no numbers."""
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i:04d}", [0.0, *map(float, rng.normal(size=5))]) for i in range(150)] + [(f"z{i:04d}", [0.0, 1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, v array<double>").repartition(5)
+    got = pairs.similar_pairs(df, 0.8, block=40)
+    want = pairs.similar_pairs_sql(df, 0.8)
+    key = lambda d: {(r["src"], r["dst"]): round(r["sim"], 9) for r in d.collect()}
+    assert key(got) == key(want)
+    rows, bounds = pairs._blocks(df, 40, 2)
+    assert bounds.count() > 8
+    assert rows.groupBy("b").count().agg(F.max("count")).first()[0] <= 2 * 40
+
+
+def test_exact_percentile(spark):
+    x = np.random.default_rng(1).normal(size=501)
+    df = spark.createDataFrame([(float(v),) for v in [*x, *x[:50]]] + [(None,)], "v double")
+    for q in (0, 0.1, 0.5, 0.77, 1):
+        assert stats.percentile(df, "v", q).first()[0] == pytest.approx(np.quantile([*x, *x[:50]], q))
+
+
 def test_fit_alpha(spark):
     rows = [(g, c / 50, 0.7, 0.7 * (c / 50) ** a) for g, a in (("x", 1.3), ("y", 2.2)) for c in range(1, 51)] + [("z", 0.5, 1.0, 0.5)]
     df = spark.createDataFrame(rows, "g string, c double, b double, y double")

@@ -95,7 +95,7 @@ def test_stream_ingestion_is_idempotent(spark, tmp_path):
         assert sorted((r["doc_id"], r["text"]) for r in s.read("chunks").collect()) == [(1, "a b"), (1, "c"), (2, "d")]
 
 
-def test_reconstruction_of_windows(spark):
+def test_windows_join_to_the_text(spark):
     text = " ".join(f"w{i}" for i in range(23))
     got = spark.range(1).select(F.array_join(word_windows(F.lit(text), 5), " ").alias("t")).first()["t"]
     assert got == text
