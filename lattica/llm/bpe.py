@@ -12,8 +12,8 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 from struct import pack
 
 import pyarrow as pa
@@ -53,24 +53,50 @@ ADDED = {
 ADDED_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 ADDED_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 SOME_ADDED = re.compile(f"[{''.join(map(chr, ADDED_LOWER))}]").search
+#: Below this code point all versions of Unicode agree on what letters, numbers and lower cases are.
+AGREED = 0x558
+SOME_LATER = re.compile(f"[{chr(AGREED)}-{chr(0x10FFFF)}]").search
 
 
-@lru_cache(maxsize=2)
-def code_points(major: str) -> str:
-    """The code points of a general category in Unicode 16, which the library has, as ranges of a set: those of Unicode 15.1, which Python's tables have, and those added since. ``regex`` may have later ones, which call more code points letters."""
+def ranges(flags: Iterable[bool]) -> list[tuple[int, int]]:
+    """First and last places of the runs that are true."""
     edges, inside = [], False
-    for c in range(0x110001):
-        now = c < 0x110000 and unicodedata.category(chr(c))[0] == major
+    for c, now in enumerate([*flags, False]):
         if now != inside:
             edges.append(c)
             inside = now
-    ranges = [*((a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)), *ADDED[major]]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+    return [(a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def as_set(found: Iterable[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
+@lru_cache(maxsize=2)
+def code_points(major: str) -> list[bool]:
+    """Whether each code point is of a general category in Unicode 16, which the library has: by Python's tables (15.1 since 3.13) and what was added since."""
+    flags = [unicodedata.category(chr(c))[0] == major for c in range(0x110000)]
+    for a, b in ADDED[major]:
+        flags[a : b + 1] = [True] * (b - a + 1)
+    return flags
+
+
+@lru_cache(maxsize=1)
+def disputed() -> re.Pattern:
+    """Code points that ``regex``, whose tables may be later ones, takes for other kinds than Unicode 16 does."""
+    every = "".join(map(chr, range(0x110000)))
+    odd = [False] * 0x110000
+    for major in ADDED:
+        theirs = [False] * 0x110000
+        for m in regex.finditer(rf"\p{{{major}}}+", every):
+            theirs[m.start() : m.end()] = [True] * (m.end() - m.start())
+        odd = [o or x != y for o, x, y in zip(odd, code_points(major), theirs, strict=True)]
+    return re.compile(f"[{as_set(ranges(odd))}]" if any(odd) else r"(?!)")
 
 
 def for_unicode(pattern: str) -> str:
     """The pattern with \\p{L} and \\p{N}, all inside sets, spelled out."""
-    return pattern.replace(r"\p{L}", code_points("L")).replace(r"\p{N}", code_points("N"))
+    return pattern.replace(r"\p{L}", as_set(ranges(code_points("L")))).replace(r"\p{N}", as_set(ranges(code_points("N"))))
 
 
 class WordBpe:
@@ -92,11 +118,17 @@ class WordBpe:
         self.at_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
-        self.words = regex.compile(for_unicode(pattern)).findall
+        self.pattern = pattern
+        self.words = regex.compile(pattern).findall
         self.ascii_words = re.compile(for_ascii(pattern)).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def exact_words(self) -> Callable[[str], list[str]]:
+        """As ``words``, by ranges of code points; slower, for texts that hold disputed ones."""
+        return regex.compile(for_unicode(self.pattern)).findall
+
     @classmethod
     def from_text(cls, text: str) -> WordBpe:
         return cls(json.loads(text))
@@ -157,7 +189,11 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
             # Lower case goes by code point: no rule that looks at neighbours (final sigma) may apply.
             low = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-            words = self.words(low.translate(ADDED_LOWER) if SOME_ADDED(low) else low)
+            if SOME_LATER(low):
+                low = low.translate(ADDED_LOWER) if SOME_ADDED(low) else low
+                words = self.exact_words(low) if disputed().search(low) else self.words(low)
+            else:
+                words = self.words(low)
         recent = self.young.get
         for w in words:
             got = recent(w)
