@@ -460,6 +460,47 @@ def test_chat_events(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def fold_by_hand(events):
+    """Messages of one conversation's events, in order."""
+    out = []
+    for kind, role, text, target in events:
+        if kind == "edit":
+            at = len(out) - 1 if target is None else target
+            if 0 <= at < len(out):
+                out[at] = (out[at][0], text)
+        elif kind == "delta" and out and out[-1][0] == role:
+            out[-1] = (role, out[-1][1] + text)
+        elif kind == "regenerate" and out and out[-1][0] == role:
+            out[-1] = (role, text)
+        else:
+            out.append((role, text))
+    return out
+
+
+def test_chat_folds_random_logs(spark):
+    """One conversation has most of the events, so that its log lies in several parts."""
+    rng = random.Random(12)
+    logs, rows = collections.defaultdict(list), []
+    for i in range(900):
+        c = 0 if rng.random() < 0.7 else rng.randint(1, 12)
+        e = (rng.choice(["message", "delta", "delta", "edit", "regenerate", "odd"]), rng.choice(["user", "assistant"]), f"{i}.", rng.choice([None, 0, 3, 40, 500, -1]))
+        logs[c].append(e)
+        rows.append((None if c == 12 else c, i, *e))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, role string, text string, target int").repartition(6)
+    got = {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in chat.reconstruct(df).collect()}
+    assert got == {None if c == 12 else c: fold_by_hand(e) for c, e in logs.items() if fold_by_hand(e)}
+    spans = {r["conv_id"]: [r["formatted"][s["at"] : s["at"] + s["n"]] for s in r["loss_spans"]] for r in chat.format_chats(df).collect()}
+    assert spans[0] == [t for role, t in got[0] if role == "assistant"]
+
+
+def test_running_sums_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    for n in (0, 1, 3, 4, 5, 17, 32):
+        df = spark.createDataFrame([(list(range(n)),)], "x array<bigint>")
+        assert df.select(chat.sums_before(F.col("x"))).first()[0] == [sum(range(i)) for i in range(n)]
+
+
 # --- licenses
 
 
