@@ -42,9 +42,11 @@ def _blocks(vecs: DataFrame, block: int, parts: int) -> tuple[DataFrame, DataFra
     cuts = sorted(set(with_angle.approxQuantile("angle", [i / k for i in range(1, k)], 0.01))) if k > 1 else []
     band = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("angle"))) if cuts else F.lit(0)
     rows = with_angle.withColumn("band", band.cast("long"))
-    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, min(block, -(-n // k))))).alias("dealt"))  # as many rows as blocks
-    # A band that many vectors of one angle have made too large is cut by the hash of the id.
-    rows = rows.join(F.broadcast(sizes), "band").withColumn("b", F.col("band") * (1 << 32) + F.when(F.col("dealt") > 2, F.pmod(F.xxhash64("id"), F.col("dealt"))).otherwise(0)).drop("band", "dealt")
+    # A band that many vectors of one angle have made too large is cut by the hash of the id; there are as many bands as cuts.
+    most = 2 * max(1, min(block, -(-n // k)))
+    large = {r["band"]: -(-2 * r["count"] // most) for r in rows.groupBy("band").count().collect() if r["count"] > most} if k > 1 else {}
+    part = F.pmod(F.xxhash64("id"), F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in large.items() for x in pair]), F.col("band"))) if large else F.lit(0)
+    rows = rows.withColumn("b", F.col("band") * (1 << 32) + F.coalesce(part, F.lit(0))).drop("band")
     return rows, rows.groupBy("b").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
 
 
