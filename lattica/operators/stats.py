@@ -169,11 +169,11 @@ def auc(df: DataFrame, score: str, flag: str) -> DataFrame:
 
 
 def auc_by(df: DataFrame, score: str, flag: str, group: str) -> DataFrame:
-    """group, auc of each group, ties half; scores are counted first, so a window goes over the distinct scores of a group."""
+    """group, auc of each group, ties half, null where a group has one label only; scores are counted first, so a window goes over the distinct scores of a group."""
     by = df.groupBy(group, score).agg(F.count_if(F.col(flag)).alias("p"), F.count_if(~F.col(flag)).alias("q"))
     w = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     x = by.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    return x.groupBy(group).agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return x.groupBy(group).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def rank_fit(counts: DataFrame, count: str, key: str) -> DataFrame:

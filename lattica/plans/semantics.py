@@ -143,10 +143,10 @@ def cross_validated_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for name, score in (("additive", sc.additive(*d)), ("multiplicative", sc.information(*d))):
         x = s.select("fold", "flag", score.alias("s"))
-        by = st.auc_by(x, "s", "flag", "fold")
+        by = st.auc_by(x, "s", "flag", "fold").where("auc IS NOT NULL")
         sums = x.groupBy("fold", "flag").agg(F.sum("s").alias("t"), F.count(F.lit(1)).alias("n"))
         rest = sums.groupBy("flag").agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
-        means = sums.join(F.broadcast(rest), "flag").groupBy("fold").agg(*[F.max(F.when(F.col("flag") == v, (F.col("all_t") - F.col("t")) / (F.col("all_n") - F.col("n")))).alias(k) for k, v in (("up", True), ("down", False))])
+        means = sums.join(F.broadcast(rest), "flag").groupBy("fold").agg(*[F.max(F.when(F.col("flag") == v, F.try_divide(F.col("all_t") - F.col("t"), F.col("all_n") - F.col("n")))).alias(k) for k, v in (("up", True), ("down", False))])
         mean = by.join(means, "fold").agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg(F.when(F.col("up") > F.col("down"), F.col("auc")).otherwise(1 - F.col("auc"))), 6).alias("auc"))
         out.append(mean.select(F.lit(name).alias("model"), "folds", "auc"))
     return out[0].unionByName(out[1])
