@@ -11,20 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
+#: Words are runs of ASCII letters, digits and underscores and of anything beyond ASCII.
+WORD = re.compile("[0-9a-z_\u0080-\U0010ffff]+")
+LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """Deterministic stand-in for a model: signed word hashes, masked mean, unit length."""
+    """Deterministic stand-in for a model: signed MD5 hashes of words (A-Z lower-cased), masked mean, unit length."""
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            tokens = WORD.findall(text.lower())
+            tokens = WORD.findall(text.translate(LOWER))
             vecs = np.zeros((len(tokens), dim))
             for j, w in enumerate(tokens):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                vecs[j, h % dim] = 1.0 if h >> 32 & 1 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                vecs[j, int(h[:8], 16) % dim] = 1.0 if h[8] >= "8" else -1.0
             out[i] = mean_pool(vecs[None], np.ones((1, len(tokens))))[0]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 

@@ -85,11 +85,18 @@ def modularity(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(m)).select("cluster", "inside", "degree", (F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), F.lit(2.0))).alias("part"))
 
 
-def co_citations(citations: DataFrame) -> DataFrame:
-    """a < b, together: how many papers cite both; citations are (src, dst). Lists are made per citing paper, whose references are few."""
-    lists = citations.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("l"))
-    pairs = lists.select(F.posexplode("l").alias("i", "a"), "l").select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+def co_citations(citations: DataFrame, block: int = 1024) -> DataFrame:
+    """a < b, together: how many papers cite both; citations are (src, dst), repeated ones count once.
+
+    References of a citing paper are dealt by hash into blocks of about ``block``, and each cell of two blocks is a key
+    of the join, so that a paper with very many references is the work of many tasks and no list is ever built.
+    """
+    refs = citations.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    size = refs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    dealt = refs.join(size, "src").withColumns({"own": F.pmod(F.xxhash64("dst"), F.col("n")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("n") - 1))})
+    left = dealt.select("src", F.col("dst").alias("a"), F.col("own").alias("i"), F.col("other").alias("j"))
+    right = dealt.select("src", F.col("dst").alias("b"), F.col("other").alias("i"), F.col("own").alias("j"))
+    return left.join(right, ["src", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
 
 
 def bridges(edges: DataFrame, theory: Column, practice: Column, papers: DataFrame) -> DataFrame:

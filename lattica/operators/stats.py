@@ -61,13 +61,17 @@ def fit_alpha(points: DataFrame, context: str, base: str, target: str, low: floa
     return out.select(*keys, "n", F.col("mid").alias("alpha"), "mse", F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"))
 
 
+#: Shares of draws from a Poisson distribution of mean 1 that are at most 0, 1, ... 6.
+POISSON_CUTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(7)]).tolist()
+
+
 def bootstrap_alpha(edges: DataFrame, original: str, amplified: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """low, alpha, high: 2.5, 50 and 97.5 percentiles of the mean log ratio over Poisson resamples; weights come from hashes, so runs agree."""
+    """low, alpha, high: 2.5, 50 and 97.5 percentiles of the mean log ratio over Poisson resamples; weights come from MD5 hashes, so runs and engines agree."""
     ok = edges.where((F.col(original) > 0.1) & (F.col(amplified) > 0) & (F.col(original) != 1)).select("src", "dst", (F.ln(amplified) / F.ln(original)).alias("r"))
     # Inverse transform of a Poisson(1) from a hash in [0, 1).
-    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(7)]).tolist()
-    u = F.pmod(F.xxhash64("src", "dst", "round", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts[1:]), F.when(u > cuts[0], 1).otherwise(0))
+    key = F.concat_ws(":", F.lit(seed), "src", "dst", "round").cast("binary")
+    u = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    weight = F.size(F.filter(F.array(*map(F.lit, POISSON_CUTS)), lambda c: u > c))
     w = ok.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
     means = w.groupBy("round").agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.5)).alias("alpha"), F.percentile("m", F.lit(0.975)).alias("high"))

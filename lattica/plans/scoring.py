@@ -96,13 +96,30 @@ def _alpha_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_returnflag").alias("grp"), (1 - F.col("l_discount")).alias("c"), (F.col("l_quantity") / 50).alias("b"), (F.col("l_quantity") / 50 * (1 - F.col("l_discount")) * (1 - F.col("l_tax") / 4)).alias("y"))
 
 
-@query()
+def _refined(rounds: int = 4, steps: int = 41, low: float = 0.5, high: float = 3.0) -> str:
+    """SQL of the rounds of a refined grid, r1 and on, over points p and groups s."""
+    spread, out = (high - low) / 2, [f"r0 AS (SELECT grp, {(low + high) / 2}::DOUBLE AS mid FROM s)"]
+    for k in range(1, rounds + 1):
+        step = 2 * spread / (steps - 1)
+        at = f"greatest({low}::DOUBLE, least({high}::DOUBLE, mid - {spread!r}::DOUBLE + i * {step!r}::DOUBLE))"
+        errors = f"SELECT grp, a, avg(pow(y - b * pow(c, a), 2)) AS e FROM p JOIN (SELECT DISTINCT grp, {at} AS a FROM r{k - 1}, range({steps}) t(i)) USING (grp) GROUP BY 1, 2"
+        out.append(f"r{k} AS (SELECT grp, arg_min(a, e) AS mid, min(e) AS mse FROM ({errors}) GROUP BY 1)")
+        spread = step
+    return ", ".join(out)
+
+
+@query(f"""WITH p AS (SELECT l_returnflag AS grp, 1 - l_discount AS c, l_quantity / 50 AS b, l_quantity / 50 * (1 - l_discount) * (1 - l_tax / 4) AS y FROM lineitem),
+s AS (SELECT grp, count(*) AS n, var_pop(y) AS v FROM p GROUP BY 1 HAVING count(*) > 20), {_refined()}
+SELECT grp, n, round(mid, 4) AS alpha, round(mse, 6) AS mse, round(1 - mse / v, 4) AS r2 FROM r4 JOIN s USING (grp)""")
 def alpha_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = st.fit_alpha(_alpha_points(spark, sf_dir), "c", "b", "y", keys=["grp"], least=20)
     return f.select("grp", "n", F.round("alpha", 4).alias("alpha"), r6("mse"), F.round("r2", 4).alias("r2"))
 
 
-@query()
+@query(f"""WITH {EDGES}, r AS (SELECT src, dst, ln(pow(sim, 1.5)) / ln(sim) AS r FROM edges WHERE sim > 0.1 AND sim <> 1),
+u AS (SELECT i, r, ('0x' || substr(md5('42:' || src || ':' || dst || ':' || i), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE AS u FROM r, range(1, 201) t(i)),
+w AS (SELECT i, r, len(list_filter({st.POISSON_CUTS}::DOUBLE[], lambda c: u > c)) AS w FROM u), m AS (SELECT sum(w * r) / sum(w) AS m FROM w GROUP BY i)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS alpha, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def alpha_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = st.bootstrap_alpha(g.amplified(edges(spark, sf_dir)), "context_original", "context_amplified")
     return b.select(r6("low"), r6("alpha"), r6("high"))

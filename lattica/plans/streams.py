@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from lattica.plans.registry import query
 from lattica.sources.scratch import shared_folder
+from lattica.sources.store import merge
 from lattica.streaming import ingest
 
 
-def run_to_end(df: DataFrame, name: str) -> DataFrame:
-    """Runs an aggregating stream over all files there are and returns its final rows. Complete mode has them all; they are few by their grouping."""
+def run_to_end(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs an aggregating stream over all files there are and returns its final rows.
+
+    With ``keys`` batches bring the rows that changed, which replace those of their keys, and the watermark drops state.
+    Without, each batch brings all rows: windows of sessions have no such mode. A batch that runs again writes the same.
+    """
     out = shared_folder(df.sparkSession, name)
+    last = 0
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows")
+        nonlocal last
+        rows = merge(batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/rows-{n - 1}"), batch, keys) if keys and n else batch
+        rows.write.mode("overwrite").parquet(f"{out}/rows-{n}")
+        last = n
 
-    df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.parquet(f"{out}/rows")
+    df.writeStream.outputMode("update" if keys else "complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{out}/rows-{last}")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +37,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_end(ingest.window_metrics(_events(spark, sf_dir)), "daily").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return run_to_end(ingest.window_metrics(_events(spark, sf_dir)), "daily", ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l)

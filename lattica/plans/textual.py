@@ -180,12 +180,41 @@ def full_text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("paper_id", t.alias("t")).select("paper_id", F.length("t").alias("n"), F.sha2("t", 256).alias("digest"))
 
 
-@query()
+def _sentences(column: str) -> str:
+    return rf"string_split(regexp_replace({column}, '([.!?])\s+([A-Z])', '\1' || chr(30) || '\2', 'g'), chr(30))"
+
+
+BREAK = "chr(10) || chr(10)"
+_N_WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
+#: The packers' states, a step for each piece: an open chunk is its pieces and its size; a step closes one chunk at most.
+BY_WORDS = rf"""RECURSIVE s AS (SELECT doc_id, x.t AS t, x.n - 1 AS sec FROM (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(text, '(?m)(^## |\n## )', chr(30), 'g'), chr(30)), lambda t, i: {{'t': t, 'n': i}})) AS x FROM documents) WHERE trim(x.t, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+g AS (SELECT doc_id, sec, x.t AS t, x.n AS pos FROM (SELECT doc_id, sec, unnest(list_transform(string_split(CASE WHEN sec > 0 THEN '## ' ELSE '' END || t, {BREAK}), lambda t, i: {{'t': regexp_replace(t, '^\s+|\s+$', '', 'g'), 'n': i}})) AS x FROM s) WHERE x.t <> ''),
+h AS (SELECT doc_id, sec, pos, {_N_WORDS.format("t")} > 512 AS long, t FROM g),
+q AS (SELECT doc_id, sec, pos, long, x.t AS t, x.n AS nth FROM (SELECT doc_id, sec, pos, long, unnest(list_transform(CASE WHEN long THEN {_sentences("t")} ELSE [t] END, lambda t, i: {{'t': t, 'n': i}})) AS x FROM h)),
+p AS (SELECT doc_id, sec, long, t, {_N_WORDS.format("t")} AS k, row_number() OVER (PARTITION BY doc_id ORDER BY sec, pos, nth) AS i FROM q),
+r AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS sec, []::VARCHAR[] AS now, 0::BIGINT AS size, NULL::STRUCT(section BIGINT, tokens BIGINT, n_chars BIGINT) AS closed FROM (SELECT DISTINCT doc_id FROM p)
+UNION ALL SELECT doc_id, i, sec, list_append(CASE WHEN len(tail) > 0 THEN [array_to_string(tail, ' ')] WHEN shut THEN []::VARCHAR[] ELSE now END, t), k + CASE WHEN shut THEN len(tail) ELSE size END,
+  CASE WHEN shut THEN {{'section': was, 'tokens': size, 'n_chars': length(array_to_string(now, ' '))}} END
+  FROM (SELECT *, CASE WHEN shut AND sec = was AND long AND len(now) > 1 THEN list_filter(string_split_regex(array_to_string(now, ' '), '\s+'), lambda w: w <> '')[-50:] ELSE []::VARCHAR[] END AS tail
+    FROM (SELECT p.*, r.sec AS was, now, size, len(now) > 0 AND (p.sec <> r.sec OR size + k > 512) AS shut FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1))),
+c AS (SELECT doc_id, i, closed FROM r WHERE closed IS NOT NULL UNION ALL SELECT doc_id, i + 1, {{'section': sec, 'tokens': size, 'n_chars': length(array_to_string(now, ' '))}} FROM r QUALIFY i = max(i) OVER (PARTITION BY doc_id))"""
+BY_CHARS = rf"""RECURSIVE g AS (SELECT doc_id, x.t AS t, x.n AS pos FROM (SELECT doc_id, unnest(list_transform(string_split(text, {BREAK}), lambda t, i: {{'t': t, 'n': i}})) AS x FROM documents WHERE text <> '')),
+q AS (SELECT doc_id, pos, long, x.t AS t, x.n AS nth FROM (SELECT doc_id, pos, length(t) > 1000 AS long, unnest(list_transform(CASE WHEN length(t) > 1000 THEN {_sentences("t")} ELSE [t] END, lambda t, i: {{'t': t, 'n': i}})) AS x FROM g)),
+p AS (SELECT doc_id, long, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos, nth) AS i FROM q),
+r AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS now, 0::BIGINT AS size, 0::BIGINT AS pos, NULL::STRUCT(a BIGINT, b BIGINT) AS closed FROM (SELECT DISTINCT doc_id FROM p)
+UNION ALL SELECT doc_id, i, list_append(CASE WHEN tail <> '' THEN [tail] WHEN shut THEN []::VARCHAR[] ELSE now END, t), length(t) + CASE WHEN shut THEN length(tail) ELSE size END, CASE WHEN shut THEN pos + length(joined) - length(tail) ELSE pos END,
+  CASE WHEN shut THEN {{'a': pos, 'b': pos + length(joined)}} END
+  FROM (SELECT *, array_to_string(now, ' ') AS joined, CASE WHEN shut AND long THEN array_to_string(CASE WHEN len(now) > 2 THEN now[-2:] ELSE now[-1:] END, ' ') ELSE '' END AS tail
+    FROM (SELECT p.*, now, size, pos, len(now) > 0 AND size + length(t) > 1000 AS shut FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1))),
+c AS (SELECT doc_id, i, closed FROM r WHERE closed IS NOT NULL UNION ALL SELECT doc_id, i + 1, {{'a': pos, 'b': pos + length(array_to_string(now, ' '))}} FROM r QUALIFY i = max(i) OVER (PARTITION BY doc_id))"""
+
+
+@query(f"""WITH {BY_WORDS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, closed.section::INTEGER AS section, closed.tokens::INTEGER AS tokens, closed.n_chars::INTEGER AS n_chars FROM c""")
 def packed_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_chunks(tb.table(spark, sf_dir, "documents"), by="words").select("doc_id", "chunk_index", "section", "tokens", F.length("text").alias("n_chars"))
 
 
-@query()
+@query(f"""WITH {BY_CHARS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, closed.a::INTEGER AS start_char, closed.b::INTEGER AS end_char FROM c""")
 def packed_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_chunks(tb.table(spark, sf_dir, "documents"), by="chars").select("doc_id", "chunk_index", "start_char", "end_char")
 
@@ -197,21 +226,34 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("chunk_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "tokens", *flags)
 
 
-@query()
+def _hashed(dim: int) -> str:
+    """SQL of the stand-in encoder: e (id, d, s), the entries of vectors but for their length, of texts x (id, t)."""
+    words = "regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z_\\x{80}-\\x{10FFFF}]+')"
+    return f"""e AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {dim} AS d, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS s FROM (SELECT id, unnest({words}) AS w FROM x) GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(s * s)) AS n FROM e GROUP BY 1)"""
+
+
+@query(f"""WITH {CHUNKS.replace("48", "824").replace("i + 64", "i + 1024")}, x AS (SELECT paper_id || '_chunk_' || chunk_index AS id, text AS t FROM chunks), {_hashed(32)}
+SELECT x.id AS chunk_id, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm, round(CASE WHEN n > 0 THEN coalesce(s, 0) / n ELSE 0.0::DOUBLE END, 6) AS first FROM x LEFT JOIN n USING (id) LEFT JOIN e ON e.id = x.id AND d = 0""")
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of all chunks, by the stand-in encoder, as their norm and first entry."""
     v = chunking.embedded_chunks(chunking.chunk_records(tb.table(spark, sf_dir, "documents")), encode.hashing_encoder(32))
     return v.select("chunk_id", r6(norm(F.col("v")), "norm"), r6(F.col("v")[0], "first"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT item_id AS id, text AS t FROM benchmark), {_hashed(64)}, p AS (SELECT a.id AS src, b.id AS dst, sum(a.s * b.s) AS dot FROM e a JOIN e b ON a.d = b.d AND a.id < b.id GROUP BY 1, 2)
+SELECT src, dst, round(dot / (a.n * b.n), 6) AS sim FROM p JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.n > 0 AND b.n > 0 AND dot / (a.n * b.n) > 0.3""")
 def encoded_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoder and pair join together, over the benchmark items."""
     v = encode.encode(tb.table(spark, sf_dir, "benchmark"), "item_id", "text", encode.hashing_encoder())
     return pairs.similar_pairs(v, 0.3).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), near AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {1 - 0.65!r}),
+w AS (SELECT src, dst, sim FROM near UNION ALL SELECT dst, src, sim FROM near), cores AS (SELECT src AS id FROM w GROUP BY 1 HAVING count(*) + 1 >= 5),
+reach AS (SELECT id, id AS root FROM cores UNION SELECT w.dst, root FROM reach JOIN w ON w.src = reach.id JOIN cores ON cores.id = w.dst), own AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1),
+border AS (SELECT src AS id, cluster FROM w JOIN own ON own.id = w.dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) = 1)
+SELECT v.id, coalesce(own.cluster, border.cluster, -1)::BIGINT AS cluster FROM v LEFT JOIN own USING (id) LEFT JOIN border USING (id)""")
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(tb.vectors(spark, sf_dir), 0.65, 5)
 

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def merge(old: DataFrame, new: DataFrame, key: str, on_duplicate: str = "replace") -> DataFrame:
+def merge(old: DataFrame, new: DataFrame, key: str | list[str], on_duplicate: str = "replace") -> DataFrame:
     """``old`` with ``new`` put in. Of rows of a key that both have, ``ignore`` keeps the old, ``replace`` the new, ``update`` the new one's values where they are not null."""
+    keys = [key] if isinstance(key, str) else key
     if on_duplicate == "ignore":
-        return old.unionByName(new.join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+        return old.unionByName(new.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
     if on_duplicate == "replace":
-        return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+        return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
     if on_duplicate == "update":
         a, b = old.alias("a"), new.alias("b")
         cols = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) if c in new.columns else F.col(f"a.{c}") for c in old.columns]
-        return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*cols)
+        same = reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+        return a.join(b, same, "full").select(*cols)
     raise ValueError(f"unknown mode {on_duplicate!r}")
 
 

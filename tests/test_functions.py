@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.functions import ids, packers
+from lattica.functions import ids, packers, sql
+from lattica.functions.packers import pack_chars, pack_words
 from lattica.functions import scores as sc
 from lattica.functions import text as tx
 from lattica.functions import vector as vec
@@ -150,3 +151,24 @@ def test_packed_chunks_edges(spark):
     assert [tuple(r) for r in packers.packed_chunks(docs, by="chars").collect()] == [(3, 0, "a b", 0, 3)]
     with pytest.raises(ValueError, match="packer"):
         packers.packed_chunks(docs, by="lines")
+
+
+def test_functions_in_sql(spark):
+    sql.register(spark)
+    one = spark.sql("SELECT amplify(0.25) a, amplify(0.25, 2) b, transfer(0.5, 1, 0.25) t, information(array(0.5, 0.5)) i, information(array(0.5, null)) z, cosine(array(1, 1), array(1, 0)) c, cosine(array(0, 0), array(1, 0)) n").first()
+    assert (one["a"], one["b"], one["t"], one["i"], one["z"], one["n"]) == (0.125, 0.0625, 0.09375, 0.25, 0, None)
+    assert one["c"] == pytest.approx(2**-0.5)
+    spark.createDataFrame([(1, "a b  c d e"), (2, None), (3, " ")], "id long, body string").createOrReplaceTempView("sql_texts")
+    got = spark.sql("SELECT id, posexplode(w) AS (i, chunk) FROM (SELECT id, word_windows(body, 2, 1) AS w FROM sql_texts)")
+    want = spark.table("sql_texts").select("id", F.posexplode(tx.word_windows(F.col("body"), 2, 1)).alias("i", "chunk"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packers_in_sql(spark):
+    sql.register(spark)
+    text = "One two three. " * 3 + "\n\nFour five.\n## Next\n\nsix"
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, body string").createOrReplaceTempView("sql_texts")
+    for by, target, pack in (("words", 4, pack_words), ("chars", 20, pack_chars)):
+        got = spark.sql(f"SELECT id, p.* FROM sql_texts, LATERAL packed(body, '{by}', {target}) p ORDER BY id, chunk_index").collect()
+        assert [tuple(r) for r in got] == [(1, i, *c) for i, c in enumerate(pack(text, target))]

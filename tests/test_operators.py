@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +273,20 @@ def test_ordered_against_plain_windows(spark):
     order = [F.col("o"), F.col("id")]
     got = ordered.ranked(df, order, "r").select("id", "r").join(ordered.running_sum(df, order, "v", "s").select("id", "s"), "id").join(ordered.with_previous(df, order, "v", "p").select("id", "p"), "id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_co_citations_do_not_depend_on_blocks(spark):
+    rows = [(s, d) for s in range(4) for d in range(20) if (s + d) % 3] + [(0, 1), (9, None), (None, 3)]
+    cites = spark.createDataFrame(rows, "src long, dst long")
+    by = {}
+    for s, d in set(rows) - {(9, None), (None, 3)}:
+        by.setdefault(s, []).append(d)
+    want = Counter((a, b) for l in by.values() for a in l for b in l if a < b)
+    for block in (1, 4, 1024):
+        assert {(r["a"], r["b"]): r["together"] for r in graph.co_citations(cites, block).collect()} == want
+
+
+def test_vectors_of_the_stand_in_encoder():
+    v = encode.hashing_encoder(8)(["Ab ab", "ab", "é - é", "", " "])
+    assert np.allclose(v[0], v[1])
+    assert np.allclose(np.linalg.norm(v, axis=1), [1, 1, 1, 0, 1])

@@ -45,6 +45,8 @@ def test_merge_modes(spark):
     assert rows("ignore") == [(1, "a", 1), (2, "b", 2), (3, "c", None)]
     assert rows("replace") == [(1, "a", 1), (2, None, None), (3, "c", None)]
     assert rows("update") == [(1, "a", 1), (2, "b", 2), (3, "c", None)]
+    by_two = store.merge(old, spark.createDataFrame([(2, "b", 9), (2, "z", 8)], "k long, x string, y int"), ["k", "x"])
+    assert sorted(map(tuple, by_two.collect())) == [(1, "a", 1), (2, "b", 9), (2, "z", 8)]
     with pytest.raises(ValueError, match="mode"):
         store.merge(old, new, "k", "upsert")
     assert tuple(store.merge_counts(old, new, "k").first()) == (1, 1, 0, 2)
