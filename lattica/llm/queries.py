@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, exact_dedup, licenses, quality, sharding, simhash, suffix_dedup, toxicity
+from lattica.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, lexical, licenses, quality, sharding, simhash, suffix_dedup, toxicity
 from lattica.llm.common import table
 
 
@@ -68,8 +68,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_decontaminate, op4_quality, op5_exact_dedup, op6_simhash, op7_sharding, sharding_small, sharding_hot_keys, op8_bpe, op9_chat, op10_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_decontaminate, op4_quality, op5_exact_dedup, op6_simhash, op7_sharding, sharding_small, sharding_hot_keys, op8_bpe, op9_chat, op10_licenses, op11_hard_negatives, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -81,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "sharding_hot_keys": sharding.oracle(SMALL, "source", "doc_id"),
         "op9_chat": chat.ORACLE_SQL,
         "op10_licenses": licenses.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op12_lexical_search": lexical.ORACLE_SQL,
     }
