@@ -45,7 +45,7 @@ def relabelled() -> Column:
 def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """row_no, vec_id, label, q (array of doubles that are whole numbers) of rows with a label and a whole vector of finite components."""
     x = F.col("embedding")
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c).cast("double") * scale != float("inf")))
     rows = vectors.where(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)))
     # A float times a power of two is exact; floor() of a double would give a long, which large components overflow.
     whole = lambda c: (c.cast("double") * scale) - F.call_function("pmod", c.cast("double") * scale, F.lit(1.0))
@@ -149,7 +149,7 @@ class Cell:
             np.minimum(far, a + r, out=far)
         # |a - x|^2 = |a|^2 + longest - 2 a.x, as an anchor's own further component is 0.
         base = (self.a[at] ** 2).sum(axis=1)[:, None] + self.longest
-        room = 1e-9 * (base + self.longest) + 1
+        room = 1e-5 * (base + self.longest) + 1
         return (base - far * far - room) / 2, (base - near * near + room) / 2
 
     def products(self, a: int, to: np.ndarray) -> np.ndarray:
@@ -171,8 +171,8 @@ def first(scores: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return order[np.lexsort((at[order], -scores[order]))][:k]
 
 
-#: Scores are decimals on the way, as sums of products of large components pass 64 bits.
-SCORE = "decimal(38,0)"
+#: Scores are decimals on the way, as sums of products of large components pass 64 bits; beyond 38 digits all are one.
+SCORE, MOST_SCORE = "decimal(38,0)", 10**38 - 1
 
 
 def _limited(found: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -198,7 +198,7 @@ def positives(table: Table, anchors: DataFrame, k: int) -> DataFrame:
                     # k rows score at least this much, so a row that cannot reach it is not among the first k.
                     sure = low[others]
                     floor = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) > k else -np.inf
-                    left = to[others & (high >= floor)]
+                    left = to[others & ~(high < floor)]  # what is too large for doubles to compare stays
                     s = c.products(a, left)
                     out += [(a, left[j], s[j]) for j in first(s, left, k).tolist()]
         return listed(c, out)
@@ -213,7 +213,7 @@ def _found(table: Table) -> str:
 def listed(c: Cell, found: list[tuple[int, int, int]]) -> pa.Table:
     a, r, s = ([x[i] for x in found] for i in range(3))
     of = c.rows.take(pa.array(r, pa.int64()))
-    return pa.table({"anchor_no": pa.array(c.no_a[a] if a else [], pa.int64()), "other_id": of["vec_id"], "other_no": of["row_no"], "score": pa.array([int(x) for x in s], pa.decimal128(38, 0))})
+    return pa.table({"anchor_no": pa.array(c.no_a[a] if a else [], pa.int64()), "other_id": of["vec_id"], "other_no": of["row_no"], "score": pa.array([max(-MOST_SCORE, min(MOST_SCORE, int(x))) for x in s], pa.decimal128(38, 0))})
 
 
 def negatives(table: Table, anchors: DataFrame, k: int, least: int, most: int) -> DataFrame:
@@ -236,7 +236,7 @@ def negatives(table: Table, anchors: DataFrame, k: int, least: int, most: int) -
                     ranges = [b for b in bounds[a] if least * b <= most * b]
                     if not ranges:
                         continue
-                    may = (high >= least * min(ranges) / 100) & (low <= most * max(ranges) / 100) & (c.label_r[to] != c.label_a[a])
+                    may = ~(high < least * min(ranges) / 100) & ~(low > most * max(ranges) / 100) & (c.label_r[to] != c.label_a[a])
                     left = to[may]
                     s = c.products(a, left)
                     for b in ranges:
@@ -256,7 +256,7 @@ def mine(vectors: DataFrame, n_positives: int = POSITIVES, n_negatives: int = NE
     Rows with a null label, a null vector, or a null or non-finite component take no part. Vectors may have different
     lengths, the shorter ones end in zeros; an empty one scores 0 with all. A row with a null id is no anchor, and the
     last among ties. Rows that repeat an id are rows of their own, equal ones in ties in any order, and an anchor's own
-    row is no positive of its. Scores that pass 64 bits are compared as they are and given as null. An empty table gives
+    row is no positive of its. Scores that pass 64 bits are compared as they are, up to 38 digits, and given as null. An empty table gives
     an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession

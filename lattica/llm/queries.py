@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, lexical, licenses, quality, sharding, simhash, suffix_dedup, toxicity
+from lattica.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, lexical, licenses, quality, sharding, simhash, suffix_dedup, suffix_tree, toxicity
 from lattica.llm.common import table
 
 
@@ -76,8 +76,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_decontaminate, op4_quality, op5_exact_dedup, op6_simhash, op7_sharding, sharding_small, sharding_hot_keys, op8_bpe, op9_chat, op10_licenses, op11_hard_negatives, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_decontaminate, op4_quality, op5_exact_dedup, op6_simhash, op7_sharding, sharding_small, sharding_hot_keys, op8_bpe, op9_chat, op10_licenses, op11_hard_negatives, op12_lexical_search, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_licenses": licenses.ORACLE_SQL,
         "op11_hard_negatives": hard_negatives.ORACLE_SQL,
         "op12_lexical_search": lexical.ORACLE_SQL,
+        "op13_substring_dedup": suffix_tree.ORACLE_SQL,
     }
