@@ -32,6 +32,8 @@ ANCHORS, CELL_BYTES, CELL_ROWS = 2048, 16 << 20, 2048
 TILE = 256
 #: Whole numbers up to this one are exact as doubles, and so are sums of products below it in any order.
 EXACT = 1 << 53
+#: Scores are decimals on the way, as sums of products of large components pass 64 bits; beyond 38 digits all are one.
+SCORE, MOST_SCORE = "decimal(38,0)", 10**38 - 1
 
 
 def is_anchor() -> Column:
@@ -150,14 +152,15 @@ class Cell:
         # |a - x|^2 = |a|^2 + longest - 2 a.x, as an anchor's own further component is 0.
         base = (self.a[at] ** 2).sum(axis=1)[:, None] + self.longest
         room = 1e-5 * (base + self.longest) + 1
-        return (base - far * far - room) / 2, (base - near * near + room) / 2
+        most = float(MOST_SCORE)
+        return np.clip((base - far * far - room) / 2, -most, most), np.clip((base - near * near + room) / 2, -most, most)
 
     def products(self, a: int, to: np.ndarray) -> np.ndarray:
         """Scores of an anchor with rows; whole numbers, of Python's kind where doubles would round."""
         if self.exact:
             return (self.r[to] @ self.a[a]).astype(np.int64)
         own = [int(x) for x in self.a[a]]
-        return np.array([sum(int(x) * y for x, y in zip(self.r[i], own, strict=True)) for i in to.tolist()], object)
+        return np.array([max(-MOST_SCORE, min(MOST_SCORE, sum(int(x) * y for x, y in zip(self.r[i], own, strict=True)))) for i in to.tolist()], object)
 
 
 def first(scores: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -171,10 +174,6 @@ def first(scores: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return order[np.lexsort((at[order], -scores[order]))][:k]
 
 
-#: Scores are decimals on the way, as sums of products of large components pass 64 bits; beyond 38 digits all are one.
-SCORE, MOST_SCORE = "decimal(38,0)", 10**38 - 1
-
-
 def _limited(found: DataFrame, by: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("other_id"), "other_no")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -213,7 +212,7 @@ def _found(table: Table) -> str:
 def listed(c: Cell, found: list[tuple[int, int, int]]) -> pa.Table:
     a, r, s = ([x[i] for x in found] for i in range(3))
     of = c.rows.take(pa.array(r, pa.int64()))
-    return pa.table({"anchor_no": pa.array(c.no_a[a] if a else [], pa.int64()), "other_id": of["vec_id"], "other_no": of["row_no"], "score": pa.array([max(-MOST_SCORE, min(MOST_SCORE, int(x))) for x in s], pa.decimal128(38, 0))})
+    return pa.table({"anchor_no": pa.array(c.no_a[a] if a else [], pa.int64()), "other_id": of["vec_id"], "other_no": of["row_no"], "score": pa.array([int(x) for x in s], pa.decimal128(38, 0))})
 
 
 def negatives(table: Table, anchors: DataFrame, k: int, least: int, most: int) -> DataFrame:
