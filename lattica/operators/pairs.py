@@ -1,11 +1,16 @@
 """Similarity joins and nearest neighbours over vectors.
 
 ``similar_pairs`` deals rows into blocks and sends each block to the cells of a triangle of block pairs, so every pair
-meets once and a task holds two blocks. Within a cell a matrix product finds the pairs. Rows carry their angle to a
-pivot; where the angles of two blocks differ by more than the threshold allows, the cell is never made, which is exact
-by the triangle inequality on angles. Vectors of one angle (copies, for one) are dealt by a hash of their ids, so no
-block grows beyond its size. Products are made in single precision, and those near the threshold or above are made
+meets once and a task holds two blocks. Within a cell a matrix product finds the pairs. Blocks are range parts by the
+rows' angle to a pivot, and by a hash of their ids where angles are equal, so that no block grows beyond its size.
+Where the angles of two blocks differ by more than the threshold allows, the cell is never made, which is exact by the
+triangle inequality on angles. Products are made in single precision, and those near the threshold or above are made
 again in double. Ids may be of any type that has an order. ``similar_pairs_sql`` is the same join as a JVM expression.
+
+``nearest`` keeps at most k rows for each vector of a cell. Cells are made in rounds of growing distance between blocks;
+after a round, cells are left out whose angles are so far apart that nothing in them can be among the k best any more.
+``nearest_indexed`` is an inverted file: vectors are listed under the nearest of some centroids and asked for under
+several, which finds most neighbours at a part of the work.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,36 +39,51 @@ def _to_pivot(u: Column) -> Column:
 
 
 def _blocks(vecs: DataFrame, block: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors (id, u, b) with their block, and the blocks (b, lo, hi) with their range of angles to the pivot."""
+    """Unit vectors (id, u, angle, b) with their block, and the blocks (b, lo, hi, m) with their range of angles and size.
+
+    Blocks are numbered in order of angle.
+    """
     usable = vecs.where(norm(F.col("v")) > 0).select("id", unit(F.col("v")).alias("u"))
-    # The vectors may come from a join; as a table they are made once, and counts and quantiles read one column.
-    with_angle = settle(usable.withColumn("angle", _to_pivot(F.col("u"))), "unit-vectors")
-    n = with_angle.count()
+    n = usable.count()
     k = max(1, -(-n // block), min(parts, n // 256))
-    cuts = sorted(set(with_angle.approxQuantile("angle", [i / k for i in range(1, k)], 0.01))) if k > 1 else []
-    band = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("angle"))) if cuts else F.lit(0)
-    rows = with_angle.withColumn("band", band.cast("long"))
-    # A band that many vectors of one angle have made too large is cut by the hash of the id; there are as many bands as cuts.
-    most = 2 * max(1, min(block, -(-n // k)))
-    large = {r["band"]: -(-2 * r["count"] // most) for r in rows.groupBy("band").count().collect() if r["count"] > most} if k > 1 else {}
-    part = F.pmod(F.xxhash64("id"), F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in large.items() for x in pair]), F.col("band"))) if large else F.lit(0)
-    rows = rows.withColumn("b", F.col("band") * (1 << 32) + F.coalesce(part, F.lit(0))).drop("band")
-    return rows, rows.groupBy("b").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    with_angle = usable.withColumn("angle", _to_pivot(F.col("u")))
+    dealt = with_angle.repartitionByRange(k, "angle", F.xxhash64("id")) if k > 1 else with_angle
+    # The part's number is written with the row, so that it stays what it was when the plan is run again.
+    rows = settle(dealt.withColumn("b", F.spark_partition_id() if k > 1 else F.lit(0)), "blocks")
+    return rows, rows.groupBy("b").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("m"))
 
 
-def _cells(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
-    """cell, left, id, u: every row once for each cell of its block."""
-    parts = math.isqrt(2 * vecs.sparkSession.sparkContext.defaultParallelism) + 1
-    rows, bounds = _blocks(vecs, block, parts)
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
-    a, b = bounds.alias("a"), bounds.alias("b")
-    near = (F.col("a.b") <= F.col("b.b")) & (F.col("b.lo") - F.col("a.hi") <= reach) & (F.col("a.lo") - F.col("b.hi") <= reach)
-    cells = a.join(b, near).select(F.col("a.b").alias("x"), F.col("b.b").alias("y"))
+def _near(bounds: DataFrame, reach: float) -> DataFrame:
+    """x <= y, gap: pairs of blocks whose angles come within ``reach`` of one another; a join by cells of the angle."""
+    width = max(reach, 1e-3)
+    at = lambda c: F.floor(F.col(c) / width)
+    a = bounds.select(F.col("b").alias("x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), F.explode(F.sequence(at("lo") - 1, at("hi") + 1)).alias("cell"))
+    b = bounds.select(F.col("b").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), F.explode(F.sequence(at("lo"), at("hi"))).alias("cell"))
+    gap = F.greatest(F.lit(0.0), F.col("lo_y") - F.col("hi_x"), F.col("lo_x") - F.col("hi_y"))
+    return a.join(b, "cell").where("x <= y").select("x", "y", gap.alias("gap")).where(F.col("gap") <= reach).distinct()
+
+
+def _sides(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """x, y, side, id, u: every row once for each cell of its block; side is 2 in cells of a block with itself."""
     sides = cells.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("own", F.when(F.col("side") == 1, F.col("y")).otherwise(F.col("x")))
     return rows.join(sides, rows["b"] == sides["own"]).select("x", "y", "side", "id", "u")
 
 
+def _reach(threshold: float) -> float:
+    return math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
+
+
+def _parts(vecs: DataFrame) -> int:
+    return math.isqrt(2 * vecs.sparkSession.sparkContext.defaultParallelism) + 1
+
+
+def _cells(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """x, y, side, id, u: every row once for each cell of its block."""
+    rows, bounds = _blocks(vecs, block, _parts(vecs))
+    return _sides(rows, _near(bounds, _reach(threshold)))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
@@ -111,12 +132,153 @@ def similar_pairs_sql(vecs: DataFrame, threshold: float, inclusive: bool = False
     return pairs.where(F.col("sim") >= threshold if inclusive else F.col("sim") > threshold)
 
 
-def nearest(vecs: DataFrame, k: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """src, dst, sim, rank: of each vector its k nearest above the threshold, itself not counted; ties by id."""
-    pairs = similar_pairs(vecs, threshold, inclusive=True, block=block)
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+def _best(a: np.ndarray, b: np.ndarray, k: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a, their k best rows of b at or above the threshold, and the cosines; ties by place in b. ``same``: row i of both is one vector."""
+    row, col, sim = [], [], []
+    single, slack = b.astype(np.float32).T, 1e-6 + 1.2e-7 * b.shape[1]
+    for at in range(0, len(a), 512):
+        own = a[at : at + 512]
+        s = own.astype(np.float32) @ single
+        if same:
+            s[np.arange(len(own)), np.arange(at, at + len(own))] = -2
+        # What may be among the k best by double precision: all within the rounding of the k-th best by single.
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(own), -1.5, np.float32)
+        r, c = np.nonzero(s >= np.maximum(kth - 2 * slack, max(threshold, -1.0) - slack)[:, None])
+        exact = np.einsum("ij,ij->i", own[r], b[c])
+        keep = exact >= threshold
+        r, c, exact = r[keep], c[keep], exact[keep]
+        order = np.lexsort((c, -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        row.append(r[first] + at)
+        col.append(c[first])
+        sim.append(exact[first])
+    return (np.concatenate(row), np.concatenate(col), np.concatenate(sim)) if row else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _best_of_cell(k: int, threshold: float):  # noqa: ANN202
+    """A kernel that lists, for each row of a cell (side 0 asks 1 and 1 asks 0; 2 asks itself; 3 only asks, 4 is only asked), its k best."""
+
+    def kernel(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t["id"]))
+        side = t["side"].to_numpy()
+        src, dst, sim = [], [], []
+        for asks, asked in ((0, 1), (1, 0), (2, 2), (3, 4)):
+            a, b = (t.filter(pa.array(side == x)) for x in (asks, asked))
+            if not len(a) or not len(b):
+                continue
+            i, j, s = _best(_matrix(a["u"]), _matrix(b["u"]), k + (asks == 3), threshold, asks == asked)
+            x, y = a["id"].take(pa.array(i)), b["id"].take(pa.array(j))
+            if asks == 3:  # a vector may be among those it asks
+                other = pc.not_equal(x, y)
+                x, y, s = x.filter(other), y.filter(other), s[other.to_numpy()]
+            src.append(x)
+            dst.append(y)
+            sim.append(s)
+        none = t["id"].slice(0, 0)
+        return pa.table({"src": pa.chunked_array([c for x in src for c in x.chunks], none.type), "dst": pa.chunked_array([c for x in dst for c in x.chunks], none.type), "sim": np.concatenate([np.zeros(0), *sim])})
+
+    return kernel
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """Adds the rank and keeps the first k of each src; Spark limits the groups before it exchanges them."""
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Distance between the blocks of the first round's cells; each round doubles it.
+FIRST_ROUND = 8
+
+
+def nearest(vecs: DataFrame, k: int, threshold: float, block: int = BLOCK, first_round: int = FIRST_ROUND) -> DataFrame:
+    """src, dst, sim, rank: of each vector its k nearest at or above the threshold, itself not counted; ties by id. Exact.
+
+    No cell writes more than k rows a vector. Cells whose blocks lie near one another in angle come first; a later cell
+    is made only if its angles can still beat the k-th best of some row in it.
+    """
+    rows, bounds = _blocks(vecs, block, _parts(vecs))
+    kind = vecs.schema["id"].dataType.simpleString()
+    reach = _reach(threshold)
+    bounds = settle(bounds, "bounds")
+    n = bounds.count()
+    cells = _near(bounds, reach)
+    cells = settle(cells, "cells") if n > first_round else cells
+    met = lambda c: _sides(rows, c).groupBy("x", "y").applyInArrow(_best_of_cell(k, threshold), f"src {kind}, dst {kind}, sim double")
+    far = first_round
+    best = _first(met(cells.where(F.col("y") - F.col("x") < far)), k)
+    while far < n:
+        best = settle(best, "nearest")
+        # How far in angle each block still looks: to the worst of its rows' k-th best, or to the threshold where rows have fewer.
+        full = best.where(F.col("rank") == k).select(F.col("src").alias("id"), "sim")
+        looks = rows.select("id", "b").join(full, "id").groupBy("b").agg(F.count(F.lit(1)).alias("full"), F.min("sim").alias("least"))
+        least = F.when(F.col("full") == F.col("m"), F.greatest(F.lit(threshold), F.col("least"))).otherwise(threshold)
+        looks = settle(bounds.join(looks, "b", "left").select("b", (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), least))) + 1e-9).alias("look")), "looks")
+        ring = cells.where((F.col("y") - F.col("x") >= far) & (F.col("y") - F.col("x") < 2 * far))
+        a, b = looks.select(F.col("b").alias("x"), F.col("look").alias("look_x")), looks.select(F.col("b").alias("y"), F.col("look").alias("look_y"))
+        ring = ring.join(a, "x").join(b, "y").where(F.col("gap") <= F.greatest("look_x", "look_y")).select("x", "y")
+        best = _first(best.drop("rank").unionByName(met(ring)), k)
+        far *= 2
+    return best
+
+
+#: Rows of the sample that centroids are fitted on, for each list, and lists at most.
+SAMPLE_EACH, MOST_LISTS = 64, 4096
+
+
+def centroids(vecs: DataFrame, lists: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids by spherical k-means on a sample of at most SAMPLE_EACH rows for each list, those of the smallest hashes."""
+    usable = vecs.where(norm(F.col("v")) > 0).select("id", unit(F.col("v")).alias("u"))
+    m = _matrix(usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_EACH * lists).select("u").toArrow()["u"])
+    c = m[:lists].copy()
+    for _ in range(rounds if len(m) > lists else 0):
+        own = np.argmax(m @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, m)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+    return c
+
+
+def nearest_indexed(vecs: DataFrame, k: int, threshold: float, lists: int | None = None, probes: int | None = None, block: int = BLOCK, asked: DataFrame | None = None) -> DataFrame:
+    """src, dst, sim, rank, as ``nearest``, by an inverted file of ``lists`` lists of which each vector asks ``probes``.
+
+    Every vector is listed. Rows that are found are right; some may be missed, fewer with more probes, none where all
+    lists are asked. Lists beyond a block's size are cut by hashes of ids, and so are the vectors that ask them.
+    ``asked`` (id, v) has the vectors that ask, all if it is not given.
+    """
+    n = vecs.count()
+    lists = lists or max(1, min(MOST_LISTS, math.isqrt(n)))
+    probes = min(lists, probes or -(-3 * lists // 4))
+    if not n:
+        return nearest(vecs, k, threshold, block)
+    c = centroids(vecs, lists)
+    kind = vecs.schema["id"].dataType.simpleString()
+
+    def listed(df: DataFrame, most: int, side: int) -> DataFrame:
+        """side, id, u, and the lists whose centroids are nearest."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = _matrix(pa.chunked_array([batch.column(1)]))
+                s = m @ c.T
+                near = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < len(c) else np.tile(np.arange(len(c)), (len(m), 1))
+                at = pa.array(np.repeat(np.arange(len(m)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.full(near.size, side, np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "side", "id", "u"])
+
+        usable = df.where(norm(F.col("v")) > 0).select("id", unit(F.col("v")).alias("u"))
+        return usable.mapInArrow(run, f"list int, side int, id {kind}, u array<double>")
+
+    probes = min(probes, len(c))
+    rows = settle(listed(vecs, 1, 4), "lists").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 16)))
+    asks = settle(listed(vecs if asked is None else asked, probes, 3), "asks").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 16)))
+    cuts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    grid = settle(cuts(rows, "nx").join(cuts(asks, "ny"), "list"), "grid")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = F.broadcast(grid)  # at most MOST_LISTS rows
+    met = rows.join(own, "list").select("list", F.pmod("part", F.col("nx")).cast("int").alias("x"), each("ny").alias("y"), "side", "id", "u").unionByName(
+        asks.join(own, "list").select("list", each("nx").alias("x"), F.pmod("part", F.col("ny")).cast("int").alias("y"), "side", "id", "u"))
+    return _first(met.groupBy("list", "x", "y").applyInArrow(_best_of_cell(k, threshold), f"src {kind}, dst {kind}, sim double"), k)
 
 
 def cross_paper_pairs(chunks: DataFrame, threshold: float, same_paper: bool = False, inclusive: bool = True) -> DataFrame:
