@@ -132,11 +132,12 @@ STEPS = [
     (r"[^a-z0-9.+/!?;:\n-]+", " "),
     (r"spdx-license-identifier ?: ?([a-z0-9.+-]+)(?: (?:or|and|with) ([a-z0-9.+-]+))?", r"|spdx \1|spdx \2|"),
     (r"\|spdx \|", "|"),
+    (r"([a-z0-9])-\n *([a-z0-9])", r"\1-\2"),
     (r" ?\n[\n ]*\n ?", "|"),
     (r"[.!?;:]+(?:[ \n]+|$)", "|"),
     (r"[!?;:\n ]+", " "),
     (r"licence", "license"),
-    (f"( under (?:the )?(?:{ANY_NAME})) (?:and|or|and/or) (?:the )?((?:{ANY_NAME})(?: |$|\\|))", r"\1|under \2"),
+    (f"((?:^|[ |])under (?:the )?(?:{ANY_NAME})) (?:and|or|and/or) (?:the )?((?:{ANY_NAME})(?: |$|\\|))", r"\1|under \2"),
 ]
 
 

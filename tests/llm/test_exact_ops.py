@@ -509,11 +509,12 @@ def test_license_scan(spark):
     texts = [
         "Intro. Released under the MIT License. More.", "Licensed under CC BY-NC 4.0.\nnext", "x\nThis work is licensed under the GNU General Public License, version 3.\n",
         f"{mit[0]}. Unknown words. {mit[1]}.", f"{mit[1]}. {mit[0]}.", f"{mit[0]}. a. b. c. {mit[1]}.", None, "", "no licence here", "Licensed under the Apache License, Version 2.0.",
-        "We were not released under the MIT License today.", "The code is released under the MIT Licence and is free.", "code under the MIT\nlicense", "under the\n\nMIT license", "v. 2.0. v. 2.0",
+        "We were not released under the MIT License today.", "The code is released under the MIT Licence and is free.", "code under the MIT\nlicense", "under the\n\nMIT license",  # a title
+        "v. 2.0. v. 2.0",
         "word " * 50_000 + "under CC0 1.0", "Published under the MIT licenses of old",
     ]
     got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, texts)).collect()}
-    assert [got[i]["licenses"] for i in range(len(texts))] == ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "MIT", "", "", "", "", "", "Apache-2.0", "", "MIT", "MIT", "", "", "CC0-1.0", ""]
+    assert [got[i]["licenses"] for i in range(len(texts))] == ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "MIT", "", "", "", "", "", "Apache-2.0", "", "MIT", "MIT", "MIT", "", "CC0-1.0", ""]
     assert got[6]["n_sentences"] == got[7]["n_sentences"] == 0
     assert [got[3][c] for c in ("n_sentences", "n_known", "n_rules", "places")] == [3, 2, 1, "MIT@1"]
     assert got[0]["places"] == "MIT@2"
