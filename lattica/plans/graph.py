@@ -11,6 +11,7 @@ from lattica.functions import scores as sc
 from lattica.functions import text as tx
 from lattica.functions.vector import cosine, norm
 from lattica.operators import graph as g
+from lattica.operators import ordered
 from lattica.operators import pairs as pr
 from lattica.plans.registry import BOTH, EDGE_THRESHOLD, EDGES, PAPERS, query
 from lattica.sources import tables as tb
@@ -227,6 +228,13 @@ def context_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("src_year").alias("year")).agg(F.count(F.lit(1)).alias("links"), F.round(F.avg("sim"), 6).alias("context"))
 
 
+@query(f"""WITH {PAPERS} SELECT a.paper_id, a.year, count(b.paper_id) AS earlier, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS context FROM papers a LEFT JOIN papers b ON b.year < a.year GROUP BY 1, 2""")
+def context_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean similarity of each paper to all earlier ones, without a threshold and without their pairs."""
+    c = ordered.context_before(tb.papers(spark, sf_dir), "paper_id", "year", "embedding")
+    return c.select("paper_id", "year", "earlier", r6("context"))
+
+
 @query(f"""WITH RECURSIVE {BOTH}, f AS (SELECT 0::BIGINT AS paper_id, 0 AS distance UNION SELECT dst, distance + 1 FROM f JOIN both_ways ON src = paper_id WHERE distance < 4)
 SELECT paper_id, min(distance)::INTEGER AS distance, round(1 / (1 + min(distance)::DOUBLE), 6) AS where_score FROM f GROUP BY 1""")
 def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:

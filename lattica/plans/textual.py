@@ -9,10 +9,11 @@ from lattica.functions import ids
 from lattica.functions import text as tx
 from lattica.functions.packers import packed_chunks
 from lattica.functions.vector import norm
-from lattica.operators import chunking, cluster, encode, pairs
+from lattica.operators import chunking, cluster, encode, fulltext, pairs
 from lattica.plans.graph import r6
 from lattica.plans.registry import CHUNKS, PAPERS, query
 from lattica.sources import tables as tb
+from lattica.sources.scratch import shared_folder
 
 
 def _any(column: str, signs: list[str]) -> str:
@@ -154,6 +155,34 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.explode(F.array_distinct(tx.words(F.col(text_col)))).alias("token")).select("token", id_col)
 
 
+TERMS = r"""d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents),
+q AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS t FROM benchmark)"""
+
+
+def full_text_index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    return fulltext.Index.build(tb.table(spark, sf_dir, "documents"), shared_folder(spark, "full-text"), "doc_id", "text")
+
+
+@query(rf"""WITH {TERMS}, c AS (SELECT item_id, doc_id, t, w FROM q, d WHERE len(t) > 0 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(t, ' ') || ' ')),
+p AS (SELECT item_id, doc_id, list_filter(range(1, len(w) - len(t) + 2), lambda p: w[p:p + len(t) - 1] = t) AS ps FROM c)
+SELECT item_id, doc_id, len(ps)::BIGINT AS n, ps[1]::BIGINT - 1 AS first FROM p""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole benchmark item, by the positions in a full-text index."""
+    found = full_text_index(spark, sf_dir).phrases(tb.table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.withColumnsRenamed({"query": "item_id", "id": "doc_id"})
+
+
+@query(rf"""WITH {TERMS}, n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d), a AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM q) GROUP BY ALL),
+p AS (SELECT doc_id, len, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS score FROM a JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 10""")
+def full_text_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that fit each benchmark item best."""
+    found = full_text_index(spark, sf_dir).ranked(tb.table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), r6("score"))
+
+
 IDS = "('2310.08560'), ('hep-th/9901001'), ('math-ph1'), ('abc'), ('cs/0112017.v1'), ('0704.0001'), ('astro-ph/9203001')"
 
 
