@@ -30,8 +30,9 @@ class Index:
     """An index in a folder: ``postings`` (term, id, n_terms, places; parted by bucket) and ``lengths`` (id, n_terms)."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.postings = spark.read.parquet(f"{path}/postings")
         self.lengths = spark.read.parquet(f"{path}/lengths")
+        kind = self.lengths.schema["id"].dataType.simpleString()
+        self.postings = spark.read.schema(f"id {kind}, n_terms long, term string, places array<int>, bucket int").parquet(f"{path}/postings")
         row = self.lengths.agg(F.count(F.lit(1)), F.sum("n_terms"), F.max("buckets")).first()
         self.n, self.mean, self.buckets = row[0], (row[1] or 0) / max(1, row[0]), row[2] or BUCKETS
 

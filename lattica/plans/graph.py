@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lattica.functions import scores as sc
 from lattica.functions import text as tx
-from lattica.functions.vector import cosine, norm
+from lattica.functions.vector import cosine, dot, norm, unit
 from lattica.operators import graph as g
-from lattica.operators import ordered
+from lattica.operators import ordered, walks
 from lattica.operators import pairs as pr
 from lattica.plans.registry import BOTH, EDGE_THRESHOLD, EDGES, PAPERS, query
 from lattica.sources import tables as tb
+from lattica.sources.scratch import settle
 
 CHUNK_PAIRS = """cv AS (SELECT vec_id AS id, vec_id // 5 AS paper, (vec_id % 5)::INTEGER AS chunk_index, embedding::DOUBLE[] AS v FROM embeddings),
 cp AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS sim, a.paper AS from_paper, b.paper AS to_paper FROM cv a JOIN cv b ON a.id < b.id WHERE a.paper <> b.paper AND list_cosine_similarity(a.v, b.v) >= 0.2),
@@ -235,6 +236,27 @@ def context_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("paper_id", "year", "earlier", r6("context"))
 
 
+@query(f"""WITH RECURSIVE {BOTH}, n AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, count(*) OVER (PARTITION BY src) AS size FROM (SELECT DISTINCT src, dst FROM both_ways)),
+w AS (SELECT DISTINCT src AS start, walk, 0 AS step, src AS node FROM n, (SELECT unnest([0, 1, 2]) AS walk)
+  UNION ALL SELECT start, walk, step + 1, dst FROM w JOIN n ON src = node AND pos = ('0x' || md5('42:' || start || ':' || walk || ':' || (step + 1))[1:8])::BIGINT % size WHERE step < 6)
+SELECT start, walk::INTEGER AS walk, step::INTEGER AS step, node FROM w""")
+def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three walks of six steps from each paper that has an edge."""
+    return walks.random_walks(edges(spark, sf_dir), 3, 6)
+
+
+@query()
+def node_vector_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well vectors of nodes tell edges from pairs without one: mean cosine of both, for all papers with an edge."""
+    e = settle(edges(spark, sf_dir), "edges")
+    v = settle(walks.node_vectors(e).withColumn("u", unit(F.col("v"))), "node-vectors")
+    x, y = v.select(F.col("id").alias("src"), F.col("u").alias("a")), v.select(F.col("id").alias("dst"), F.col("u").alias("b"))
+    linked = e.join(x, "src").join(y, "dst").agg(F.round(F.avg(dot(F.col("a"), F.col("b"))), 3).alias("linked"), F.count(F.lit(1)).alias("edges"))
+    # The mean over all pairs is the squared length of the mean vector.
+    mean = v.select(F.posexplode("u").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("x")).agg(F.round(F.sum(F.col("x") * F.col("x")), 3).alias("any"))
+    return linked.crossJoin(mean)
+
+
 @query(f"""WITH RECURSIVE {BOTH}, f AS (SELECT 0::BIGINT AS paper_id, 0 AS distance UNION SELECT dst, distance + 1 FROM f JOIN both_ways ON src = paper_id WHERE distance < 4)
 SELECT paper_id, min(distance)::INTEGER AS distance, round(1 / (1 + min(distance)::DOUBLE), 6) AS where_score FROM f GROUP BY 1""")
 def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
