@@ -99,6 +99,25 @@ def co_citations(citations: DataFrame, block: int = 1024) -> DataFrame:
     return left.join(right, ["src", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
 
 
+def propagation(chunk_pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """src, dst, propagation: the share of a paper's chunks that are like a chunk of the other, in both directions.
+
+    Chunk pairs are (src, dst, from_paper, to_paper), chunks (id, paper). A chunk counts once, however many it is like.
+    """
+    one = chunk_pairs.select(F.col("src").alias("chunk"), F.col("from_paper").alias("src"), F.col("to_paper").alias("dst"))
+    other = chunk_pairs.select(F.col("dst").alias("chunk"), F.col("to_paper").alias("src"), F.col("from_paper").alias("dst"))
+    matched = one.unionByName(other).distinct().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    sizes = chunks.groupBy(F.col("paper").alias("src")).agg(F.count(F.lit(1)).alias("n"))
+    return matched.join(sizes, "src").select("src", "dst", (F.col("k") / F.col("n")).alias("propagation"))
+
+
+def citation_strength(citations: DataFrame) -> DataFrame:
+    """src < dst, citation: 1 where one of two papers cites the other, else n / (n + 1) where n papers cite both."""
+    direct = citations.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("citation", F.lit(1.0))
+    both = co_citations(citations).select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("together") / (F.col("together") + 1.0)).alias("citation"))
+    return direct.unionByName(both).groupBy("src", "dst").agg(F.max("citation").alias("citation"))
+
+
 def bridges(edges: DataFrame, theory: Column, practice: Column, papers: DataFrame) -> DataFrame:
     """Edges with theory at one end and practice at the other; the conditions are on columns of ``papers``."""
     flags = papers.select("paper_id", theory.alias("theory"), practice.alias("practice"))

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lattica.operators.ordered import ranked, running_sum, with_previous
 from lattica.sources.scratch import settle
@@ -94,12 +95,13 @@ def moments(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r, t, n for each pair of columns; one pass."""
+    """a, b, r, t, n and the two-sided probability p for each pair of columns; one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
     rows = F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("r")) for a, b in pairs]))
     r = F.col("r")
-    return one.select("n", rows).withColumn("t", F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))))
+    told = one.select("n", rows).withColumn("t", F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))))
+    return told.withColumn("p", _student("t", F.col("n") - 2))
 
 
 def beta_share(x: float, a: float, b: float) -> float:
@@ -152,14 +154,24 @@ def chi_square_p(x: float, df: int) -> float:
     return front * out
 
 
+@F.pandas_udf(DoubleType())
+def _student(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or n < 1 else two_sided_p(x, n) for x, n in zip(t, df, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _chi_square(x: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) or n < 1 else chi_square_p(v, n) for v, n in zip(x, df, strict=True)], dtype="float64")
+
+
 def chi_square(df: DataFrame, group: str, flag: str) -> DataFrame:
-    """statistic, df, n of independence of group and flag; null where a count is expected to be 0."""
+    """statistic, df, n and probability p of independence of group and flag; null where a count is expected to be 0."""
     by = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("k"))
     total = df.agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(flag)).alias("tk"))
     x = by.crossJoin(F.broadcast(total))
     e1, e0 = F.col("n") * F.col("tk") / F.col("t"), F.col("n") * (F.col("t") - F.col("tk")) / F.col("t")
     part = F.when((e1 > 0) & (e0 > 0), (F.col("k") - e1) ** 2 / e1 + (F.col("n") - F.col("k") - e0) ** 2 / e0)
-    return x.agg(F.when(F.count(part) == F.count(F.lit(1)), F.sum(part)).alias("statistic"), (F.count(F.lit(1)) - 1).alias("df"), F.sum("n").alias("n"))
+    return x.agg(F.when(F.count(part) == F.count(F.lit(1)), F.sum(part)).alias("statistic"), (F.count(F.lit(1)) - 1).alias("df"), F.sum("n").alias("n")).withColumn("p", _chi_square("statistic", F.col("df")))
 
 
 def auc(df: DataFrame, score: str, flag: str) -> DataFrame:

@@ -217,7 +217,11 @@ def co_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src cites dst: similar papers, the later cites the earlier."""
-    e = g.enrich(edges(spark, sf_dir), tb.papers(spark, sf_dir), ["year"]).where("src_year <> dst_year")
+    return _cited(g.enrich(edges(spark, sf_dir), tb.papers(spark, sf_dir), ["year"]))
+
+
+def _cited(dated: DataFrame) -> DataFrame:
+    e = dated.where("src_year <> dst_year")
     later = F.col("src_year") > F.col("dst_year")
     return e.select(F.when(later, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(later, F.col("dst")).otherwise(F.col("src")).alias("dst"))
 
@@ -264,11 +268,24 @@ def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("paper_id", "distance", r6(sc.where_score(F.col("distance")), "where_score"))
 
 
-@query(f"""WITH {EDGES} SELECT src, dst, round(CASE WHEN a.year > b.year THEN 0.0::DOUBLE ELSE 0.4 * sim + 0.3 * (1 - abs(b.year - a.year) / 9.0::DOUBLE) + 0.3 * (a.primary_category = b.primary_category)::INTEGER END, 6) AS frame,
-CASE WHEN a.year > b.year THEN 0.0::DOUBLE ELSE round(0.8 * pow(sim, 1.5), 6) END AS gated FROM edges JOIN papers a ON a.paper_id = src JOIN papers b ON b.paper_id = dst""")
+@query(f"""WITH {EDGES}, cv AS (SELECT vec_id AS id, vec_id // 5 AS paper, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT paper, count(*) AS n FROM cv GROUP BY 1),
+m AS (SELECT DISTINCT a.id AS chunk, a.paper AS src, b.paper AS dst FROM cv a JOIN cv b ON a.paper <> b.paper AND list_cosine_similarity(a.v, b.v) >= 0.2), sh AS (SELECT src, dst, count(*) AS k FROM m GROUP BY 1, 2),
+ci AS (SELECT CASE WHEN a.year > b.year THEN src ELSE dst END AS citing, CASE WHEN a.year > b.year THEN dst ELSE src END AS cited FROM edges JOIN papers a ON a.paper_id = src JOIN papers b ON b.paper_id = dst WHERE a.year <> b.year),
+co AS (SELECT x.cited AS a, y.cited AS b, count(*) AS together FROM ci x JOIN ci y ON x.citing = y.citing AND x.cited < y.cited GROUP BY 1, 2),
+t AS (SELECT e.src, e.dst, e.sim, a.year AS ya, b.year AS yb, coalesce(sh.k / n.n::DOUBLE, 0) AS propagation, CASE WHEN ci.citing IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(together / (together + 1.0::DOUBLE), 0) END AS citation
+  FROM edges e JOIN papers a ON a.paper_id = e.src JOIN papers b ON b.paper_id = e.dst LEFT JOIN n ON n.paper = e.src LEFT JOIN sh ON sh.src = e.src AND sh.dst = e.dst
+  LEFT JOIN ci ON least(ci.citing, ci.cited) = e.src AND greatest(ci.citing, ci.cited) = e.dst LEFT JOIN co ON co.a = e.src AND co.b = e.dst)
+SELECT src, dst, round(propagation, 6) AS propagation, round(citation, 6) AS citation, round(CASE WHEN ya > yb THEN 0.0::DOUBLE ELSE 0.4 * sim + 0.2 * (1 - abs(yb - ya) / 9.0::DOUBLE) + 0.2 * propagation + 0.2 * citation END, 6) AS frame,
+CASE WHEN ya > yb THEN 0.0::DOUBLE ELSE round(0.8 * pow(sim, 1.5), 6) END AS gated FROM t""")
 def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = g.enrich(edges(spark, sf_dir), tb.papers(spark, sf_dir), ["year", "primary_category"])
+    """How strongly the later paper of an edge continues the earlier: similarity, time, the share of chunks that reach it, and citations."""
+    e = settle(edges(spark, sf_dir), "edges")
+    papers = tb.papers(spark, sf_dir).select("paper_id", "year")
+    dated = settle(g.enrich(e, papers, ["year"]), "dated")
+    cited = settle(_cited(dated), "citations")
+    chunks = tb.chunk_vectors(spark, sf_dir)
+    reach = g.propagation(pr.cross_paper_pairs(chunks, 0.2), chunks)
+    full = dated.join(reach, ["src", "dst"], "left").join(g.citation_strength(cited), ["src", "dst"], "left").na.fill(0.0, ["propagation", "citation"])
     a, b = F.col("src_year"), F.col("dst_year")
-    same = (F.col("src_primary_category") == F.col("dst_primary_category")).cast("double")
-    frame = sc.frame(a, b, {"semantic": (0.4, F.col("sim")), "temporal": (0.3, sc.when_score(b - a, F.lit(9.0))), "category": (0.3, same)})
-    return e.select("src", "dst", r6(frame, "frame"), r6(sc.observed((a <= b).cast("int"), F.lit(0.8), sc.amplify(F.col("sim"))), "gated"))
+    frame = sc.frame(a, b, {"semantic": (0.4, F.col("sim")), "temporal": (0.2, sc.when_score(b - a, F.lit(9.0))), "propagation": (0.2, F.col("propagation")), "citation": (0.2, F.col("citation"))})
+    return full.select("src", "dst", r6("propagation"), r6("citation"), r6(frame, "frame"), r6(sc.observed((a <= b).cast("int"), F.lit(0.8), sc.amplify(F.col("sim"))), "gated"))

@@ -262,6 +262,26 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merge_counts(*_old_and_new(spark, sf_dir), "doc_id")
 
 
+REPEATED = "(SELECT l_orderkey AS k, l_linenumber AS line, l_quantity AS q FROM lineitem)"
+
+
+@query(f"WITH o AS (SELECT o_orderkey AS k, 0 AS line, -1.0::DOUBLE AS q FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT * FROM {REPEATED} QUALIFY row_number() OVER (PARTITION BY k ORDER BY line DESC, q DESC) = 1) SELECT k, line::INTEGER AS line, q::DOUBLE AS q FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)")
+def merge_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders replaced by their lines, whose keys repeat: the last line stays."""
+    return store.merge(*_orders_and_lines(spark, sf_dir), "k", "replace", order=["line", "q"])
+
+
+@query(f"WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT k, count(*) AS n, k IN (SELECT k FROM o) AS old FROM {REPEATED} GROUP BY k) SELECT count(*) FILTER (NOT old) AS inserted, sum(CASE WHEN old THEN n ELSE n - 1 END)::BIGINT AS duplicates, 0::BIGINT AS errors, sum(n)::BIGINT AS total FROM n")
+def merge_repeated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.merge_counts(*_orders_and_lines(spark, sf_dir), "k")
+
+
+def _orders_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = tb.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("line"), F.lit(-1.0).alias("q"))
+    new = tb.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_quantity").cast("double").alias("q"))
+    return old, new
+
+
 @query("SELECT event_id, event_type, value FROM events WHERE NOT coalesce(event_type = 'error' OR value > 50, false)")
 def delete_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delete(tb.table(spark, sf_dir, "events").select("event_id", "event_type", "value"), (F.col("event_type") == "error") | (F.col("value") > 50))

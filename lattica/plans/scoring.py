@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +52,19 @@ def zero_dimension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.dimensional_scores(spark, sf_dir).agg(F.count_if(F.least("w", "h", "c", "t") == 0).alias("with_zero"), F.count_if(F.col("c") == 0).alias("c_zero"), F.count_if(F.col("t") == 0).alias("t_zero"), F.count(F.lit(1)).alias("n"))
 
 
+def _simpson(to: str, f: str, steps: int = 2000) -> str:
+    """SQL of the integral of ``f``, in x, from 0 to ``to``."""
+    at = f"({to}) * i / {steps}.0::DOUBLE"
+    value = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {re.sub(r'(?<![a-z_])x(?![a-z_])', at, f)}))"
+    return f"(({to}) / {3 * steps}.0::DOUBLE * {value})"
+
+
 @query(f"""WITH {SCORES}, r AS (SELECT count(*) AS n, corr(w, h) AS wh, corr(w, c) AS wc, corr(w, t) AS wt, corr(h, c) AS hc, corr(h, t) AS ht, corr(c, t) AS ct FROM scores),
 u AS (SELECT n, unnest(['w','w','w','h','h','c']) AS a, unnest(['h','c','t','c','t','t']) AS b, unnest([wh, wc, wt, hc, ht, ct]) AS r FROM r)
-SELECT a, b, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM u""")
+SELECT a, b, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t, round(1 - 2 * exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt(pi()) * {_simpson("asin(abs(r))", "pow(cos(x), n - 3)")}, 6) AS p FROM u""")
 def dimension_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.correlations(tb.dimensional_scores(spark, sf_dir), ["w", "h", "c", "t"]).select("a", "b", "n", r6("r"), F.round("t", 4).alias("t"))
+    """The SQL takes the probability from an integral: with r the sine of an angle, Student's density is a power of its cosine."""
+    return st.correlations(tb.dimensional_scores(spark, sf_dir), ["w", "h", "c", "t"]).select("a", "b", "n", r6("r"), F.round("t", 4).alias("t"), r6("p"))
 
 
 @query(f"""WITH {SCORES}, x AS (SELECT toxic = 1 AS f, unnest(['additive', 'multiplicative']) AS model, unnest([(w + h + c) / 3, w * h * c]) AS s FROM scores JOIN labels ON doc_id = paper_id),
@@ -68,16 +78,29 @@ def model_scores_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query(f"""WITH {FLAGGED}, g AS (SELECT primary_category, count(*) AS n, count(*) FILTER (t = 0) AS k FROM fl GROUP BY 1), a AS (SELECT sum(n) AS tn, sum(k) AS tk FROM g)
-SELECT round(sum(pow(k - n * tk / tn, 2) / (n * tk / tn) + pow(n - k - n * (tn - tk) / tn, 2) / (n * (tn - tk) / tn)), 6) AS statistic, count(*) - 1 AS df, sum(n)::BIGINT AS n FROM g, a""")
+@query(f"""WITH {FLAGGED}, g AS (SELECT primary_category, count(*) AS n, count(*) FILTER (t = 0) AS k FROM fl GROUP BY 1), a AS (SELECT sum(n) AS tn, sum(k) AS tk FROM g),
+x AS (SELECT sum(pow(k - n * tk / tn, 2) / (n * tk / tn) + pow(n - k - n * (tn - tk) / tn, 2) / (n * (tn - tk) / tn)) AS s, count(*) - 1 AS df, sum(n)::BIGINT AS n FROM g, a)
+SELECT round(s, 6) AS statistic, df, n, round(1 - 2 / (pow(2, df / 2.0::DOUBLE) * gamma(df / 2.0::DOUBLE)) * {_simpson("sqrt(s)", "pow(x, df - 1) * exp(-x * x / 2)")}, 6) AS p FROM x""")
 def chi_square_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL integrates the density of the statistic's root."""
     s = _flagged(spark, sf_dir).withColumn("flag", F.col("t") == 0)
-    return st.chi_square(s, "primary_category", "flag").withColumn("statistic", F.round("statistic", 6))
+    return st.chi_square(s, "primary_category", "flag").select(r6("statistic"), "df", "n", r6("p"))
+
+
+#: What an order's lines keep of their price after the discount, and after a part of the tax too.
+ORDER_POINTS = "o AS (SELECT l_orderkey AS src, 0 AS dst, avg(1 - l_discount) AS c, avg((1 - l_discount) * (1 - l_tax / 4)) AS y FROM lineitem GROUP BY 1)"
+
+
+def _order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tb.table(spark, sf_dir, "lineitem")
+    kept = 1 - F.col("l_discount")
+    return li.groupBy(F.col("l_orderkey").alias("src"), F.lit(0).alias("dst")).agg(F.avg(kept).alias("c"), F.avg(kept * (1 - F.col("l_tax") / 4)).alias("y"))
 
 
-@query(f"WITH {EDGES}, r AS (SELECT ln(pow(sim, 1.5)) / ln(sim) AS r FROM edges WHERE sim > 0.1 AND sim <> 1) SELECT count(*) AS n, round(avg(r), 6) AS alpha, round(stddev_pop(r), 6) AS sd FROM r WHERE r > 0.5 AND r < 2")
+@query(f"WITH {ORDER_POINTS}, r AS (SELECT ln(y) / ln(c) AS r FROM o WHERE c > 0.1 AND y > 0 AND c <> 1) SELECT count(*) AS n, round(avg(r), 6) AS alpha, round(stddev_pop(r), 6) AS sd FROM r WHERE r > 0.5 AND r < 2")
 def alpha_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.log_ratio_alpha(g.amplified(edges(spark, sf_dir)), "context_original", "context_amplified").select("n", r6("alpha"), r6("sd"))
+    """The mean power by which orders' prices after discount and tax follow those after discount alone."""
+    return st.log_ratio_alpha(_order_points(spark, sf_dir), "c", "y").select("n", r6("alpha"), r6("sd"))
 
 
 GRID = "(SELECT 1.0 + i * (1.0::DOUBLE / 99) AS alpha FROM range(0, 100) x(i))"
@@ -116,12 +139,13 @@ def alpha_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("grp", "n", F.round("alpha", 4).alias("alpha"), r6("mse"), F.round("r2", 4).alias("r2"))
 
 
-@query(f"""WITH {EDGES}, r AS (SELECT src, dst, ln(pow(sim, 1.5)) / ln(sim) AS r FROM edges WHERE sim > 0.1 AND sim <> 1),
-u AS (SELECT i, r, ('0x' || substr(md5('42:' || src || ':' || dst || ':' || i), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE AS u FROM r, range(1, 201) t(i)),
+@query(f"""WITH {ORDER_POINTS}, r AS (SELECT src, dst, ln(y) / ln(c) AS r FROM o WHERE c > 0.1 AND y > 0 AND c <> 1),
+u AS (SELECT i, r, ('0x' || substr(md5('42:' || src || ':' || dst || ':' || i), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE AS u FROM r, range(1, 101) t(i)),
 w AS (SELECT i, r, len(list_filter({st.POISSON_CUTS}::DOUBLE[], lambda c: u > c)) AS w FROM u), m AS (SELECT sum(w * r) / sum(w) AS m FROM w GROUP BY i)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS alpha, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def alpha_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = st.bootstrap_alpha(g.amplified(edges(spark, sf_dir)), "context_original", "context_amplified")
+    """How far that mean power spreads over resampled orders."""
+    b = st.bootstrap_alpha(_order_points(spark, sf_dir), "c", "y", rounds=100)
     return b.select(r6("low"), r6("alpha"), r6("high"))
 
 

@@ -10,6 +10,7 @@ from lattica.functions import text as tx
 from lattica.operators import graph as g
 from lattica.operators import stats as st
 from lattica.plans.graph import edges, r6
+from lattica.plans.textual import DBSCAN, dbscan_clusters
 from lattica.plans.registry import EDGES, SCORES, query
 from lattica.sources import tables as tb
 from lattica.sources.scratch import shared_folder
@@ -74,12 +75,12 @@ def semantic_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("n", "ps", F.explode("ps").alias("a")).select("n", "a", F.explode("ps").alias("b")).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-@query(f"""WITH {FOUND_SQL}, x AS (SELECT abs(doc_id) % 3 AS cluster, unnest(ps) AS p FROM fo), k AS (SELECT cluster, p, count(*) AS n FROM x GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {DBSCAN}, {FOUND_SQL}, x AS (SELECT coalesce(cluster, -1) AS cluster, unnest(ps) AS p FROM fo LEFT JOIN db ON db.id = doc_id), k AS (SELECT cluster, p, count(*) AS n FROM x GROUP BY 1, 2),
 t AS (SELECT cluster, sum(n) AS t FROM k GROUP BY 1 ORDER BY t DESC, cluster LIMIT 10), names AS (SELECT unnest([{", ".join(quoted(n) for n in tx.PRIMITIVES)}]) AS p)
 SELECT t.cluster, names.p AS primitive, round(coalesce(n, 0) / (t + 1e-10), 6) AS share FROM t CROSS JOIN names LEFT JOIN k ON k.cluster = t.cluster AND k.p = names.p""")
 def semantic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of primitives in the ten clusters with most of them."""
-    f = found(spark, sf_dir).withColumn("cluster", F.abs("doc_id") % 3)
+    """Shares of primitives in the ten clusters, by density of their vectors, with most of them; -1 are texts in none."""
+    f = found(spark, sf_dir).join(dbscan_clusters(spark, sf_dir).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     by = f.groupBy("cluster").agg(*[F.count_if(F.array_contains("ps", n)).alias(n) for n in tx.PRIMITIVES]).withColumn("t", sum((F.col(n) for n in tx.PRIMITIVES), F.lit(0)))
     top = by.where("t > 0").orderBy(F.desc("t"), "cluster").limit(10)
     return top.select("cluster", "t", F.inline(F.array(*[F.struct(F.lit(n).alias("primitive"), F.col(n).alias("n")) for n in tx.PRIMITIVES]))).select("cluster", "primitive", F.round(F.col("n") / (F.col("t") + 1e-10), 6).alias("share"))

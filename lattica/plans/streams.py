@@ -18,7 +18,7 @@ def run_to_end(df: DataFrame, name: str, keys: list[str] | None = None) -> DataF
     Without, each batch brings all rows: windows of sessions have no such mode. A batch that runs again writes the same.
     """
     out = shared_folder(df.sparkSession, name)
-    last = 0
+    last = -1
 
     def keep(batch: DataFrame, n: int) -> None:
         nonlocal last
@@ -27,12 +27,16 @@ def run_to_end(df: DataFrame, name: str, keys: list[str] | None = None) -> DataF
         last = n
 
     df.writeStream.outputMode("update" if keys else "complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{out}/rows-{last}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{out}/rows-{last}") if last >= 0 else df.sparkSession.createDataFrame([], df.schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return ingest.read_stream(spark, sf_dir, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    """The table as a stream, be it one file or a folder of files."""
+    table = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(table).schema
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return (ingest.read_stream(spark, table, schema) if folder else ingest.read_stream(spark, sf_dir, schema, "events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -13,7 +13,7 @@ from lattica.operators import chunking, cluster, encode, fulltext, pairs
 from lattica.plans.graph import r6
 from lattica.plans.registry import CHUNKS, PAPERS, query
 from lattica.sources import tables as tb
-from lattica.sources.scratch import shared_folder
+from lattica.sources.scratch import settle, shared_folder
 
 
 def _any(column: str, signs: list[str]) -> str:
@@ -116,12 +116,24 @@ def primitive_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("n", "ps", F.explode("ps").alias("a")).select("n", "a", F.explode("ps").alias("b")).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-@query(f"""WITH {FOUND}, x AS (SELECT paper_id % 7 AS cluster, unnest(ps) AS p FROM fo), k AS (SELECT cluster, p, count(*) AS n FROM x GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT cluster FROM k), (SELECT DISTINCT p FROM k)),
+#: Clusters of vectors by density; -1 are those in none.
+DBSCAN = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), near AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {1 - 0.65!r}),
+w AS (SELECT src, dst, sim FROM near UNION ALL SELECT dst, src, sim FROM near), cores AS (SELECT src AS id FROM w GROUP BY 1 HAVING count(*) + 1 >= 5),
+reach AS (SELECT id, id AS root FROM cores UNION SELECT w.dst, root FROM reach JOIN w ON w.src = reach.id JOIN cores ON cores.id = w.dst), own AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1),
+border AS (SELECT src AS id, cluster FROM w JOIN own ON own.id = w.dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) = 1),
+db AS (SELECT v.id, coalesce(own.cluster, border.cluster, -1)::BIGINT AS cluster FROM v LEFT JOIN own USING (id) LEFT JOIN border USING (id))"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(dbscan_clusters(spark, sf_dir), "clusters")
+
+
+@query(f"""WITH RECURSIVE {DBSCAN}, {FOUND}, x AS (SELECT coalesce(cluster, -1) AS cluster, unnest(ps) AS p FROM fo LEFT JOIN db ON db.id = paper_id), k AS (SELECT cluster, p, count(*) AS n FROM x GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT cluster FROM k), (SELECT DISTINCT p FROM k)),
 t AS (SELECT cluster, sum(n) AS t FROM k GROUP BY 1 ORDER BY t DESC, cluster LIMIT 5)
 SELECT g.cluster, g.p AS primitive, round(coalesce(n, 0) / (t + 1e-10), 6) AS share FROM t JOIN g USING (cluster) LEFT JOIN k ON k.cluster = g.cluster AND k.p = g.p""")
 def cluster_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of primitives in the clusters with most of them."""
-    f = _found(spark, sf_dir).withColumn("cluster", F.col("paper_id") % 7)
+    """Shares of primitives in the clusters, by density of their papers' vectors, with most of them; -1 are papers in none."""
+    f = _found(spark, sf_dir).join(_clusters(spark, sf_dir).withColumnRenamed("id", "paper_id"), "paper_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     by = f.groupBy("cluster").agg(*[F.count_if(F.array_contains("ps", n)).alias(n) for n in SOUNDS]).withColumn("t", sum((F.col(n) for n in SOUNDS), F.lit(0)))
     top = by.orderBy(F.desc("t"), "cluster").limit(5)
     return top.select("cluster", "t", F.inline(F.array(*[F.struct(F.lit(n).alias("primitive"), F.col(n).alias("n")) for n in SOUNDS]))).select("cluster", "primitive", F.round(F.col("n") / (F.col("t") + 1e-10), 6).alias("share"))
@@ -278,11 +290,7 @@ def encoded_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.similar_pairs(v, 0.3).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), near AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {1 - 0.65!r}),
-w AS (SELECT src, dst, sim FROM near UNION ALL SELECT dst, src, sim FROM near), cores AS (SELECT src AS id FROM w GROUP BY 1 HAVING count(*) + 1 >= 5),
-reach AS (SELECT id, id AS root FROM cores UNION SELECT w.dst, root FROM reach JOIN w ON w.src = reach.id JOIN cores ON cores.id = w.dst), own AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1),
-border AS (SELECT src AS id, cluster FROM w JOIN own ON own.id = w.dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) = 1)
-SELECT v.id, coalesce(own.cluster, border.cluster, -1)::BIGINT AS cluster FROM v LEFT JOIN own USING (id) LEFT JOIN border USING (id)""")
+@query(f"""WITH RECURSIVE {DBSCAN} SELECT id, cluster FROM db""")
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(tb.vectors(spark, sf_dir), 0.65, 5)
 

@@ -6,29 +6,49 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def merge(old: DataFrame, new: DataFrame, key: str | list[str], on_duplicate: str = "replace") -> DataFrame:
-    """``old`` with ``new`` put in. Of rows of a key that both have, ``ignore`` keeps the old, ``replace`` the new, ``update`` the new one's values where they are not null."""
+def once(rows: DataFrame, keys: list[str], order: list[str] | None = None, last: bool = False) -> DataFrame:
+    """One row of each key: the first (or last) in the order of the given columns, then of all columns. Rows without a key stay.
+
+    Spark limits the rows of a key before it exchanges them, so a key with very many is no hot one.
+    """
+    by = [F.col(c) for c in (order or [])] + [F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))]
+    w = Window.partitionBy(*keys).orderBy(*[c.desc() if last else c.asc() for c in by])
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    kept = rows.where(whole).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    return kept.unionByName(rows.where(~whole))
+
+
+def merge(old: DataFrame, new: DataFrame, key: str | list[str], on_duplicate: str = "replace", order: list[str] | None = None) -> DataFrame:
+    """``old`` with ``new`` put in. Of rows of a key that both have, ``ignore`` keeps the old, ``replace`` the new, ``update`` the new one's values where they are not null.
+
+    Where a key repeats in ``new``, rows come in the order of the given columns, then of all: ``ignore`` takes the first,
+    the other modes the last, so that each key that was there once is there once.
+    """
     keys = [key] if isinstance(key, str) else key
+    if on_duplicate not in ("ignore", "replace", "update"):
+        raise ValueError(f"unknown mode {on_duplicate!r}")
+    new = once(new, keys, order, last=on_duplicate != "ignore")
     if on_duplicate == "ignore":
         return old.unionByName(new.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
     if on_duplicate == "replace":
         return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
-    if on_duplicate == "update":
-        a, b = old.alias("a"), new.alias("b")
-        cols = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) if c in new.columns else F.col(f"a.{c}") for c in old.columns]
-        same = reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-        return a.join(b, same, "full").select(*cols)
-    raise ValueError(f"unknown mode {on_duplicate!r}")
+    a, b = old.alias("a"), new.alias("b")
+    cols = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) if c in new.columns else F.col(f"a.{c}") for c in old.columns]
+    same = reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    return a.join(b, same, "full").select(*cols)
 
 
 def merge_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """inserted, duplicates, errors (rows without a key), total: one row."""
-    seen = new.join(old.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left")
-    return seen.agg(F.count_if(F.col(key).isNotNull() & F.col("_k").isNull()).alias("inserted"), F.count_if(F.col("_k").isNotNull()).alias("duplicates"), F.count_if(F.col(key).isNull()).alias("errors"), F.count(F.lit(1)).alias("total"))
+    """inserted, duplicates, errors (rows without a key), total: one row. Of rows that repeat a new key, the first is inserted and the others are duplicates."""
+    keys = new.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = keys.join(old.select(F.col(key).alias("_k")).distinct(), F.col("_key") == F.col("_k"), "left")
+    fresh = F.col("_key").isNotNull() & F.col("_k").isNull()
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return seen.agg(F.count_if(fresh).alias("inserted"), count(F.when(F.col("_k").isNotNull(), F.col("_n")).when(fresh, F.col("_n") - 1)).alias("duplicates"), count(F.when(F.col("_key").isNull(), F.col("_n"))).alias("errors"), count("_n").alias("total"))
 
 
 def delete(df: DataFrame, condition: Column) -> DataFrame:
