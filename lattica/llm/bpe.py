@@ -25,7 +25,7 @@ from lattica.llm.common import arrow_map
 
 #: Words in each of the two generations of a worker's table of recent words. A full young generation becomes the old
 #: one; a word found there is young again, so frequent words stay. Speed only.
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 
 def byte_alphabet() -> list[str]:

@@ -29,7 +29,7 @@ COST = 1.5
 POSITIVE, NEGATIVE = 4, 9000
 THRESHOLD = 0.7
 #: Bytes of text, about, that are scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Windows of a text that are scored at once; the grid of windows is that of the whole text.
 GRID = 4096
 
@@ -65,7 +65,7 @@ class Model:
 
     def window_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and logit of each window."""
-        done = [self._logits(words.part(a, b), a, int(words.bound[a])) for a, b in words.parts(1 << 16)]
+        done = [self._logits(words.part(a, b), a, int(words.bound[a])) for a, b in words.parts(1 << 15)]
         return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
     def _logits(self, words: Words, text_base: int, word_base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
