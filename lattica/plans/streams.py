@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.plans.registry import query
 from lattica.sources.scratch import shared_folder
 from lattica.sources.store import merge
-from lattica.streaming import ingest
+from lattica.streaming import ingest, sessions
 
 
 def run_to_end(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -47,5 +47,15 @@ def stream_daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l)
 SELECT user_id, count(DISTINCT k) AS sessions, count(*) AS n FROM s GROUP BY 1""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = run_to_end(ingest.sessions(_events(spark, sf_dir), "6 hours", "1 day"), "sessions")
+    """Sessions of users by state and timers, appended as they end; a last row of no user, far ahead, ends those that are open."""
+    out = shared_folder(spark, "sessions")
+    events = _events(spark, sf_dir).select("user_id", "ts")
+    spark.createDataFrame([], events.schema).write.parquet(f"{out}/closing")
+    both = lambda: events.unionByName(ingest.read_stream(spark, f"{out}/closing", events.schema))
+    run = lambda: sessions.append(sessions.sessions(both().where("user_id IS NOT NULL AND ts IS NOT NULL"), 6 * 3600 * 1000, "1 day"), f"{out}/rows", f"{out}/state")
+    run()
+    for year in (2200, 2201):
+        spark.sql(f"SELECT CAST(-1 AS BIGINT) AS user_id, TIMESTAMP '{year}-01-01 00:00:00' AS ts").write.mode("append").parquet(f"{out}/closing")
+        run()
+    s = spark.read.schema(sessions.SESSION).parquet(f"{out}/rows").where("user_id <> -1")
     return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
