@@ -196,9 +196,18 @@ def numbered(items: Column, prefix: str) -> Column:
     return F.transform(items, lambda x, i: F.struct(F.concat(F.lit(prefix), (i + 1).cast("string")).alias("id"), x.alias("text")))
 
 
+#: All words of the primitives, the longest first. No two of them overlap but where one holds the other.
+PRIMITIVE_WORDS = r"\b(" + "|".join(sorted({w for p in PRIMITIVES.values() for w in p[3:-3].split("|")}, key=lambda w: (-len(w), w))) + r")\b"
+
+
 def primitives(text: Column, patterns: dict[str, str] = PRIMITIVES) -> Column:
-    """Names of the primitives that occur, in the order of the table."""
+    """Names of the primitives that occur, in the order of the table.
+
+    The fixed words are taken from the text in one pass; their patterns then look at these words only.
+    """
     low = F.lower(text)
+    if patterns is PRIMITIVES:
+        low = F.array_join(F.array_distinct(F.regexp_extract_all(low, F.lit(PRIMITIVE_WORDS), F.lit(1))), "|")
     return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p in patterns.items()]))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,15 +41,42 @@ def mean_pool(states: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
     return (states * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1e-9)
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 256) -> DataFrame:
-    """id, v; null texts count as empty. Batches are bounded, so a model sees no more than ``batch`` texts."""
+def steadily(encoder: Callable[[list[str]], np.ndarray], texts: list[str], tries: int = 4, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> np.ndarray:
+    """The encoder's rows of all texts, in order.
+
+    A batch that is too large for memory is halved, down to single texts. Any other error is tried again after a wait
+    that doubles each time, and raised after ``tries`` of them; so is the memory error of a single text.
+    """
+    todo, done = [texts], []
+    while todo:
+        batch = todo.pop()
+        for n in range(tries):
+            try:
+                done.append(np.asarray(encoder(batch), np.float64))
+                break
+            except MemoryError:
+                if len(batch) < 2:
+                    raise
+                half = (len(batch) + 1) // 2
+                # The first half is on top, so rows come out in order.
+                todo += [batch[half:], batch[:half]]
+                break
+            except Exception:
+                if n == tries - 1:
+                    raise
+                sleep(wait * 2**n)
+    return np.concatenate(done)
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 256, tries: int = 4, wait: float = 1.0) -> DataFrame:
+    """id, v; null texts count as empty. A model sees no more than ``batch`` texts at once, fewer where its memory does not hold them; failures that pass are waited out (``steadily``)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 piece = b.slice(at, batch)
-                m = encoder([t or "" for t in piece.column(1).to_pylist()])
+                m = steadily(encoder, [t or "" for t in piece.column(1).to_pylist()], tries, wait)
                 flat = pa.array(np.ascontiguousarray(m, np.float64).ravel())
                 offsets = pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(offsets, flat)], ["id", "v"])

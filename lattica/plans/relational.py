@@ -13,6 +13,8 @@ from lattica.plans.graph import edges, r6
 from lattica.plans.registry import CHUNKS, EDGES, PAPERS, query
 from lattica.sources import store
 from lattica.sources import tables as tb
+from lattica.sources.scratch import shared_folder
+from lattica.streaming import metrics
 
 
 @query(f"""WITH {PAPERS} SELECT primary_category, count(*) AS n, round(avg(year), 6) AS mean_year, round(avg((len(v) > 0)::INTEGER), 6) AS embedded, round(avg((length(body) > 1000)::INTEGER), 6) AS long_rate FROM papers GROUP BY 1""")
@@ -234,6 +236,15 @@ def progress_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("event_id", F.col("k").cast("long").alias("k"), F.round(F.avg(rate).over(w.rowsBetween(-99, 0)), 9).alias("moving_rate"))
 
 
+@query("""WITH m AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (event_type = 'error')::DOUBLE AS errors, sum(value)::DOUBLE AS total, count(DISTINCT user_id)::DOUBLE AS users FROM events)
+SELECT 'events' AS run, unnest(['rows', 'errors', 'total']) AS measure, round(unnest([n, errors, total]), 4) AS value FROM m""")
+def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a run, taken while its rows are written."""
+    measures = {"rows": F.count(F.lit(1)), "errors": F.count_if(F.col("event_type") == "error"), "total": F.sum("value")}
+    figures = metrics.observed_write(tb.table(spark, sf_dir, "events"), shared_folder(spark, "observed"), "events", measures)
+    return figures.withColumn("value", F.round("value", 4))
+
+
 NEW = "(SELECT doc_id + 900 AS doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang || '2' END AS lang FROM documents)"
 
 
