@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -247,6 +248,76 @@ def principal_components(vecs: DataFrame, column: str, k: int) -> tuple[np.ndarr
     return mean, (vectors * signs)[:, :k], values / max(values.sum(), 1e-300)
 
 
+def _sums(vecs: DataFrame, column: str, of: object) -> np.ndarray:
+    """The sum over all batches of a matrix that ``of`` makes of each; partitions sum their own, entries meet by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                one = of(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(total.size, total.shape[1])), pa.array(np.arange(total.size)), pa.array(total.ravel())], ["wide", "place", "x"])
+
+    got = vecs.select(column).mapInArrow(run, "wide long, place long, x double").groupBy("wide", "place").agg(F.sum("x").alias("x")).toArrow()
+    if not len(got):
+        raise ValueError("no vectors")
+    out = np.zeros(len(got))
+    out[got["place"].to_numpy()] = got["x"].to_numpy()
+    return out.reshape(-1, got["wide"][0].as_py())
+
+
+def leading_components(vecs: DataFrame, column: str, k: int, extra: int = 10, blocks: int = 6, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the k leading components (columns; the largest entry of each is positive) and their shares of variance.
+
+    A randomised range finder: from random directions on, each pass multiplies the newest block of directions by the
+    covariance, as sums of d x (k + extra) entries, and what is new of it becomes the next block; no matrix of d x d is
+    made anywhere. At the end a tall-skinny QR of the rows' coordinates in all directions, partition by partition and
+    then group by group, leaves a small triangle whose singular values are those of the rows.
+    """
+    usable = vecs.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v"))
+    first = _sums(usable, "v", lambda x: np.concatenate([[len(x), (x * x).sum()], x.sum(axis=0)])[None])[0]
+    n, d, mean = first[0], len(first) - 2, first[2:] / first[0]
+    total = first[1] - n * (mean @ mean)
+    rng = np.random.default_rng(seed)
+    basis = np.linalg.qr(rng.normal(size=(d, min(d, k + extra))))[0]
+    last = basis
+    for _ in range(blocks - 1):
+        if basis.shape[1] >= d:
+            break
+        g = _sums(usable, "v", lambda x, v=last: (x - mean).T @ ((x - mean) @ v))
+        for _ in range(2):
+            g = g - basis @ (basis.T @ g)
+        new, r = np.linalg.qr(g)
+        keep = np.abs(np.diag(r)) > 1e-10 * max(total, 1e-300)
+        last = new[:, keep][:, : d - basis.shape[1]]
+        if not last.shape[1]:
+            break
+        basis = np.hstack([basis, last])
+    m = basis.shape[1]
+
+    def triangle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, m))
+        for b in batches:
+            if b.num_rows:
+                y = (b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean) @ basis
+                r = np.linalg.qr(np.vstack([r, y]), mode="r")
+        if len(r):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, r.size + 1, m), pa.int32()), pa.array(r.ravel()))
+            yield pa.RecordBatch.from_arrays([lists], ["r"])
+
+    def joined(t: pa.Table) -> pa.Table:
+        r = np.linalg.qr(t["r"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, m), mode="r")
+        return pa.table({"r": pa.ListArray.from_arrays(pa.array(np.arange(0, r.size + 1, m), pa.int32()), pa.array(r.ravel()))})
+
+    made = usable.mapInArrow(triangle, "r array<double>").groupBy((F.spark_partition_id() % 16).alias("g")).applyInArrow(joined, "r array<double>").toArrow()
+    _, sizes, right = np.linalg.svd(np.linalg.qr(made["r"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, m), mode="r"), full_matrices=False)
+    components = (basis @ right.T)[:, :k]
+    signs = np.sign(components[np.abs(components).argmax(axis=0), range(components.shape[1])])
+    return mean, components * signs, sizes[:k] ** 2 / max(total, 1e-300)
+
+
 def dims_for_variance(shares: np.ndarray, part: float = 0.95) -> int:
     return int((np.cumsum(shares) < part).sum()) + 1
 

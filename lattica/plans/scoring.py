@@ -282,6 +282,17 @@ def variance_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(st.dims_for_variance(shares), float(round(shares[0], 6)))], "n95 int, first double")
 
 
+@query("""WITH RECURSIVE x AS (SELECT vec_id, unnest(range(0, 64)) AS d, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT a.d, list(c ORDER BY e) AS row, sum(c) FILTER (a.d = e) AS own FROM (SELECT a.d AS d, b.d AS e, covar_pop(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2) a GROUP BY a.d),
+c AS (SELECT list(row ORDER BY d) AS c, sum(own) AS total FROM m), it AS (SELECT 0 AS i, list_transform(range(0, 64), lambda k: 1.0::DOUBLE + k % 7) AS v UNION ALL
+  SELECT i + 1, list_transform(y, lambda z: z / sqrt(list_dot_product(y, y))) FROM (SELECT i, list_transform(c, lambda r: list_dot_product(r, v)) AS y FROM it, c WHERE i < 1000)),
+e AS (SELECT v, c, total FROM it, c WHERE i = 1000)
+SELECT 1 AS component, round(list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) / total, 6) AS share FROM e""")
+def leading_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of variance of the first component, found without a matrix of d x d; the SQL goes by powers of the covariance."""
+    _, _, shares = st.leading_components(tb.vectors(spark, sf_dir), "v", 1)
+    return spark.createDataFrame([(1, round(float(shares[0]), 6))], "component int, share double")
+
+
 @query()
 def landscape_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of all embeddings over their first two principal components."""
