@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import scores as sc
 from lattica.functions import text as tx
+from lattica.functions.vector import weighted_distance
 from lattica.operators import graph as g
 from lattica.operators import stats as st
 from lattica.plans.graph import edges, r6
@@ -176,6 +177,43 @@ def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.table(spark, sf_dir, "pages").select("page_id", F.inline(tx.numbered(heads, "sec"))).withColumnsRenamed({"id": "section_id", "text": "title"})
 
 
+@query(r"""WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1) AS l FROM pages)
+SELECT page_id, k::INTEGER AS block, 'unknown' AS language, length(x)::INTEGER AS n_chars FROM (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM c)""")
+def page_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of pages, taken as fenced blocks of the marked-down text."""
+    marked = F.regexp_replace("html", r"(?s)<script>(.*?)</script>", "```\n$1```")
+    blocks = tb.table(spark, sf_dir, "pages").select("page_id", F.posexplode(tx.code_blocks(marked)).alias("k", "b"))
+    return blocks.select("page_id", (F.col("k") + 1).alias("block"), "b.language", F.length("b.content").alias("n_chars"))
+
+
+LINKS = r"<a href=\"([^\"()]+)\">([^<\]]*)</a>"
+
+
+@query(f"""WITH c AS (SELECT page_id, regexp_extract_all(html, '{LINKS}', 2) AS t, regexp_extract_all(html, '{LINKS}', 1) AS p FROM pages)
+SELECT page_id, 'fig' || k AS figure_id, CASE WHEN x = '' THEN 'Figure ' || k ELSE x END AS caption, y AS path FROM (SELECT page_id, unnest(t) AS x, unnest(p) AS y, generate_subscripts(t, 1) AS k FROM c)""")
+def page_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered figures with captions and paths; the given pages have no images, so their links stand for them."""
+    marked = F.regexp_replace(F.regexp_replace("html", r"!\[", "! ["), LINKS, r"![$2]($1)")
+    return tb.table(spark, sf_dir, "pages").select("page_id", F.inline(tx.figures(marked)))
+
+
+@query(f"""WITH c AS (SELECT page_id, regexp_extract_all(html, '{LINKS}', 1) AS r, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS l FROM pages),
+u AS (SELECT page_id, unnest(r) AS text, 'ref' || generate_subscripts(r, 1) AS id FROM c UNION ALL SELECT page_id, unnest(l), 'item' || generate_subscripts(l, 1) FROM c) SELECT page_id, id, text FROM u""")
+def numbered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and list entries of pages, each kind numbered anew from 1."""
+    kinds = {"ref": (LINKS, 1), "item": ("(?s)<li>(.*?)</li>", 1)}
+    lists = [tx.numbered(F.regexp_extract_all("html", F.lit(p), F.lit(g)), name) for name, (p, g) in kinds.items()]
+    return tb.table(spark, sf_dir, "pages").select("page_id", F.inline(F.concat(*lists)))
+
+
+@query(f"""WITH {EDGES} SELECT src, dst, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i <= 8 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END * pow(a.v[i] - b.v[i], 2)))), 6) AS distance FROM edges JOIN papers a ON a.paper_id = src JOIN papers b ON b.paper_id = dst""")
+def weighted_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of similar papers in which the first dimensions weigh more."""
+    e = g.enrich(edges(spark, sf_dir), tb.papers(spark, sf_dir), ["embedding"])
+    weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i <= 8, 2.0).otherwise(0.5))
+    return e.select("src", "dst", r6(weighted_distance(F.col("src_embedding"), F.col("dst_embedding"), weights), "distance"))
+
+
 @query(f"WITH {EDGES} SELECT src, dst, round(sim, 6) AS sim, round(pow(sim, 1.5), 6) AS context FROM edges WHERE sim > 0.35")
 def insert_select_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges are stored, a selection of them is inserted into a second table with a computed column, and that is read back."""
