@@ -155,8 +155,8 @@ def sorted_repeats(strings: DataFrame, size: int) -> DataFrame:
     return strings.mapInArrow(run, "h long, c long, lo int, runs array<int>")
 
 
-def split(pieces: DataFrame, width: int, size: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """The pieces cut by classes of ``width`` places of the anchor in a window, each in a group by the bytes its windows share, equal ones once; and h, c, lo, runs of pieces that are equal.
+def split(pieces: DataFrame, width: int, size: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pieces cut by classes of ``width`` places of the anchor in a window, each in a group by the bytes its windows share, equal ones once; h, c, lo, runs of pieces that are equal; and the table that both read.
 
     A window's place is the number of bytes before its anchor. Windows of places p to p + width - 1 all hold the p bytes
     before the anchor and the size - p - width + 1 bytes from it on.
@@ -171,28 +171,31 @@ def split(pieces: DataFrame, width: int, size: int, k: int) -> tuple[DataFrame,
     alike = x.groupBy("g", "same").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("first"))
     told = materialize(by_run(dealt(x, "c"), alike, ["g", "same"]).drop("run", "same"), "pieces")
     equal = told.where("m > 1").select("h", "c", "lo", F.array(F.lit(0), F.col("n")).alias("runs"))
-    return told.where("c = first").select("g", "h", "c", "lo", "off", "n", "string"), equal
+    return told.where("c = first").select("g", "h", "c", "lo", "off", "n", "string"), equal, told
 
 
-def repeats(strings: DataFrame, size: int, k: int, meet: int) -> DataFrame:
-    """h, c, runs: of strings (h, c, off, n, string) the runs of windows that another string of the same h has too; large groups are split until at most ``meet`` strings are sorted together."""
+def repeats(strings: DataFrame, size: int, k: int, meet: int) -> tuple[DataFrame, list[DataFrame]]:
+    """h, c, runs, and the tables that this still reads, to be dropped after it: of strings (h, c, off, n, string) the runs of windows that another string of the same h has too; large groups are split until at most ``meet`` strings are sorted together."""
     pieces, width = strings.select(F.col("h").alias("g"), "h", "c", F.lit(0).alias("lo"), "off", "n", "string"), size - k + 1
-    small, equal = None, None
+    small, equal, made = None, None, []
     while width > 1:
         large = materialize(pieces.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > meet).select("g", F.lit(True).alias("large")), "large")
         if large.isEmpty():
             break
         told = materialize(by_run(dealt(pieces, "c"), large, ["g"], "left").drop("run"), "told")
+        drop_scratch(large)
+        made.append(told)
         ready = told.where("large IS NULL").drop("large")
         small = ready if small is None else small.unionByName(ready)
         width = -(-width // 2)
-        pieces, same = split(told.where("large").drop("large"), width, size, k)
+        pieces, same, both = split(told.where("large").drop("large"), width, size, k)
+        made.append(both)
         equal = same if equal is None else equal.unionByName(same)
     pieces = pieces if small is None else small.unionByName(pieces)
     parts = max(n_partitions(strings.sparkSession), strings.count() // CHUNK + 1)
     met = sorted_repeats(pieces.repartition(parts, "g").sortWithinPartitions("g"), size)
     met = (met if equal is None else met.unionByName(equal)).where(F.size("runs") > 0)
-    return met.select("h", "c", F.transform("runs", lambda x: x + F.col("lo")).alias("runs"))
+    return met.select("h", "c", F.transform("runs", lambda x: x + F.col("lo")).alias("runs")), made
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, k: int = K, meet: int = MEET) -> DataFrame:
@@ -208,11 +211,12 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, k: int = K, meet: int = ME
     wanted = strings.join(several, "h").select("one.*", "h", "c")
     got = materialize(fetch(docs, wanted, size), "fetched")
     whole = strings.where("m > 1").select("h", "c", F.array(F.lit(0), F.col("one.n")).alias("runs"))
-    found = repeats(got, size, k, meet).join(strings.where("m > 1").select("h", "c"), ["h", "c"], "left_anti").unionByName(whole)
+    again_found, made = repeats(got, size, k, meet)
+    found = again_found.join(strings.where("m > 1").select("h", "c"), ["h", "c"], "left_anti").unionByName(whole)
     spans = F.transform("runs", lambda x, i: F.col("at") + x + F.when(i % 2 == 1, size - 1).otherwise(0))
     out = by_run(shared, found, ["h", "c"]).select("row_no", spans.alias("spans")).groupBy("row_no").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     done = materialize(out, "spans")
-    for t in (again, shared, strings, several, got):
+    for t in (again, shared, strings, several, got, *made):
         drop_scratch(t)
     return done
 

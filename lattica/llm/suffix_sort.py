@@ -61,14 +61,19 @@ def deep_shallow(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tupl
     order = np.argsort(group, kind="stable")
     part = group[order]
     for depth in range(min(SHALLOW, words.shape[1])):
-        key = words[order, depth]
-        again = np.lexsort((key, part))
-        order, key, part = order[again], key[again], part[again]
-        cut = np.ones(n, bool)
-        cut[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1])
-        part = np.cumsum(cut)
-        if cut.all():
+        # Only groups of two or more that are still equal are split; their rows stay at their group's places.
+        alone = np.ones(n + 1, bool)
+        alone[1:-1] = part[1:] != part[:-1]
+        live = np.flatnonzero(~(alone[:-1] & alone[1:]))
+        if not len(live):
             break
+        own = order[live]
+        key = words[own, depth]
+        again = np.lexsort((key, part[live]))
+        order[live], key = own[again], key[again]
+        cut = alone[:-1].copy()
+        cut[live[1:]] |= key[1:] != key[:-1]
+        part = np.cumsum(cut)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     for a, b in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
         if b - a > 1:
