@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from lattica.llm.common import materialize, table
+from lattica.llm.common import drop_scratch, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over whole ``documents``; each is written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over whole ``documents``; each is written to the shared folder and read again by the next, after which it is dropped."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_scratch(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -168,7 +168,7 @@ def streamed(turns: DataFrame) -> DataFrame:
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """The turns, and conversation -1, whose texts are control strings, as streamed logs."""
+    """The turns, and conversation -1, whose texts are control strings, as streamed logs. Ids and turns are whole numbers; others are an error."""
     probe = conversations.sparkSession.sql("SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, :probe AS text FROM range(2)", args={"probe": PROBE})
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return streamed(turns.unionByName(probe))
