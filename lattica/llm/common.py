@@ -140,9 +140,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def of_numbers(rows: DataFrame, number: str, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``numbered`` whose number is (``left_anti``: is not) in the one column of ``chosen``, without the number.
 
-    Numbers are unique, so no key is hot; ids of any type, null ids and repeated rows make no difference.
+    Numbers are unique, so no key is hot; ids of any type, null ids and repeated rows make no difference. Rows to keep are
+    most of the table, so they are merged at every size and never sent whole to each task; rows to leave out may be.
     """
     wanted = chosen.toDF(number)
+    wanted = wanted.hint("merge") if how == "left_semi" else wanted
     return rows.join(wanted, number, how).select(*[F.col(f"`{c}`") for c in rows.columns if c != number])
 
 
