@@ -24,7 +24,7 @@ EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 200, 256, 0.01
 #: Parts of the sample, each of which calibrates a network that has not seen it.
 FOLDS = 3
 #: A toxic text that is missed weighs as much as so many clean ones that are rejected.
-COST = 1.5
+COST = 2.5
 #: Windows of a toxic text that count as toxic at most, and windows of clean texts in an epoch.
 POSITIVE, NEGATIVE = 4, 9000
 THRESHOLD = 0.7
