@@ -578,7 +578,7 @@ def test_oracles_agree(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, sf_dir)
