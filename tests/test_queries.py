@@ -1,6 +1,7 @@
 """Every query of the engine's own operators against its SQL, on the smallest tables."""
 
 import datetime
+import hashlib
 import math
 
 import duckdb
@@ -90,3 +91,36 @@ def test_alpha_log_ratio_takes_all_edges_and_all_orders(spark, tmp_path):
     assert 0 < got["orders"]["n"] <= 40
     want = c.sql(catalog.oracle_sql()["alpha_log_ratio"])
     assert rows(df.columns, got.values()) == rows(want.columns, want.fetchall())
+
+
+def test_alpha_bootstrap_draws_all_edges_and_all_orders_two_hundred_times(spark, tmp_path):
+    v, lines, c = small_tables(spark, tmp_path)
+    df = catalog.queries()["alpha_bootstrap"](spark, str(tmp_path))
+    got = {r["points"]: r for r in df.collect()}
+    kept = {}
+    for k, d, t in lines:
+        kept.setdefault(k, []).append((1 - d, (1 - d) * (1 - t / 4)))
+    means = {k: np.mean(x, axis=0) for k, x in kept.items()}
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(7)])
+    draw = lambda k, i: np.count_nonzero(int(hashlib.md5(f"42:{k}:0:{i}".encode()).hexdigest()[:13], 16) / 2**52 > cuts)
+    r = {k: math.log(y) / math.log(x) for k, (x, y) in means.items() if x != 1}
+    m = [np.average(list(r.values()), weights=[draw(k, i) for k in r]) for i in range(1, 201)]
+    assert [got["orders"][x] for x in ("low", "alpha", "high")] == pytest.approx(np.percentile(m, [2.5, 50, 97.5]), abs=2e-6)
+    assert [got["edges"][x] for x in ("low", "alpha", "high")] == [1.5, 1.5, 1.5]
+    want = c.sql(catalog.oracle_sql()["alpha_bootstrap"])
+    assert rows(df.columns, got.values()) == rows(want.columns, want.fetchall())
+
+
+def test_alpha_bootstrap_of_few_points(spark, tmp_path):
+    """A single point is not drawn in some rounds; no point has no percentiles."""
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>").selectExpr("*", "1 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "text", "en", "web") for i in (1, 2)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 0.1, 0.04)], "l_orderkey long, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalog.queries()["alpha_bootstrap"](spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("embeddings", "documents", "lineitem"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.sql(catalog.oracle_sql()["alpha_bootstrap"])
+    got = df.collect()
+    assert {r["points"]: r["low"] for r in got} == {"edges": None, "orders": pytest.approx(math.log(0.9 * 0.99) / math.log(0.9), abs=1e-6)}
+    assert rows(df.columns, got) == rows(want.columns, want.fetchall())
