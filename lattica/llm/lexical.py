@@ -3,7 +3,8 @@
 1.  One pass counts terms: the number of documents that have any, and all terms.
 2.  A second pass makes shards of bounded size. A shard holds its documents in order of id and, in compressed sparse row
     form, its terms' hashes in order, where each term's postings begin, and each posting's document and impact, which is
-    the integer (1000000000 * tf) div (1000 * tf + 8 * m). No exchange is needed and shards are stored.
+    the integer (1000000000 * tf) div (1000 * tf + 8 * m). No exchange is needed and shards are stored, their numbers
+    as bytes and a few shards to a group of the file, so that a reader holds those few and no lists of numbers.
 3.  Document frequencies come from the shards' dictionaries, for the terms that the items have.
 4.  Items meet every shard in blocks of bounded size, a block at a time: one dense accumulator for the shard's
     documents takes the postings term by term, and a selection that keeps ties whole names the shard's best.
@@ -20,12 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, bound_batches, by_run, drop_scratch, materialize, pieces, utf8
+from lattica.llm.common import arrow_map, bound_batches, by_run, drop_scratch, give_back, materialize, pieces, utf8
 from lattica.llm.words import LOWER, spans, word_hashes
 
 TOP = 10
 #: Documents and bytes of text of a shard at most; a larger text is a shard of its own.
 SHARD_ROWS, SHARD_BYTES = 4096, 4 << 20
+#: Shards that a file's writer and reader hold at once.
+STORED_TOGETHER = 4
+#: Types of the numbers of a shard, which are stored as bytes.
+NUMBERS = {"terms": np.int64, "begins": np.int32, "docs": np.int32, "impacts": np.int32}
 #: Terms of items that are sent to all workers at once. An item with more is sent alone.
 BLOCK_TERMS = 1 << 19
 #: Cells of item numbers from which blocks are made.
@@ -83,8 +88,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def flush() -> pa.RecordBatch:
             s = shard(pa.concat_arrays(ids), texts, some, terms)
-            columns = [pa.array([s[c].to_pylist()], pa.list_(s[c].type)) if c == "ids" else pa.ListArray.from_arrays(pa.array([0, len(s[c])], pa.int32()), pa.array(s[c])) for c in s]
-            return pa.RecordBatch.from_arrays(columns, list(s))
+            held_ids = pa.ListArray.from_arrays(pa.array([0, len(s["ids"])], pa.int32()), s["ids"])
+            return pa.RecordBatch.from_arrays([held_ids, *(pa.array([s[c].tobytes()], pa.binary()) for c in NUMBERS)], ["ids", *NUMBERS])
 
         for batch in batches:
             for piece in pieces(batch):
@@ -98,15 +103,27 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held += size
         if texts:
             yield flush()
+        ids, texts = [], []
+        give_back()
 
-    made = read.mapInArrow(run, f"ids array<{kind}>, terms array<long>, begins array<int>, docs array<int>, impacts array<int>")
-    return materialize(made, "shards"), some
+    made = read.mapInArrow(run, f"ids array<{kind}>, " + ", ".join(f"{c} binary" for c in NUMBERS))
+    return materialize(made, "shards", {"parquet.block.row.count.limit": str(STORED_TOGETHER)}), some
+
+
+def numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    """The numbers of one shard that are stored in a column, without a copy."""
+    return np.frombuffer(batch.column(column)[row].as_buffer(), NUMBERS[column])
 
 
 def frequencies(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, df of the wanted terms (distinct), from the dictionaries of all shards."""
-    own = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("begins", i + 1) - F.get("begins", i)).alias("n")))
-    listed = index.select(F.inline(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(numbers(batch, "terms", row)), pa.array(np.diff(numbers(batch, "begins", row)).astype(np.int64))], ["term", "n"])
+
+    listed = index.select("terms", "begins").mapInArrow(run, "term long, n long")
     return listed.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
 
 
@@ -169,12 +186,12 @@ def _searched(index: DataFrame, items: list, k: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                flat = lambda c: batch.column(c).slice(row, 1).flatten()  # noqa: B023, E731
-                ids = flat(0)
-                no, place, score = best_of_shard(len(ids), *(flat(c).to_numpy(zero_copy_only=False) for c in range(1, 5)), sent.value, k)
+                ids = batch.column(0).slice(row, 1).flatten()
+                no, place, score = best_of_shard(len(ids), *(numbers(batch, c, row) for c in NUMBERS), sent.value, k)
                 yield pa.RecordBatch.from_arrays([pa.array(no), ids.take(pa.array(place)), pa.array(score)], ["item_no", "doc_id", "score"])
+        give_back()
 
-    found = index.select("ids", "terms", "begins", "docs", "impacts").mapInArrow(run, f"item_no long, doc_id {kind}, score long")
+    found = index.select("ids", *NUMBERS).mapInArrow(run, f"item_no long, doc_id {kind}, score long")
     return materialize(best(found, k), "found")
 
 

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lattica.llm import hard_negatives, lexical, suffix_tree
@@ -153,6 +154,23 @@ def test_lexical_search_is_that_of_brute_force(spark, shard_rows, shard_bytes, b
     assert searched(got) == want
 
 
+def test_shards_are_stored_as_bytes_and_few_are_read_at_once(spark):
+    """A reader holds a group of a file at a time; lists of numbers cost the executors many times their bytes."""
+    docs = frame(spark, [(i, f"word{i % 7} word{i} other") for i in range(90)], "doc_id long, text string", 1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        index, some = lexical.build_index(docs, shard_rows=4, shard_bytes=1 << 20)
+    finally:
+        spark.conf.set(key, was)
+    assert some == 90
+    assert {f.dataType.simpleString() for f in index.schema.fields[1:]} == {"binary"}
+    groups = [m.row_group(g).num_rows for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in range(m.num_row_groups)]
+    assert sum(groups) >= 20
+    assert max(groups) <= lexical.STORED_TOGETHER
+
+
 def test_lexical_search_of_odd_tables(spark):
     docs, items = "doc_id string, text string", "item_id string, text string"
     assert searched(lexical.search(frame(spark, [], docs), frame(spark, [("a", "x")], items))) == []
