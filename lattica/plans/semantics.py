@@ -111,8 +111,7 @@ x AS (SELECT src AS p, 0 AS i, 1 AS o, sim FROM t, most WHERE transfer > 0.5 * m
 SELECT p AS paper_id, sum(i)::BIGINT AS inbound, sum(o)::BIGINT AS outbound, count(*) AS total, round(avg(sim), 6) AS strength FROM x GROUP BY 1 HAVING count(*) >= 2""")
 def transfer_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wells of edges whose information transfer is over 0.5; transfers are scaled by the largest, as those of the given texts are small."""
-    p = tb.papers(spark, sf_dir).select("paper_id", sc.grounding(F.col("body")).alias("g"))
-    e = g.enrich(edges(spark, sf_dir), p, ["g"]).select("src", "dst", "sim", sc.transfer(F.col("src_g"), F.col("dst_g"), F.col("sim")).alias("transfer"))
+    e = edges(spark, sf_dir, g=sc.grounding(F.col("body"))).select("src", "dst", "sim", sc.transfer(F.col("src_g"), F.col("dst_g"), F.col("sim")).alias("transfer"))
     most = e.agg(F.max("transfer").alias("m"))
     scaled = e.crossJoin(F.broadcast(most))
     return g.gravity_wells(scaled, 2, F.col("transfer") > 0.5 * F.col("m")).withColumn("strength", F.round("strength", 6))
