@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import scores as sc
 from lattica.functions import text as tx
-from lattica.functions.vector import weighted_distance
 from lattica.operators import graph as g
 from lattica.operators import stats as st
 from lattica.plans.graph import edges, r6
@@ -208,9 +208,9 @@ def numbered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EDGES} SELECT src, dst, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i <= 8 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END * pow(a.v[i] - b.v[i], 2)))), 6) AS distance FROM edges JOIN papers a ON a.paper_id = src JOIN papers b ON b.paper_id = dst""")
 def weighted_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of similar papers in which the first dimensions weigh more."""
-    e = g.enrich(edges(spark, sf_dir), tb.papers(spark, sf_dir), ["embedding"])
-    weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i <= 8, 2.0).otherwise(0.5))
-    return e.select("src", "dst", r6(weighted_distance(F.col("src_embedding"), F.col("dst_embedding"), weights), "distance"))
+    weights = np.where(np.arange(64) < 8, 2.0, 0.5)
+    e = edges(spark, sf_dir, measure=lambda x, y: np.sqrt(((x - y) ** 2) @ weights[: x.shape[1]]))
+    return e.select("src", "dst", r6("measure", "distance"))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, round(sim, 6) AS sim, round(pow(sim, 1.5), 6) AS context FROM edges WHERE sim > 0.35")
