@@ -6,11 +6,16 @@ bucket of the term's hash, so that a search reads the buckets of its terms only;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as tx
-from lattica.sources.scratch import settle
+from lattica.sources.scratch import bound_batches, settle
 
 BUCKETS = 32
 #: The usual constants of the ranking: how soon repeats stop counting, and how much length does.
@@ -26,6 +31,22 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n_terms, term, places: a row for each term of each document (id, t), places in order."""
+    for b in batches:
+        ids, lists = b.column(0), b.column(1)
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        doc, term = np.repeat(np.arange(len(n)), n), words.indices.to_numpy(zero_copy_only=False)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((at, term, doc))
+        doc, term, at = doc[order], term[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]))
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
+        of = doc[first]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(n[of]), words.dictionary.take(pa.array(term[first])), places], ["id", "n_terms", "term", "places"])
+
+
 class Index:
     """An index in a folder: ``postings`` (term, id, n_terms, places; parted by bucket) and ``lengths`` (id, n_terms)."""
 
@@ -41,10 +62,11 @@ class Index:
         """Indexes all texts and stores the index. Ids are unique; documents without a term count as such of length 0."""
         split = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
         split.select("id", F.size("t").cast("long").alias("n_terms"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/lengths")
-        # The places of a term in a document are gathered where the document is read, before they are exchanged.
-        flat = split.select("id", F.size("t").cast("long").alias("n_terms"), F.posexplode("t").alias("at", "term"))
-        lists = flat.groupBy("id", "n_terms", "term").agg(F.array_sort(F.collect_list("at")).alias("places"))
-        lists.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        # The places of a term in a document are gathered where the document is read, and stored from there.
+        bound_batches(docs.sparkSession)
+        kind = split.schema["id"].dataType.simpleString()
+        lists = split.where(F.size("t") > 0).mapInArrow(_postings, f"id {kind}, n_terms long, term string, places array<int>")
+        lists.withColumn("bucket", _bucket(F.col("term"), buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         return cls(docs.sparkSession, path)
 
     def asked(self, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
