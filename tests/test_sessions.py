@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lattica.streaming import ingest, sessions
@@ -54,3 +56,61 @@ def test_restarts_lose_and_double_nothing(spark, tmp_path):
     run()
     assert [r for r in got() if r[0]] == brute(rows)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+class Calls:
+    """A handle and a state that count what they are asked for."""
+
+    def __init__(self):
+        self.timers, self.held, self.calls = set(), None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.calls += 1
+        self.held = value
+
+    def clear(self):
+        self.calls += 1
+        self.held = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_many_users_and_sessions_cost_few_calls():
+    at = lambda ms: type("At", (), {"getCurrentWatermarkInMs": lambda s: ms, "getExpiryTimeInMs": lambda s: ms})()
+    handle, p = Calls(), sessions.Sessions(GAP)
+    p.init(handle)
+    rows = [(u, k * 2 * GAP) for k in range(200) for u in (7, 8, 9)]
+    frame = lambda part: iter([pd.DataFrame(part, columns=["user_id", "ms"])])
+    assert list(p.handleInputRows((1,), frame(rows[300:]), at(0))) == []
+    assert list(p.handleInputRows((1,), frame(rows[:300]), at(0))) == []
+    assert handle.timers == {GAP}
+    handle.timers.clear()
+    (got,) = p.handleExpiredTimer((1,), at(rows[449][1] + GAP), at(GAP))
+    assert got["n"].tolist() == [1] * 450
+    assert handle.timers == {rows[450][1] + GAP}
+    handle.timers.clear()
+    (got,) = p.handleExpiredTimer((1,), at(10**9), at(rows[450][1] + GAP))
+    assert sorted(got["user_id"]) == [7] * 50 + [8] * 50 + [9] * 50
+    assert handle.held is None
+    assert handle.calls < 16
+
+
+def test_sessions_of_many_users_are_those_of_each():
+    rng = np.random.default_rng(4)
+    held = np.stack([rng.integers(-3, 4, 400), rng.integers(0, 10**7, 400), np.zeros(400, int), rng.integers(1, 5, 400)], axis=1)
+    held[:, 2] = held[:, 1] + rng.integers(0, 2 * GAP, 400)
+    got = sessions.merged_by_user(held, GAP).tolist()
+    assert got == [[u, *s] for u in range(-3, 4) for s in map(list, sessions.merged([tuple(r[1:]) for r in held.tolist() if r[0] == u], GAP))]
