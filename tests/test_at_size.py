@@ -1,11 +1,13 @@
 """Operators whose work must not grow with the pairs they make: against plainer ways to the same rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import scores as sc
-from lattica.operators import fulltext, graph, pairs, stats
+from lattica.operators import fulltext, graph, pairs, paths, stats
 
 
 def vectors(spark, n=120, dims=6, seed=3):
@@ -90,3 +92,19 @@ def test_postings_are_gathered_where_a_document_is_read(spark, tmp_path):
     assert (index.n, index.mean) == (4, 1.25)
     # One task read the documents; an exchange would have dealt its postings to several files of a bucket or other tasks.
     assert len({f.rsplit("/", 1)[1].split("-")[1] for f in index.postings.inputFiles()}) == 1
+
+
+def test_overlapping_sets_meet_in_cells_of_like_sizes(spark, monkeypatch):
+    monkeypatch.setattr(paths, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(paths, "MEETINGS", 40)
+    rng = random.Random(6)
+    sets = [(i, i % 3, rng.sample("abcdefghijklmnop", rng.randint(0, 14))) for i in range(90)] + [(200, 0, None), (201, 1, ["x"] * 3), (202, 2, ["x"])]
+    allowed = np.array([[False, True, False], [True, True, False], [False, False, False]])
+    df = spark.createDataFrame(sets, "id long, kind int, tokens array<string>")
+    for x in (0.12, 0.5, 0.8):
+        for some in (None, allowed):
+            made = paths.overlapping(df, x, some)
+            got = {(r["a"], r["b"]): r["jaccard"] for r in made.collect()}
+            want = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for i, k, a in sets for j, m, b in sets if i < j and a and b and (some is None or some[k, m])}
+            assert got == pytest.approx({k: v for k, v in want.items() if v > x})
+    assert paths.overlapping(df.limit(0), 0.5).count() == 0
