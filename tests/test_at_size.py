@@ -108,3 +108,16 @@ def test_overlapping_sets_meet_in_cells_of_like_sizes(spark, monkeypatch):
             want = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for i, k, a in sets for j, m, b in sets if i < j and a and b and (some is None or some[k, m])}
             assert got == pytest.approx({k: v for k, v in want.items() if v > x})
     assert paths.overlapping(df.limit(0), 0.5).count() == 0
+
+
+def test_titles_are_found_by_runs_of_inner_words(spark):
+    """A frequent word of a title no longer brings every description that holds it."""
+    rng = random.Random(3)
+    words = ["alpha", "Beta", "c", "", "the", "ünï", "d\ne"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, ""]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(80)] + [None, "", " ", "pha", "a b", "ha Be", "a  b"]
+    p = spark.createDataFrame(list(enumerate(titles)), "paper_id long, title string")
+    i = spark.createDataFrame([(k, [k + 50], t) for k, t in enumerate(texts)], "impl_id long, references array<long>, description string")
+    want = {(a, b) for a, t in enumerate(titles) for b, d in enumerate(texts) if (t and d and t.lower() in d.lower()) or a == b + 50}
+    assert sorted(map(tuple, paths.matches(p, i).collect())) == sorted(want)
+    assert len(want) > 150
