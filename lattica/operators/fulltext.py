@@ -66,7 +66,7 @@ class Index:
         bound_batches(docs.sparkSession)
         kind = split.schema["id"].dataType.simpleString()
         lists = split.where(F.size("t") > 0).mapInArrow(_postings, f"id {kind}, n_terms long, term string, places array<int>")
-        lists.withColumn("bucket", _bucket(F.col("term"), buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        lists.withColumn("bucket", _bucket(F.col("term"), buckets)).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         return cls(docs.sparkSession, path)
 
     def asked(self, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
@@ -74,9 +74,10 @@ class Index:
         t = queries.select(F.col(query_col).alias("query"), terms(F.col(text_col)).alias("t"))
         return t.select("query", F.size("t").alias("m"), F.posexplode("t").alias("at", "term")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
 
-    def _wanted(self, asked: DataFrame) -> DataFrame:
-        """The postings of the terms that are asked for, read once; the scan skips buckets without such a term."""
-        return settle(self.postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").drop("bucket"), "wanted-postings")
+    def _wanted(self, asked: DataFrame, places: Column) -> DataFrame:
+        """The postings of the terms that are asked for, read once, with their places or what is needed of them; the scan skips buckets without such a term."""
+        own = self.postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        return settle(own.select("id", "n_terms", "term", places), "wanted-postings")
 
     def phrases(self, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
         """query, id, n, first: documents that hold the whole query in a row, how often, and at which term (from 0).
@@ -85,7 +86,7 @@ class Index:
         and document, so that frequent terms are met only in candidates. Queries without a term find nothing.
         """
         asked = settle(self.asked(queries, query_col, text_col), "asked")
-        wanted = self._wanted(asked)
+        wanted = self._wanted(asked, F.col("places"))
         df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         rare = asked.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         rarest = rare.groupBy("query").agg(F.min_by("term", F.struct("df", "at")).alias("term"))
@@ -100,11 +101,11 @@ class Index:
         """query, rank, id, score: the k documents that fit each query best, by how rare and how frequent its terms are and how long the document is; ties by id. Repeated terms of a query count again."""
         asked = self.asked(queries, query_col, text_col).groupBy("query", "bucket", "term").agg(F.count(F.lit(1)).alias("times"))
         asked = settle(asked, "asked")
-        wanted = self._wanted(asked)
+        wanted = self._wanted(asked, F.size("places").cast("double").alias("tf"))
         df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weights = asked.join(df, "term").select("query", "term", (idf * F.col("times")).alias("w"))
-        tf = F.size("places").cast("double")
+        tf = F.col("tf")
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / F.lit(float(self.mean or 1))))
         scores = weights.join(wanted.select("term", "id", part.alias("part")), "term").groupBy("query", "id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
         w = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")
